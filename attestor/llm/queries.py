@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import encode, groups, leaks, neighbours, sitelines
+from attestor.llm import encode, groups, leaks, neighbours, pii, sitelines
 from attestor.sources.tables import table
 
 
@@ -30,12 +30,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_pii(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 SQL: dict[str, str] = {}
