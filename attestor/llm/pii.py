@@ -263,8 +263,8 @@ class Finder:
             if start and (text[start - 1].isalnum() or text[start - 1] in "@_") or not text[start].isupper() or taken[start]:
                 continue
             if kind == "initial":
-                if start > 1 and text[start - 1] == " " and text[start - 2].isdigit():
-                    continue  # a unit or a point of the compass
+                if re.search(r"\d \d{1,2} $", text[max(0, start - 6) : start]):
+                    continue  # a point of the compass
                 m = INITIALS.match(text, start)
                 if m and ok(m[1]) and len(m[1]) >= 4 and m[1].lower() not in self.given:
                     if not self._organisation(text, m.end()):

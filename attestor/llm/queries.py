@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import encode, groups, leaks, neighbours, pii, sitelines
+from attestor.llm import encode, groups, leaks, neighbours, pagebody, pii, sitelines
 from attestor.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pagebody.furniture(table(spark, folder, "passages"), table(spark, folder, "fetches"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.match_groups(table(spark, folder, "claims"), table(spark, folder, "claim_links"), table(spark, folder, "origins"))
 
@@ -35,6 +39,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
