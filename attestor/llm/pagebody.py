@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,7 @@ related stories|most read|latest|editor's picks|more from this section|you may a
 }
 # end of fixed values
 
-MARK = re.compile(r"^(?:[•*–—\-»›▪◦‣]+|\(?\d{1,2}[.)])\s+")
+MARK = re.compile(r"^(?:(?:[•*–—\-»›▪◦‣]+|\(?\d{1,2}[.)])\s+)+")
 BULLET = re.compile(r"^[•*–—\-»›▪◦‣]+\s+")
 SEPARATOR = re.compile(r"\s*[|·/>›»]\s*")
 CELLS = re.compile(r"\t| {2,}\S+ {2,}")
@@ -78,17 +79,21 @@ def _rule(phrase: str) -> str:
     return phrase.replace("#", r"\d[\d.,\-· ]*")
 
 
-def _rules() -> list[tuple[str, re.Pattern, set[str]]]:
-    out = []
+def _rules() -> tuple[dict[str, str], dict[str, list[tuple[str, re.Pattern]]]]:
+    """Whole phrases by role, and open phrases by their first word ("" if that is open too)."""
+    fixed: dict[str, str] = {}
+    by_word: dict[str, dict[str, list[str]]] = {}
     for role, text in PHRASES.items():
-        phrases = [p.strip() for p in re.split(r"[|\n]", text) if p.strip()]
-        fixed = {re.sub(r"\s*·\s*", "·", p) for p in phrases if not re.search(r"#|\bx\b", p)}
-        open_ = [_rule(p) for p in phrases if re.search(r"#|\bx\b", p)]
-        out.append((role, re.compile("(?:" + "|".join(open_) + r")\Z") if open_ else re.compile(r"(?!)"), fixed))
-    return out
+        for p in (p.strip() for p in re.split(r"[|\n]", text)):
+            if p and not re.search(r"#|\bx\b", p):
+                fixed.setdefault(re.sub(r"\s*·\s*", "·", p), role)
+            elif p:
+                word = "" if re.match(r"#|x\b", p) else re.match(r"\S+", p)[0]
+                by_word.setdefault(word, {}).setdefault(role, []).append(_rule(p))
+    return fixed, {w: [(r, re.compile("(?:" + "|".join(ps) + r")\Z")) for r, ps in d.items()] for w, d in by_word.items()}
 
 
-RULES = _rules()
+FIXED, OPEN = _rules()
 MENU = {w.replace("-", " ") for w in MENU_WORDS}
 
 
@@ -99,6 +104,7 @@ def plain(line: str) -> str:
     return re.sub(r"[\s.!…»›:]+\Z", "", x)
 
 
+@lru_cache(1 << 16)
 def line_role(line: str) -> str:
     """The furniture role that a line's own wording implies, or ``text``."""
     if len(line) > 220:
@@ -109,10 +115,13 @@ def line_role(line: str) -> str:
     if x in MENU:
         return "nav"
     joined = re.sub(r"\s*[|·/]\s*", "·", x)
-    for role, rule, fixed in RULES:
-        if joined in fixed or rule.match(joined):
-            return role
     words = x.split(" ")
+    if joined in FIXED:
+        return FIXED[joined]
+    for word in (words[0], ""):
+        for role, rule in OPEN.get(word, ()):
+            if rule.match(joined):
+                return role
     if len(words) >= 2 and all(w.startswith("#") for w in words[1:]) and "#" in x:
         return "tags"
     if re.fullmatch(r"[^\W\d_]+(?:, [^\W\d_]+){2,}", x) and line.strip(" .!…»›*•–-") in (x, x.upper()):
