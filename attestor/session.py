@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,3 +84,17 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(table._attestor_path)
         fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         return int(fs.getContentSummary(path).getLength())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_attestor_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="attestor-")) / "attestor.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))  # Spark's file server hands it to every executor
+    context._attestor_shipped = True
