@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import encode, groups, leaks, neighbours, pagebody, pii, sitelines
+from attestor.llm import encode, groups, leaks, neighbours, pagebody, pii, residue, sitelines
 from attestor.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, folder, "claim_vectors"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "passages"), table(spark, folder, "fetches"), table(spark, folder, "sources"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, folder, "passages"), table(spark, folder, "fetches"), table(spark, folder, "sources"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
