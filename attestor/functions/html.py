@@ -6,8 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
-
+from attestor.functions.arrow import arrow_udf
 from attestor.functions.page_tree import FURNITURE, Node, build_html, render
 
 # Meta names, best first.
@@ -81,7 +80,7 @@ def _json_date(raw: str) -> str | None:
     return None
 
 
-@F.pandas_udf("struct<text:string,title:string,doi:string,published:string>")
+@arrow_udf("struct<text:string,title:string,doi:string,published:string>")
 def page(markup: pd.Series) -> pd.DataFrame:
     empty = dict.fromkeys(("text", "title", "doi", "published"))
     return pd.DataFrame([parse_page(m) if isinstance(m, str) else empty for m in markup], columns=list(empty))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestor.functions.arrow import arrow_udf
+
 # Query parameters and ports that do not name a page; file
 # endings that hold no text; hosts that tell a source's kind.
 CLICK_IDS = "fbclid gclid dclid msclkid mc_cid mc_eid igshid ref_src".split()
@@ -74,7 +76,7 @@ def _normalize(raw: str | None) -> str | None:
     return host + path + ("?" + urlencode(sorted(pairs)) if pairs else "")
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def normalize_url(url: pd.Series) -> pd.Series:
     """The full URL key, needless escapes undone too; null for no http(s) URL."""
     return url.map(lambda u: _normalize(u) if isinstance(u, str) else None)

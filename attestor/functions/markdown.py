@@ -6,8 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from attestor.functions.arrow import arrow_udf
 from attestor.functions.passages import split_sentences
 
 # Headings under which references and objections stand, and
@@ -41,7 +40,7 @@ def split_sections(text: str) -> list[dict]:
     return [s for s in out if s["ord"] or s["body"]]
 
 
-@F.pandas_udf(SECTION_TYPE)
+@arrow_udf(SECTION_TYPE)
 def sections(text: pd.Series) -> pd.Series:
     return text.map(lambda t: split_sections(t) if isinstance(t, str) else None)
 
@@ -53,7 +52,7 @@ def trim_url(url: str) -> str:
     return url
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def extract_urls(text: pd.Series) -> pd.Series:
     """URLs of a text in order, trimmed."""
     return text.map(lambda t: [trim_url(u) for u in _URL.findall(t)] if isinstance(t, str) else None)
@@ -82,7 +81,7 @@ def attributed(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def attributed_claims(text: pd.Series) -> pd.Series:
     return text.map(lambda t: attributed(t) if isinstance(t, str) else None)
 
@@ -106,7 +105,7 @@ def list_items(raw: str, none: str = "none") -> list[str]:
     return out or [re.sub(r"\s+", " ", raw).strip()]
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def critic_items(raw: pd.Series) -> pd.Series:
     return raw.map(lambda t: list_items(t) if isinstance(t, str) else None)
 
@@ -121,6 +120,6 @@ def report_between(raw: str, begin: str = "<report>", end: str = "</report>") ->
     return {"status": "unterminated" if b <= a else "ok" if text else "empty", "report": text}
 
 
-@F.pandas_udf("struct<status:string,report:string>")
+@arrow_udf("struct<status:string,report:string>")
 def report_section(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([report_between(t) if isinstance(t, str) else {"status": None, "report": None} for t in raw], columns=["status", "report"])

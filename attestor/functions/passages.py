@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from attestor.functions.arrow import arrow_udf
 
 TARGET, SHORT, MOST = 1_500, 300, 2_000  # characters of a passage
 CHUNK, CHUNKS = 6_000, 8  # characters and number of extraction chunks
@@ -66,7 +66,7 @@ def split_passages(text: str) -> list[tuple[int, int, int, str]]:
     return [(n, a, b, text[a:b]) for n, (a, b) in enumerate(packed)]
 
 
-@F.pandas_udf(PASSAGE_TYPE)
+@arrow_udf(PASSAGE_TYPE)
 def passages(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(("ord", "char_start", "char_end", "text"), p)) for p in split_passages(t)] if isinstance(t, str) else None)
 
@@ -86,7 +86,7 @@ def split_chunks(text: str, size: int = CHUNK, most: int = CHUNKS) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def chunks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: split_chunks(t) if isinstance(t, str) else None)
 
@@ -104,6 +104,6 @@ def split_sentences(text: str) -> list[str]:
     return [*out, flat[start:]] if flat[start:] else out
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda t: split_sentences(t) if isinstance(t, str) else None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from attestor.functions.arrow import arrow_udf
 
 REACH = 400  # normal-form bytes that an ellipsis may skip when anchoring
 
@@ -51,7 +51,7 @@ def locate(quote: str | None, text: str | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<char_start:int,char_end:int>")
+@arrow_udf("struct<char_start:int,char_end:int>")
 def locate_quote(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     found = [locate(q if isinstance(q, str) else None, t if isinstance(t, str) else None) or (None, None) for q, t in zip(quote, text)]
     return pd.DataFrame(found, columns=["char_start", "char_end"]).astype("Int32")
@@ -71,6 +71,6 @@ def found(quote: str | None, text: str | None) -> bool | None:
     return bool(parts)
 
 
-@F.pandas_udf("boolean")
+@arrow_udf("boolean")
 def quote_found(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([found(q if isinstance(q, str) else None, t if isinstance(t, str) else None) for q, t in zip(quote, text)], dtype="boolean")

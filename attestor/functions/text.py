@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestor.functions.arrow import arrow_udf
+
 # Words that do not make two statements alike.
 STOP_WORDS = """
 about after again also among been before being between both could does each even from have into just like made make many more most much must
@@ -89,7 +91,7 @@ def simhash_of(text: str | None, size: int = 3) -> int | None:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-@F.pandas_udf("long")
+@arrow_udf("long")
 def simhash(text: pd.Series) -> pd.Series:
     return text.map(simhash_of, na_action="ignore").astype("Int64")
 
