@@ -33,9 +33,9 @@ class NeighbourOptions:
     neighbours: int = 5
     min_similarity: float = 0.75
     sample: int = 16_000
-    partition_rows: int = 1_000
+    partition_rows: int = 2_000
     max_partitions: int = 1_000
-    probes: int = 8
+    probes: int = 10
     block: int = 2_000
     seed: int = 7
 
