@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,6 +203,10 @@ def body_text(text: str) -> str:
     return render(hide_furniture(build_text(text)))
 
 
+def _bodies(text: pd.Series) -> pd.Series:
+    return text.map(body_text, na_action="ignore")
+
+
 def is_web(content_type: Column) -> Column:
     """Whether a content type is a web page's; null, empty and odd ones are."""
     kind = F.lower(F.trim(F.split(F.coalesce(content_type, F.lit("")), ";").getItem(0)))
@@ -242,8 +247,8 @@ def main_bodies(passages: DataFrame, fetches: DataFrame) -> DataFrame:
     Null texts give null; passages of PDF and plain text keep their text; a
     passage of furniture alone has an empty body.  Repeated rows stay.
     """
-    body = F.pandas_udf(lambda s: s.map(body_text, na_action="ignore"), "string")
-    others = _other_documents(fetches).withColumn("_other", F.lit(True))
+    body = F.pandas_udf(_bodies, "string")
+    others = _other_documents(fetches).withColumn("_not_web", F.lit(True))
     return passages.join(others, "document_id", "left").withColumn(
-        "body", F.when(F.col("_other"), F.col("text")).otherwise(body("text"))
-    ).drop("_other")
+        "body", F.when(F.col("_not_web"), F.col("text")).otherwise(body("text"))
+    ).drop("_not_web")

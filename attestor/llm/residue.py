@@ -202,7 +202,7 @@ def residue(passages: DataFrame, fetches: DataFrame, sources: DataFrame, few_ter
     size = read.groupBy("document_id").agg(F.sum("n").alias("total")).where(F.col("total").between(2, few_terms)).select("document_id")
     low = read.where(f"n between 1 and {few_terms} and not flag").join(size, "document_id", "left_semi")
     bad = (F.coalesce(F.col("http_status"), F.lit(200)) >= 400) | (F.coalesce(F.col("error"), F.lit("")) != "")
-    page = fetches.where("document_id is not null").join(sources.select("source_id", F.col("url").alias("source_url")), "source_id", "left")
+    page = fetches.where("document_id is not null").select("document_id", "source_id", "url", "final_url", "title", "http_status", "error").join(sources.select("source_id", F.col("url").alias("source_url")), "source_id", "left")
     page = page.join(size, "document_id", "left_semi").groupBy("document_id").agg(
         F.max(F.coalesce("final_url", "url")).alias("url"), F.max(F.coalesce("title", F.lit(""))).alias("title"), F.max(bad).alias("bad"), F.max("source_url").alias("source_url")
     )

@@ -112,9 +112,9 @@ def without_lines(passages: DataFrame, found: DataFrame) -> DataFrame:
     Blank lines left at the ends or doubled by the removal are dropped; a
     passage of which nothing is left has an empty text.
     """
-    gone = found.groupBy("passage_id").agg(F.collect_set("line_no").alias("gone"))  # within one passage: bounded
+    gone = found.groupBy("passage_id").agg(F.collect_set("line_no").alias("_gone_lines"))  # within one passage: bounded
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    kept = F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("_gone_lines", i), F.lit(False)))
     text = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
     joined = passages.join(gone, "passage_id", "left")
-    return joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text)).drop("gone")
+    return joined.withColumn("text", F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(text)).drop("_gone_lines")
