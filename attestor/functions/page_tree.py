@@ -46,12 +46,13 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         ends = CLOSES.get(tag, set())
+        cut = len(self.open)
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in ends:
-                del self.open[i:]
-                break
             if self.open[i].tag in SCOPES:
                 break
+            if self.open[i].tag in ends:
+                cut = i  # the outermost one within the scope
+        del self.open[cut:]
         parent = self.open[-1]
         if tag in ("td", "th") and parent.tag != "tr" or tag == "tr" and parent.tag not in ("table", "tbody", "thead", "tfoot"):
             implied = Node("tr" if tag != "tr" else "table")
