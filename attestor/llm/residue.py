@@ -90,6 +90,7 @@ WHOLE, RULE = _message_rule()
 STARTS = {re.match(r"[\[(]?(\S+?)[,!]?(?:\s|$)", p.strip())[1] for p in re.split(r"[|\n]", MESSAGES) if p.strip()} - {"#"}
 SENTENCE = re.compile(r"(?<=[.!?…。])\s+|\n")
 LATIN_WORD = re.compile("(?:" + "|".join(sorted(LATIN, key=len, reverse=True)) + r")+\Z")
+TWICE = re.compile(r"(.{3,60}?)(?:[ .]+\1)+\Z")
 REPEATED = re.compile(r"(?i)^(\S+|\S+ \S+)(?: \1){2,}(?: .*)?$")
 X_RUN = re.compile(r"(?i)^(?:x{3,}[ .,]*){3,}$|^(?:(?:asdf|qwerty|foo|bar|baz|test|blah|bla)[ .,]*){3,}$")
 TERM = re.compile(r"[^\W\d_]{3,}")
@@ -123,6 +124,9 @@ def message(sentence: str) -> bool:
     x = plain(sentence)
     if not x:
         return False
+    twice = TWICE.match(x)
+    if twice and (twice[1] in WHOLE or twice[1].strip("[]()") in WHOLE):
+        return True
     return x in WHOLE or x.strip("[]()") in WHOLE or bool(RULE.match(x)) or bool(X_RUN.match(x)) or (len(x) < 120 and bool(REPEATED.match(re.sub(r"[.,!…]", "", x))) and not x[0].isdigit() and "\t" not in sentence)
 
 

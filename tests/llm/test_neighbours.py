@@ -65,4 +65,4 @@ def test_partitions_are_balanced():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = np.argsort(-(x @ x.T), axis=1)[:, 1:11]
     own = balanced_partitions(x, graph, 10, 1)
-    assert np.bincount(own, minlength=10).max() <= 55 and (own >= 0).all()
+    assert np.bincount(own, minlength=10).max() <= np.ceil(500 / 10 * 1.1) and (own >= 0).all()
