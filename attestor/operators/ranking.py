@@ -65,7 +65,7 @@ def fair_shares(df: DataFrame, keys: Sequence[str], need: str, total: int) -> Da
         .withColumn("_short", F.max((n > F.col("_even")).cast("int")).over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
     )
     first = F.min(F.when(F.col("_short") == 1, F.col("_k"))).over(part)
-    left = F.min(F.when(F.col("_short") == 1, F.lit(total) - F.col("_before"))).over(part)
+    left = F.max(F.when(F.col("_short") == 1, F.lit(total) - F.col("_before"))).over(part)
     # sharing the rest R among m rows with integer division one after another: floor((R + i) / m)
     share = F.when(F.col("_short") == 0, n).otherwise(F.floor((left + F.col("_k") - first) / (F.col("_n") - first + 1)))
     return out.withColumn("share", share.cast("long")).drop("_k", "_n", "_before", "_even", "_short")

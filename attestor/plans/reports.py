@@ -100,7 +100,7 @@ def tally(key: DataFrame, verdicts: DataFrame, arm: str = "arm") -> DataFrame:
 
 def review_verdicts(sheet: DataFrame, text_col: str = "text") -> DataFrame:
     """``(id, verdict)`` of a review sheet: the latest ``Verdict:`` line under each ``## C01`` heading."""
-    line = sheet.select(F.posexplode(F.split(text_col, "\n")).alias("n", "line"), F.monotonically_increasing_id().alias("sheet"))
+    line = sheet.select(F.sha2(text_col, 256).alias("sheet"), F.posexplode(F.split(text_col, "\n")).alias("n", "line"))
     w = Window.partitionBy("sheet").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     own = line.withColumn("id", F.last(F.nullif(F.regexp_extract("line", r"^##\s+(C\d+)\b", 1), F.lit("")), ignorenulls=True).over(w))
     said = own.withColumn("verdict", F.lower(F.regexp_extract("line", r"(?i)^\s*verdict:\s*(\w+)", 1))).where(F.col("verdict").isin("supported", "partial", "unsupported", "unverifiable"))

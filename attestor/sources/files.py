@@ -8,8 +8,10 @@ wrote.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -49,7 +51,7 @@ def log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     without newline: not decoded).  Blank lines are left out but numbered, from
     1.  ``run_id`` comes from the folder name (null elsewhere).
     """
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     parts = F.split("value", "\n")
     last = F.size(parts) - 1
     rows = files.select("file", last.alias("last"), F.posexplode(parts).alias("pos", "line")).where(F.trim("line") != "")
@@ -83,12 +85,26 @@ def run_records(spark: SparkSession, store: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, store: str) -> DataFrame:
-    """Per run the record's hash and the logs' sizes (-1: no such file), for change detection."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{store}/runs").select("path", "length", "content")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    f = f.select(F.regexp_extract("path", RUN_NAME, 1).alias("run_id"), name.alias("name"), "length", F.when(name == "run.json", F.sha2("content", 256)).alias("sha"))
-    size = lambda n: F.coalesce(F.max(F.when(F.col("name") == n, F.col("length"))), F.lit(-1))
-    return f.groupBy("run_id").agg(F.max("sha").alias("record_sha256"), size("captures.jsonl").alias("capture_bytes"), size("fetches.jsonl").alias("fetch_bytes"), size("citations.jsonl").alias("citation_bytes"))
+    """Per run the record's hash and the logs' sizes (-1: no such file), for change detection.
+
+    File readers do not see empty files, so tasks ask the shared folder itself.
+    """
+    logs = {"captures.jsonl": "capture_bytes", "fetches.jsonl": "fetch_bytes", "citations.jsonl": "citation_bytes"}
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = {"run_id": [], "record_sha256": [], **{c: [] for c in logs.values()}}
+            for run in b["run_id"]:
+                folder = Path(store) / "runs" / run
+                record = folder / "run.json"
+                out["run_id"].append(run)
+                out["record_sha256"].append(hashlib.sha256(record.read_bytes()).hexdigest() if record.is_file() else None)
+                for name, column in logs.items():
+                    out[column].append((folder / name).stat().st_size if (folder / name).is_file() else -1)
+            yield pd.DataFrame(out)
+
+    names = spark.createDataFrame([(r,) for r in existing_runs(store)], "run_id string")
+    return names.mapInPandas(look, "run_id string, record_sha256 string, capture_bytes bigint, fetch_bytes bigint, citation_bytes bigint").where("record_sha256 is not null")
 
 
 def extractions(spark: SparkSession, store: str) -> DataFrame:
@@ -101,7 +117,7 @@ def extractions(spark: SparkSession, store: str) -> DataFrame:
 
 def texts(spark: SparkSession, store: str) -> DataFrame:
     """``(sha256, text)`` of the content-addressed text store; names that are no hash are left out."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(f"{store}/text")
+    t = spark.read.text(f"{store}/text", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     return t.select(F.regexp_extract("_metadata.file_path", r"([0-9a-f]{64})\.txt$", 1).alias("sha256"), F.col("value").alias("text")).where("sha256 != ''")
 
 
@@ -136,7 +152,7 @@ def line_range(text: Column, start: int = 1, end: int | None = None, most: int =
 
 def last_rows(spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
     """A tab-separated log where a later row of a key replaces an earlier one."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line != ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line != ''")
     cells = F.split("line", "\t")
     rows = lines.where(F.size(cells) >= len(columns)).select("pos", *[cells.getItem(i).alias(c) for i, c in enumerate(columns)])
     rest = [c for c in columns if c not in keys]

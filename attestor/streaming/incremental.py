@@ -54,5 +54,5 @@ def sync_sources(spark: SparkSession, folder: str, schema: StructType, state: st
 def event_windows(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and sums per type in event-time windows, late rows within a watermark."""
     w = F.window("ts", size)
-    out = stream.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    out = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "value")
