@@ -18,6 +18,7 @@ from attestor.functions.identity import on_domain
 from attestor.functions.text import informative, words
 from attestor.operators.joins import cosine_to
 from attestor.operators.ranking import cap_per, top
+from attestor.session import spread
 
 # Constants of fusion, discounts and caps.
 FUSION, CAP, DEPTH, LEAST_DEPTH, VOLATILE_DAYS = 60, 2, 5, 50, 365
@@ -214,7 +215,7 @@ def batch_find(passages: DataFrame, queries: DataFrame, k: int = 10, block: int
                 rows = _cut(best, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[rows[:, 0]]), pa.array(rows[:, 2]), pa.array(rows[:, 1])], names=["query_id", "passage_id", "hits"])
 
-        some_rows = passages.dropDuplicates(["passage_id"]).select(F.col("passage_id").cast("long"), "text")
+        some_rows = spread(passages.select(F.col("passage_id").cast("long"), "text").dropDuplicates(["passage_id"]))
         found = some_rows.mapInArrow(count, "query_id long, passage_id long, hits long")
         out = found if out is None else out.union(found)
     return cap_per(out, ["query_id"], [F.desc("hits"), F.col("passage_id")], k, "rank")

@@ -10,6 +10,7 @@ from attestor.functions.text import simhash
 from attestor.operators.components import staged_groups
 from attestor.operators.joins import hash_pairs
 from attestor.plans.claims import claim_relations
+from attestor.session import Scratch, spread
 
 NEAR_CHARS = 1_000  # shorter texts are not compared by SimHash
 
@@ -35,8 +36,10 @@ def near_copies(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Equal hashes come as pairs with their smallest id; see ``hash_pairs``.
     """
-    long = texts.where(F.length(text_col) >= NEAR_CHARS).select(F.col(id_col), simhash(F.col(text_col)).alias("simhash"))
-    return hash_pairs(long, id_col, "simhash")
+    long = spread(texts.where(F.length(text_col) >= NEAR_CHARS).select(id_col, text_col))
+    # hashed once; the pairs read the hashes several times
+    hashes = Scratch(texts.sparkSession, "simhash").save(long.select(F.col(id_col), simhash(F.col(text_col)).alias("simhash")))
+    return hash_pairs(hashes, id_col, "simhash")
 
 
 def origin_groups(fetches: DataFrame, claims: DataFrame, links: DataFrame, texts: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions.citations import citation_marks
 from attestor.functions.markdown import COUNTER_HEADING, COUNTER_SENTENCE, REFERENCE_HEADING, attributed_claims, extract_urls, sections
 from attestor.functions.quotes import quote_found
+from attestor.session import spread
 
 # Quote states, best first.
 STATES = ("found", "unverifiable", "unchecked", "not_found")
@@ -67,7 +68,7 @@ def citation_failures(checked: DataFrame, key: str) -> DataFrame:
 
 def report_metrics(reports: DataFrame, id_col: str = "doc_id", arm_col: str = "source") -> DataFrame:
     """Words, distinct URLs, listed sources, attributed claims and counter-evidence of each report."""
-    r = reports.where("text is not null").select(
+    r = spread(reports.where("text is not null").select(id_col, arm_col, "text")).select(
         id_col, arm_col, F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words"), F.array_distinct(extract_urls(F.col("text"))).alias("urls"),
         F.size(attributed_claims(F.col("text"))).alias("claims"), sections(F.col("text")).alias("parts"),
     )

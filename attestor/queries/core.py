@@ -21,6 +21,7 @@ from attestor.functions.text import informative, quote_key, share_term, words
 from attestor.operators import joins, merge, ranking
 from attestor.plans import claims as claim_plans
 from attestor.plans import find, graph, origins, reports, store
+from attestor.session import spread
 from attestor.sources.tables import table
 
 FLAGSHIP = "hybrid_find"
@@ -538,13 +539,13 @@ def quote_keys(t) -> DataFrame:
 @query()
 def split_passages(t) -> DataFrame:
     """Documents cut into passages with exact offsets."""
-    d = t("documents").where("text is not null").select("doc_id", F.explode(passages_of(F.col("text"))).alias("p"))
+    d = spread(t("documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.explode(passages_of(F.col("text"))).alias("p"))
     return d.select("doc_id", "p.ord", "p.char_start", "p.char_end", F.sha2("p.text", 256).alias("sha"))
 
 
 @query()
 def sentence_counts(t) -> DataFrame:
-    d = t("documents").where("text is not null")
+    d = spread(t("documents").where("text is not null").select("doc_id", "text"))
     return d.select("doc_id", F.size(sentences(F.col("text"))).alias("sentences"))
 
 

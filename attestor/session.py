@@ -98,3 +98,12 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(target))  # Spark's file server hands it to every executor
     context._attestor_shipped = True
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of few input splits dealt out over all cores, for work that costs more than the move.
+
+    A large table has more splits than cores and stays where it lies.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
