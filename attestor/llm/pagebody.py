@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.page_tree import FURNITURE, Node, build_html, render
+from attestor.session import spread
 
 # Wording of site furniture, by role, as whole lines in lower
 # case without list marks and end marks.  x stands for any words.
@@ -237,7 +238,7 @@ def furniture(passages: DataFrame, fetches: DataFrame) -> DataFrame:
             yield out.filter(keep)
 
     lines = passages.where("text is not null and text != ''").select(F.col("passage_id").cast("long"), F.col("document_id").cast("long"), "text")
-    lines = lines.mapInArrow(run, "passage_id long, document_id long, lines array<int>").dropDuplicates(["passage_id"])
+    lines = spread(lines).mapInArrow(run, "passage_id long, document_id long, lines array<int>").dropDuplicates(["passage_id"])
     return lines.join(_other_documents(fetches), "document_id", "left_anti").select("passage_id", F.explode("lines").alias("line_no"))
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.session import spread
+
 # Words that anchor a search.  Lists are plain and can be extended.
 GIVEN_NAMES = """
 Amara Anselm Bruno Casper Dario Edda Elif Emeka Ewan Felix Freya Greta Hamid Hedda Idris Ilse Imre Ines Jarek Joris
@@ -328,7 +330,7 @@ def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     some = documents.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).cast("long"), text_col)
-    return some.mapInArrow(run, "doc_id long, char_start int, char_end int, pii_type string")
+    return spread(some).mapInArrow(run, "doc_id long, char_start int, char_end int, pii_type string")
 
 
 def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:

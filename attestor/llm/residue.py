@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.pagebody import line_role, plain
 from attestor.llm.sitelines import host_of
-from attestor.session import Scratch
+from attestor.session import Scratch, spread
 
 # Names that template fields go by, ways to write a field, words
 # of sentences about fields, wording of messages and fillers (whole sentences
@@ -198,7 +198,7 @@ def residue(passages: DataFrame, fetches: DataFrame, sources: DataFrame, few_ter
             )
 
     some = passages.where("text is not null and text != ''").select(F.col("passage_id").cast("long"), F.col("document_id").cast("long"), "text")
-    read = some.mapInArrow(run, "passage_id long, document_id long, flag boolean, n int, terms array<string>, shape string")
+    read = spread(some).mapInArrow(run, "passage_id long, document_id long, flag boolean, n int, terms array<string>, shape string")
     read = scratch.save(read.dropDuplicates(["passage_id"]))
     direct = read.where("flag").select("passage_id")
 

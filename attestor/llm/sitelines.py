@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.session import Scratch
+from attestor.session import Scratch, spread
 
 # Month names of the languages the pages come in.
 MONTHS = """
@@ -74,7 +74,7 @@ def repeated_lines(
     scratch = Scratch(passages.sparkSession, "lines")
     keys = F.transform(F.split("text", "\n"), line_key)
     hashed = F.transform(keys, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("h"), F.hash(k).alias("g"))))
-    rows = passages.where("text is not null").select("passage_id", "document_id", hashed.alias("keys"))
+    rows = spread(passages.where("text is not null").select("passage_id", "document_id", "text")).select("passage_id", "document_id", hashed.alias("keys"))
     # only hashes travel to meet their site, never the texts
     rows = rows.join(document_sites(fetches, sources), "document_id")
     lines = rows.select("passage_id", "document_id", "site", F.posexplode("keys").alias("line_no", "k")).where("k is not null")
