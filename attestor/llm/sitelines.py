@@ -41,9 +41,9 @@ def line_key(line: Column) -> Column:
     """
     short = "|".join(SHORT_MONTHS)
     x = F.lower(line)
-    x = F.regexp_replace(x, rf"(?<=\d[.,]? ?)\b(?:{short})\b\.?(?=[ .,]*\d)", " ")
-    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(MONTHS)})(?![\p{{L}}\p{{M}}])", " ")
-    return F.regexp_replace(x, r"[^\p{L}\p{M}]+", "")
+    beside = F.regexp_replace(x, rf"(?<=\d[.,]? ?)\b(?:{short})\b\.?(?=[ .,]*\d)", " ")
+    words = F.split(F.when(x.rlike(rf"\d[.,]? ?(?:{short})\b"), beside).otherwise(x), r"[^\p{L}\p{M}]+")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(MONTHS)), "")
 
 
 def document_sites(fetches: DataFrame, sources: DataFrame) -> DataFrame:
