@@ -53,4 +53,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
 }
 
-SQL: dict[str, str] = {}
+_FINITE = "list_sum(list_transform(embedding, lambda x: case when isfinite(x) then 0 else 1 end)) = 0"
+
+SQL: dict[str, str] = {
+    "p2_found": """
+with recursive pair as (select least(from_claim, to_claim) as a, greatest(from_claim, to_claim) as b, relation,
+    row_number() over (partition by least(from_claim, to_claim), greatest(from_claim, to_claim)
+      order by case method when 'human' then 1 when 'model' then 2 else 3 end, created_at desc, from_claim, relation desc) as n
+  from claim_links where from_claim <> to_claim and method in ('human', 'model', 'rule')
+    and from_claim in (select claim_id from claims) and to_claim in (select claim_id from claims)),
+e as (select 'claim' as k, a, b from pair where n = 1 and relation = 'same' union select 'document', document_id, origin_id from origins where document_id <> origin_id),
+both_ways as (select k, a, b from e union select k, b, a from e),
+reach as (select k, a as id, a as seen from both_ways union select reach.k, id, b from reach join both_ways w on w.k = reach.k and w.a = reach.seen)
+select k as record_kind, min(seen) as group_id, id as record_id from reach group by k, id""",
+    "p3_found": f"""
+with v as (select claim_id as id, embed_model as m, embedding::double[] as e from (select *, row_number() over (partition by claim_id order by embedded_at desc) as n from claim_vectors
+   where embed_model is not null and embedding is not null and len(embedding) = 96 and {_FINITE} and list_sum(list_transform(embedding, lambda x: abs(x))) > 0) where n = 1),
+s as (select q.id as q, v.id as o, round(list_cosine_similarity(q.e, v.e), 9) as sim from v q join v on v.m = q.m and v.id <> q.id),
+r as (select *, row_number() over (partition by q order by sim desc, o) as n from s where sim >= 0.75)
+select distinct least(q, o) as claim_a, greatest(q, o) as claim_b from r where n <= 5""",
+    "p5_found": r"""
+with site as (select f.document_id, regexp_replace(regexp_extract(lower(trim(s.url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '') as site
+   from (select document_id, min(source_id) as source_id from fetches where document_id is not null group by 1) f join sources s using (source_id)),
+p as (select distinct passage_id, document_id, text from passages where text is not null),
+l as (select passage_id, document_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from p),
+k as (select passage_id, document_id, line_no, array_to_string(list_filter(regexp_split_to_array(lower(line), '[^\p{L}\p{M}]+'), lambda w: w not in (MONTHS)), '') as key from l),
+j as (select k.*, site from k join site using (document_id) where key <> '' and site <> ''),
+c as (select site, key from j group by 1, 2 having count(distinct document_id) >= 6)
+select passage_id, line_no::int as line_no from j semi join c using (site, key)""".replace("MONTHS", ", ".join(f"'{m}'" for m in sitelines.MONTHS)),
+}
