@@ -17,6 +17,7 @@ from attestor.functions.identity import doi_of, domain_of, fetchable, hash63, sl
 from attestor.functions.passages import passages as passages_of
 from attestor.functions.passages import sentences
 from attestor.functions.quotes import locate_quote
+from attestor.functions.records import content_kind, document_quote
 from attestor.functions.text import informative, quote_key, share_term, words
 from attestor.operators import joins, merge, ranking
 from attestor.plans import claims as claim_plans
@@ -659,3 +660,110 @@ def event_properties(t) -> DataFrame:
     """JSON properties of events, read with a schema."""
     e = t("events").select(F.from_json("props", "k bigint").alias("p"), "event_type", "value")
     return e.groupBy(F.col("p.k").alias("k"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+# ---------------------------------------------------------------- records
+
+
+@query(
+    r"""
+with d as (select document_id, content_type from (select *, row_number() over (partition by document_id order by attempted_at, run_id, seq) as n from fetches where document_id is not null) where n = 1)
+select document_id, case when lower(trim(split_part(coalesce(content_type, ''), ';', 1))) = 'application/pdf' then 'pdf' when lower(trim(split_part(coalesce(content_type, ''), ';', 1))) in ('text/html', 'application/xhtml+xml') then 'html'
+  when lower(trim(split_part(coalesce(content_type, ''), ';', 1))) like 'text/%' then 'text' else 'other' end as kind from d"""
+)
+def content_kinds(t) -> DataFrame:
+    """Each document's kind by its first fetch's media type."""
+    f = ranking.best_per(t("fetches").where("document_id is not null"), ["document_id"], [F.col("attempted_at"), F.col("run_id"), F.col("seq")])
+    return f.select("document_id", content_kind(F.col("content_type"), F.lit(None).cast("string")).alias("kind"))
+
+
+@query(
+    """
+with c as (select distinct claim_id, document_id, passage_id, quote, quote_verified, char_start, char_end from claims), p as (select distinct passage_id, text, char_start as base from passages)
+select claim_id, case when quote_verified then case when char_start is not null and char_start - base >= 0 and char_end > char_start and char_end - base <= length(text) then substr(text, char_start - base + 1, char_end - char_start) else quote end end as quote
+from c join p using (passage_id)"""
+)
+def claim_quotes(t) -> DataFrame:
+    """Verified claims' quotes as their documents have them."""
+    c = t("claims").dropDuplicates(["claim_id"]).select("claim_id", "passage_id", "quote", "quote_verified", "char_start", "char_end")
+    p = t("passages").dropDuplicates(["passage_id"]).select("passage_id", "text", F.col("char_start").alias("base"))
+    q = document_quote(F.col("text"), F.col("char_start") - F.col("base"), F.col("char_end") - F.col("base"), F.col("quote"), F.col("quote_verified"))
+    return c.join(p, "passage_id").select("claim_id", q.alias("quote"))
+
+
+@query(
+    """
+with c as (select distinct claim_id, document_id, quote_verified, extracted_at from claims where quote_verified), v as (select distinct claim_id from claim_vectors where embedding is not null),
+ e as (select from_claim as claim_id from claim_links union select to_claim from claim_links)
+select claim_id, document_id, epoch_us(extracted_at) as extracted_us from c where claim_id in (select claim_id from v) and claim_id not in (select claim_id from e)"""
+)
+def unchecked_claims(t) -> DataFrame:
+    """Verified claims with a vector that no link has touched yet."""
+    c = t("claims").where("quote_verified").dropDuplicates(["claim_id"])
+    v = t("claim_vectors").where("embedding is not null").select("claim_id").distinct()
+    e = t("claim_links").select(F.explode(F.array("from_claim", "to_claim")).alias("claim_id")).distinct()
+    out = c.join(v, "claim_id", "left_semi").join(e, "claim_id", "left_anti")
+    return out.select("claim_id", "document_id", F.unix_micros("extracted_at").alias("extracted_us"))
+
+
+@query(
+    f"""
+with {_F} select s.source_id, s.url_key, count(f.seq) as attempts, count(distinct f.document_id) as documents, count(distinct f.run_id) as runs,
+  count(distinct case when f.reason = 'cited' then f.run_id end) as citing_runs, strftime(max(f.attempted_at), '%Y-%m-%d') as last_attempt
+from sources s left join f using (source_id) group by 1, 2"""
+)
+def source_lookup(t) -> DataFrame:
+    """Every source with its attempts, documents and the runs that cite it."""
+    f = store.deliveries(t("fetches")).groupBy("source_id").agg(
+        F.count("*").alias("attempts"), F.count_distinct("document_id").alias("documents"), F.count_distinct("run_id").alias("runs"), F.count_distinct(F.when(F.col("reason") == "cited", F.col("run_id"))).alias("citing_runs"),
+        F.date_format(F.max("attempted_at"), "yyyy-MM-dd").alias("last_attempt"),
+    )
+    return t("sources").select("source_id", "url_key").join(f, "source_id", "left").fillna(0, ["attempts", "documents", "runs", "citing_runs"])
+
+
+@query(
+    f"""
+with {_F}, v as (select source_id, document_id, min(attempted_at) as first_at, any_value(text_sha256) as sha from f where document_id is not null group by 1, 2)
+select source_id, document_id, strftime(first_at, '%Y-%m-%d') as first_fetched, row_number() over (partition by source_id order by first_at desc, document_id) as version from v"""
+)
+def document_versions(t) -> DataFrame:
+    """Documents of each source, the newest first."""
+    v = store.deliveries(t("fetches")).where("document_id is not null").groupBy("source_id", "document_id").agg(F.min("attempted_at").alias("first_at"))
+    w = Window.partitionBy("source_id").orderBy(F.desc("first_at"), "document_id")
+    return v.select("source_id", "document_id", F.date_format("first_at", "yyyy-MM-dd").alias("first_fetched"), F.row_number().over(w).alias("version"))
+
+
+@query(
+    """
+with o as (select document_id, min(origin_id) as origin_id from origins group by 1), c as (select claim_id, any_value(document_id) as document_id from claims group by 1)
+select coalesce(origin_id, c.document_id) as origin, count(*) as claims, count(distinct c.document_id) as documents from c left join o using (document_id) group by 1"""
+)
+def origin_claims(t) -> DataFrame:
+    """Claims and documents of each independent origin."""
+    o = t("origins").groupBy("document_id").agg(F.min("origin_id").alias("origin_id"))
+    c = t("claims").groupBy("claim_id").agg(F.min("document_id").alias("document_id"))
+    return c.join(o, "document_id", "left").groupBy(F.coalesce("origin_id", "document_id").alias("origin")).agg(F.count("*").alias("claims"), F.count_distinct("document_id").alias("documents"))
+
+
+@query("select doc_id, substr(text, 201, 500) as slice, length(text) > 700 as truncated from documents where text is not null")
+def document_slices(t) -> DataFrame:
+    """Characters 200 to 700 of every document and whether more follows."""
+    s = store.document_slice(F.col("text"), 200, 500)
+    return t("documents").where("text is not null").select("doc_id", s["text"].alias("slice"), s["truncated"].alias("truncated"))
+
+
+@query(
+    """
+with p as (select distinct passage_id, document_id, text_sha256 from passages)
+select text_sha256, count(*) as passages, count(distinct document_id) as documents, min(passage_id) as first_passage from p group by 1 having count(distinct document_id) > 1"""
+)
+def shared_passages(t) -> DataFrame:
+    """Passage texts that several documents share, by content hash."""
+    p = t("passages").dropDuplicates(["passage_id"]).groupBy("text_sha256").agg(F.count("*").alias("passages"), F.count_distinct("document_id").alias("documents"), F.min("passage_id").alias("first_passage"))
+    return p.where("documents > 1")
+
+
+@query("select o_orderpriority as arm, count(*) as calls, round(sum(o_totalprice), 2) as cost, count(*) filter (where o_orderstatus = 'F') as errors from orders group by 1")
+def call_totals(t) -> DataFrame:
+    """Per arm: calls, cost and errors (orders stand in for a call log)."""
+    return t("orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(F.count("*").alias("calls"), F.round(F.sum("o_totalprice"), 2).alias("cost"), F.count_if(F.col("o_orderstatus") == "F").alias("errors"))
