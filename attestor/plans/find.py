@@ -99,6 +99,7 @@ def text_arm(rows: DataFrame, q: Query, id_col: str) -> DataFrame:
     w = words(F.col("text"))
     hits = F.size(F.filter(w, lambda x: x.isin(q.terms))) if q.terms else F.lit(0)
     found = rows.select(F.col(id_col).alias("id"), hits.alias("text_hits")).where(F.col("text_hits") > 0)
+    found = found.groupBy("id").agg(F.max("text_hits").alias("text_hits"))  # repeated rows fold here, without their texts
     return top(found, [F.desc("text_hits"), F.col("id")], q.depth, "text_rank")
 
 
@@ -122,14 +123,14 @@ def find(q: Query, passages: DataFrame, claims: DataFrame, vectors: DataFrame, d
     arms = []
     kinds = set(q.kinds) or set(KINDS)
     if kinds & {"passage", "report"}:
-        p = passages.dropDuplicates(["passage_id"])
+        p = passages
         if bounded(q):
             p = p.join(docs.select("document_id"), "document_id", "left_semi")
         if q.run:
             p = p.where(F.col("run_id") == q.run)
         arms.append((text_arm(p, q, "passage_id"), None, p, "passage_id"))
     if "claim" in kinds:
-        c = claims.where("quote_verified").dropDuplicates(["claim_id"])
+        c = claims.where("quote_verified")
         if bounded(q):
             c = c.join(docs.select("document_id"), "document_id", "left_semi")
         v = vectors.join(c.select("claim_id"), "claim_id", "left_semi") if q.vector else None
@@ -141,7 +142,7 @@ def find(q: Query, passages: DataFrame, claims: DataFrame, vectors: DataFrame, d
         extra = [F.col("as_of"), F.col("volatile")] if is_claim else [F.lit(None).cast("string").alias("as_of"), F.lit(False).alias("volatile")]
         some = rows.select(F.col(id_col).alias("id"), "document_id", "text", *extra)
         # at most 2 x depth ids meet the texts
-        card = some.join(F.broadcast(ids), "id").withColumn("kind", F.lit("claim" if is_claim else "passage"))
+        card = some.join(F.broadcast(ids), "id").dropDuplicates(["id"]).withColumn("kind", F.lit("claim" if is_claim else "passage"))
         cards = card if cards is None else cards.unionByName(card)
     cards = cards.join(docs, "document_id")
     kind = F.when(F.col("kind") == "claim", "claim").when(F.col("origin") == "synthesis", "report").otherwise("passage")
@@ -194,8 +195,8 @@ def batch_find(passages: DataFrame, queries: DataFrame, k: int = 10, block: int
             best: list[np.ndarray] = []
             for batch in batches:
                 for i in range(0, len(batch), 1_000):
-                    ids = batch.column(0).slice(i, 1_000).to_numpy(zero_copy_only=False)
-                    low = pc.utf8_lower(pc.fill_null(batch.column(1).slice(i, 1_000), ""))
+                    ids, once = np.unique(batch.column(0).slice(i, 1_000).to_numpy(zero_copy_only=False), return_index=True)
+                    low = pc.utf8_lower(pc.fill_null(batch.column(1).slice(i, 1_000).take(pa.array(once)), ""))
                     split = pc.split_pattern_regex(low, r"[^\pL\p{Nd}]+")
                     coded = pc.list_flatten(split).dictionary_encode()
                     own = pc.fill_null(pc.index_in(coded.dictionary, known), -1).to_numpy(zero_copy_only=False)
@@ -215,14 +216,15 @@ def batch_find(passages: DataFrame, queries: DataFrame, k: int = 10, block: int
                 rows = _cut(best, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[rows[:, 0]]), pa.array(rows[:, 2]), pa.array(rows[:, 1])], names=["query_id", "passage_id", "hits"])
 
-        some_rows = spread(passages.select(F.col("passage_id").cast("long"), "text").dropDuplicates(["passage_id"]))
+        some_rows = spread(passages.select(F.col("passage_id").cast("long"), "text"))
         found = some_rows.mapInArrow(count, "query_id long, passage_id long, hits long")
         out = found if out is None else out.union(found)
-    return cap_per(out, ["query_id"], [F.desc("hits"), F.col("passage_id")], k, "rank")
+    # a passage delivered twice may come from two tasks
+    return cap_per(out.distinct(), ["query_id"], [F.desc("hits"), F.col("passage_id")], k, "rank")
 
 
 def _cut(parts: list[np.ndarray], k: int) -> np.ndarray:
-    x = np.concatenate(parts)
+    x = np.unique(np.concatenate(parts), axis=0)
     x = x[np.lexsort((x[:, 2], -x[:, 1], x[:, 0]))]
     first = np.r_[True, x[1:, 0] != x[:-1, 0]]
     rank = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))

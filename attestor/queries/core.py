@@ -462,7 +462,7 @@ select passage_id, hits, row_number() over (order by hits desc, passage_id) as r
 )
 def text_top(t) -> DataFrame:
     """The 50 passages with most occurrences of a query's words."""
-    a = find.text_arm(t("passages").dropDuplicates(["passage_id"]), find.Query(_Q, now=NOW), "passage_id")
+    a = find.text_arm(t("passages"), find.Query(_Q, now=NOW), "passage_id")
     return a.select(F.col("id").alias("passage_id"), F.col("text_hits").alias("hits"), F.col("text_rank").alias("rank"))
 
 
