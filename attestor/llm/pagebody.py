@@ -101,9 +101,8 @@ MENU = {w.replace("-", " ") for w in MENU_WORDS}
 
 def plain(line: str) -> str:
     """A line in lower case, one space between words, without list and end marks."""
-    x = re.sub(r"\s+", " ", line.replace("’", "'")).strip().lower()
-    x = MARK.sub("", x)
-    return re.sub(r"[\s.!…»›:]+\Z", "", x)
+    x = " ".join(line.replace("’", "'").split()).lower()
+    return MARK.sub("", x).rstrip(" \t\n\u00a0.!…»›:")
 
 
 @lru_cache(1 << 16)

@@ -137,37 +137,38 @@ def may_be_message(sentence: str) -> bool:
 
 def latin(line: str) -> bool:
     """Pseudo-Latin filler: nearly every word is made of its syllables."""
-    start = TERM.findall(line[:80].lower())
-    if len(start) < 4 or sum(bool(LATIN_WORD.match(w)) or w in LATIN_WORDS for w in start) < 0.6 * len(start):
+    made = lambda w: bool(LATIN_WORD.match(w)) or w in LATIN_WORDS
+    if not any(made(w.lower()) for w in TERM.findall(line[:40])[:3]):
         return False
     words = TERM.findall(line.lower())
-    if len(words) < 6:
-        return False
-    made = sum(bool(LATIN_WORD.match(w)) or w in LATIN_WORDS for w in words)
-    return made >= 0.8 * len(words)
+    return len(words) >= 6 and sum(map(made, words)) >= 0.8 * len(words)
+
 
+def content_lines(text: str) -> list[str]:
+    """Non-blank lines that are no furniture."""
+    return [x for x in text.split("\n") if x.strip() and line_role(x) == "text"]
 
-def has_residue(text: str) -> bool:
+
+def has_residue(text: str, lines: list[str] | None = None) -> bool:
     if open_fields(text):
         return True
-    for line in text.split("\n"):
-        if not line.strip() or line_role(line) != "text":
-            continue
-        if latin(line):
-            return True
-        if len(line) <= 200 and message(line):
+    for line in content_lines(text) if lines is None else lines:
+        if len(line) <= 200 and message(line) or latin(line):
             return True
         if any(may_be_message(s) and message(s) or s.startswith("Lorem ipsum") for s in SENTENCE.split(line)):
             return True
     return False
 
 
-def _terms(text: str) -> tuple[list[str], str]:
-    """Distinct terms of the lines that are no furniture, and those lines' shape."""
-    lines = [x for x in text.split("\n") if x.strip() and line_role(x) == "text"]
+def _terms(lines: list[str], few: int) -> tuple[list[str], int, str]:
+    """Distinct terms, how many (``few`` + 1 means more), and the lines' shape; nothing but the number if more."""
     body = "\n".join(lines)
-    shape = re.sub(r"\b(?=\w*\d)\w+\b", "#", plain(body))
-    return sorted(set(TERM.findall(body.lower()))), shape
+    terms: set[str] = set()
+    for m in TERM.finditer(body.lower()):
+        terms.add(m[0])
+        if len(terms) > few:
+            return [], few + 1, ""
+    return sorted(terms), len(terms), re.sub(r"\b(?=\w*\d)\w+\b", "#", plain(body))
 
 
 def residue(passages: DataFrame, fetches: DataFrame, sources: DataFrame, few_terms: int = 25, copies: int = 3) -> DataFrame:
@@ -186,12 +187,12 @@ def residue(passages: DataFrame, fetches: DataFrame, sources: DataFrame, few_ter
         for batch in batches:
             flags, terms, counts, shapes = [], [], [], []
             for t in batch.column(2).to_pylist():
-                words, shape = _terms(t)
-                flags.append(has_residue(t))
-                counts.append(len(words))
-                few = len(words) <= few_terms
-                terms.append(words if few else [])
-                shapes.append(shape if few else "")
+                lines = content_lines(t)
+                words, n, shape = _terms(lines, few_terms)
+                flags.append(has_residue(t, lines))
+                counts.append(n)
+                terms.append(words)
+                shapes.append(shape)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(flags), pa.array(counts, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(shapes, pa.string())],
                 names=["passage_id", "document_id", "flag", "n", "terms", "shape"],
