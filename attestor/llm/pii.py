@@ -31,8 +31,9 @@ Stefan Susan Sven Thomas Ursula Walter William Yuki
 TITLES = "Dr Prof Mr Mrs Ms Mme Mlle Frau Herr Doña Don Sra Sr Señora Señor".split()
 STREETS = "Street St Road Rd Lane Ln Avenue Ave Drive Terrace Row Close Way Court Crescent Square Gardens Place".split()
 STREETS_DE = "weg straße strasse str. gasse allee platz damm ufer ring".split()
+STREETS_DE_AT = "am|an der|an den|an dem|auf der|auf dem|im|in der|in den|zum|zur|unter den|hinter der|hinter dem|vor dem".split("|")
 STREETS_FR = "rue quai place allée avenue boulevard chemin impasse cours".split()
-STREETS_ES = "Calle Paseo Plaza Avenida Camino Ronda Travesía".split()
+STREETS_ES = "Calle Paseo Plaza Avenida Avda. Av. Pza. Camino Ronda Travesía Carretera".split()
 ORGANISATIONS = """
 Archive Authority Board College Cooperative Council Desk Field Guild Harbour Institute Journal Museum Observatory
 Office Ports Registry Review Society Station Survey Trust University Water Weekly Street Road Lane Quay
@@ -103,11 +104,14 @@ ADDRESSES = {
         rf"(?:P\.?[ ]?O\.?[ ]?Box|Postfach|Apartado|BP)[ ]\d+{BREAK}((?:\d{{5}}[ ])?{TOWN}(?:,?[ ][A-Z]{{1,2}}\d[A-Z\d]?[ ]\d[A-Z]{{2}}|,?[ ][A-Z]{{2}}[ ]\d{{5}})?)"
     ),
     "de": re.compile(rf"[{U}][{L}\-]*(?:{'|'.join(map(re.escape, STREETS_DE))})[ ]\d+[ ]?[a-z]?{BREAK}(\d{{5}}[ ]{TOWN})"),
+    "de at": re.compile(
+        rf"(?:{'|'.join(x.capitalize() for x in STREETS_DE_AT)})[ ][{U}][{L}\-]+(?:[ ][{U}][{L}\-]+)?[ ]\d+[ ]?[a-z]?{BREAK}(\d{{5}}[ ]{TOWN})"
+    ),
     "fr": re.compile(
         rf"\d+(?:[ ](?:bis|ter))?,?[ ](?:{'|'.join(STREETS_FR)})[ ](?:de[ ]la[ ]|de[ ]l['’]|du[ ]|des[ ]|de[ ]|d['’])?[{U}{L}'’\-]+(?:[ ][{U}][{L}'’\-]+)*{BREAK}(\d{{5}}[ ]{TOWN})"
     ),
     "es": re.compile(
-        rf"(?:{'|'.join(STREETS_ES)}|C/)[ ](?:de[ ]la[ ]|del[ ]|de[ ]los[ ]|de[ ]las[ ]|de[ ])?[{U}][{L}]+(?:[ ][{U}][{L}]+)*,?[ ]\d+"
+        rf"(?:{'|'.join(map(re.escape, STREETS_ES))}|C/)[ ](?:de[ ]la[ ]|del[ ]|de[ ]los[ ]|de[ ]las[ ]|de[ ])?[{U}][{L}]+(?:[ ][{U}][{L}]+)*,?[ ]\d+"
         rf"(?:,[ ](?:bajo|ático|\d+\.?[ºª](?:[ ]?[A-Z]\b)?))?{BREAK}(\d{{5}}[ ]{TOWN})"
     ),
     "ja": re.compile(r"〒\s?\d{3}-?\d{4}\s*[\u3040-\u30ff\u3400-\u9fff]+?[県都府道][\u3040-\u30ff\u3400-\u9fff]+\d+(?:[-−ー丁目番号\d])*"),
@@ -121,7 +125,7 @@ def _anchors() -> ahocorasick.Automaton:
         [("@", "at"), ("(at)", "spelt"), ("[at]", "spelt"), ("{at}", "spelt"), (" at ", "spelt words"), ("〒", "ja")]
         + [(n.lower(), "given") for n in GIVEN_NAMES] + [(t.lower(), "title") for t in TITLES]
         + [(f" {s.lower()}", "en") for s in STREETS] + [("box ", "box"), ("postfach ", "box"), ("apartado ", "box")]
-        + [(f"{s} ", "de") for s in STREETS_DE] + [(f" {s} ", "fr") for s in STREETS_FR] + [(f"{s.lower()} ", "es") for s in STREETS_ES]
+        + [(f"{s} ", "de") for s in STREETS_DE] + [(f"{s} ", "de at") for s in STREETS_DE_AT] + [(f" {s} ", "fr") for s in STREETS_FR] + [(f"{s.lower()} ", "es") for s in STREETS_ES]
         + [(c, "cue") for c in ID_CUES] + [(d, "digit") for d in "0123456789"] + [(". ", "initial")]
     ):
         a.add_word(word, (kind, len(word)))
@@ -161,7 +165,7 @@ class Finder:
             m = SPELT_DOMAIN.match(text, end)
             if m and re.search(r"(?i)[ (\[{]dot[ )\]}]", m[1]):
                 self._email(text, start, end, SPELT_DOMAIN, take)
-        for kind in ("en", "box", "de", "fr", "es", "ja"):
+        for kind in ("en", "box", "de", "de at", "fr", "es", "ja"):
             for start, end in hits.get(kind, ()):
                 self._address(text, kind, start, take)
         for start, end in hits.get("cue", ()):

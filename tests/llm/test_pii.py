@@ -18,6 +18,8 @@ CASES = [
     ("Courrier : 54 bis, rue des Voiliers, 00881 Melsamere.", [("54 bis, rue des Voiliers, 00881 Melsamere", "address")]),
     ("Deichweg 53\n02990 Ostgomarsh", [("Deichweg 53\n02990 Ostgomarsh", "address")]),
     ("visite Plaza Salina 23, 2.º B, 00334 Svalnimoor.", [("Plaza Salina 23, 2.º B, 00334 Svalnimoor", "address")]),
+    ("Post geht an Am Pegel 17a, 04759 Marsastad.", [("Am Pegel 17a, 04759 Marsastad", "address")]),
+    ("visite Avda. de la Ribera 33, 2.º B, 00215 Norteford.", [("Avda. de la Ribera 33, 2.º B, 00215 Norteford", "address")]),
     ("送付先:〒000-8962 葦原県鷺沼町4-2-14。", [("〒000-8962 葦原県鷺沼町4-2-14", "address")]),
     ("See Table 12 Ferry Road traffic and the Institute on Quay Street.", []),
     ("Reviewed by Dr Petra Pell-Ulv and ZOFIA ZELOTTILA, Town College.", [("Petra Pell-Ulv", "person"), ("ZOFIA ZELOTTILA", "person")]),
