@@ -103,7 +103,11 @@ def ship_package(spark: SparkSession) -> None:
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of few input splits dealt out over all cores, for work that costs more than the move.
 
-    A large table has more splits than cores and stays where it lies.
+    A large table has more splits than cores and stays where it lies; so does
+    what comes out of a shuffle, whose partitions Spark sizes itself.
     """
+    plan = rows._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows if plan.toRdd().getNumPartitions() >= cores else rows.repartition(cores)
