@@ -96,9 +96,10 @@ def bounded(q: Query) -> bool:
 
 def text_arm(rows: DataFrame, q: Query, id_col: str) -> DataFrame:
     """``(id, text_rank, text_hits)``: most occurrences of the query's words first."""
-    w = words(F.col("text"))
-    hits = F.size(F.filter(w, lambda x: x.isin(q.terms))) if q.terms else F.lit(0)
-    found = rows.select(F.col(id_col).alias("id"), hits.alias("text_hits")).where(F.col("text_hits") > 0)
+    if not q.terms:
+        return rows.sparkSession.createDataFrame([], "id long, text_hits int, text_rank int")
+    hits = F.size(F.filter(words(F.col("text")), lambda x: x.isin(q.terms)))
+    found = spread(rows.select(F.col(id_col).alias("id"), "text")).select("id", hits.alias("text_hits")).where(F.col("text_hits") > 0)
     found = found.groupBy("id").agg(F.max("text_hits").alias("text_hits"))  # repeated rows fold here, without their texts
     return top(found, [F.desc("text_hits"), F.col("id")], q.depth, "text_rank")
 
