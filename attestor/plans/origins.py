@@ -31,15 +31,39 @@ def same_claims(claims: DataFrame, links: DataFrame, at_least: int = 2) -> DataF
     return pair.where(F.col("n") >= at_least).select("a", "b")
 
 
+def _hashes(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id_col, simhash)`` of the texts of NEAR_CHARS or more; hashed once, the pairs read them several times."""
+    long = spread(texts.where(F.length(text_col) >= NEAR_CHARS).select(id_col, text_col))
+    return Scratch(texts.sparkSession, "simhash").save(long.select(F.col(id_col), simhash(F.col(text_col)).alias("simhash")))
+
+
 def near_copies(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of texts of NEAR_CHARS or more whose SimHashes differ in three bits at most.
 
     Equal hashes come as pairs with their smallest id; see ``hash_pairs``.
     """
-    long = spread(texts.where(F.length(text_col) >= NEAR_CHARS).select(id_col, text_col))
-    # hashed once; the pairs read the hashes several times
-    hashes = Scratch(texts.sparkSession, "simhash").save(long.select(F.col(id_col), simhash(F.col(text_col)).alias("simhash")))
-    return hash_pairs(hashes, id_col, "simhash")
+    return hash_pairs(_hashes(texts, id_col, text_col), id_col, "simhash")
+
+
+def near_links(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each text with a near copy: ``class_id``, ``first_near`` and the number of all its ``links``.
+
+    A class is the texts of one SimHash, named by its smallest id.  Only
+    classes meet; sizes and smallest ids of the near ones are summed, so
+    copies are counted in full and their pairs never made.  Rows of one id and
+    one hash count once.
+    """
+    hashes = _hashes(texts, id_col, text_col).where("simhash is not null").distinct()
+    classes = hashes.groupBy("simhash").agg(F.min(id_col).alias("class_id"), F.count("*").alias("size"))
+    second = hashes.join(classes, "simhash").where(F.col(id_col) != F.col("class_id")).groupBy("class_id").agg(F.min(id_col).alias("second"))
+    pairs = hash_pairs(classes, "class_id", "simhash").select("a", "b")
+    sizes = classes.select("class_id", "size")
+    ends = pairs.union(pairs.select("b", "a")).toDF("class_id", "o").join(sizes.toDF("o", "o_size"), "o")
+    near = ends.groupBy("class_id").agg(F.min("o").alias("near"), F.sum("o_size").alias("near_size"))
+    whole = classes.join(second, "class_id", "left").join(near, "class_id", "left")
+    own = F.when(F.col(id_col) == F.col("class_id"), F.col("second")).otherwise(F.col("class_id"))
+    out = hashes.join(whole, "simhash").select(id_col, "class_id", F.least(own, F.col("near")).alias("first_near"), (F.col("size") - 1 + F.coalesce("near_size", F.lit(0))).alias("links"))
+    return out.where("links > 0")
 
 
 def origin_groups(fetches: DataFrame, claims: DataFrame, links: DataFrame, texts: DataFrame | None = None) -> DataFrame:

@@ -436,10 +436,8 @@ def origin_reasons(t) -> DataFrame:
 
 @query()
 def near_copies(t) -> DataFrame:
-    """Documents with a near copy: one row each with the smallest near copy and how many links."""
-    pairs = origins.near_copies(t("documents"), "doc_id", "text")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("o")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("o")))).alias("e")).select("e.*")
-    return ends.groupBy("doc_id").agg(F.min("o").alias("first_near"), F.count("*").alias("links"))
+    """Documents with a near copy: one row each with its class of equal hashes, the smallest near copy and how many links."""
+    return origins.near_links(t("documents"), "doc_id", "text")
 
 
 @query("select sha256(text) as sha, min(doc_id) as first_doc, count(*) as copies from documents where text is not null group by 1 having count(*) > 1")

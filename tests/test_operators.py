@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from attestor.functions.text import simhash_of
 from attestor.operators import joins, merge, ranking
 from attestor.operators.components import components, staged_groups
 from attestor.session import Scratch
@@ -167,3 +168,23 @@ def test_origin_stages(spark):
     c = spark.createDataFrame([], "claim_id long, document_id long")
     l = spark.createDataFrame([], "from_claim long, to_claim long, relation string, method string, created_at timestamp")
     assert rows(origins.origin_groups(f, c, l), "document_id", "origin_id", "reason") == [(1, 1, "self"), (2, 1, "source"), (3, 1, "final-url"), (4, 1, "doi"), (5, 5, "self")]
+
+
+def test_near_links_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    texts = [" ".join(base)]
+    while len(texts) < 30:  # small changes of one text, and texts of their own
+        w = list(base) if len(texts) % 3 else [f"u{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts = texts + texts[:9] * 2 + texts[1:4] * 3 + ["short", None]
+    rng.shuffle(texts)
+    docs = [(100 - i, t) for i, t in enumerate(texts)]
+    h = {i: simhash_of(t) & (2**64 - 1) for i, t in docs if t and len(t) >= origins.NEAR_CHARS}
+    near = {i: [j for j in h if j != i and (h[i] ^ h[j]).bit_count() <= 3] for i in h}
+    want = sorted((i, min(j for j in h if h[j] == h[i]), min(js), len(js)) for i, js in near.items() if js)
+    assert any(h[i] != h[j] for i in near for j in near[i]) and any(h[i] == h[j] for i in near for j in near[i])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(origins.near_links(df, "doc_id", "text"), "doc_id", "class_id", "first_near", "links") == want
