@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions.citations import citation_marks
 from attestor.functions.markdown import COUNTER_HEADING, COUNTER_SENTENCE, REFERENCE_HEADING, attributed_claims, extract_urls, sections
 from attestor.functions.quotes import quote_found
-from attestor.session import spread
+from attestor.session import Scratch, spread
 
 # Quote states, best first.
 STATES = ("found", "unverifiable", "unchecked", "not_found")
@@ -19,27 +19,68 @@ def marks(reports: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return reports.where(F.col(text_col).isNotNull()).select(id_col, F.explode(citation_marks(F.col(text_col))).alias("m")).select(id_col, "m.*")
 
 
-def check_marks(found: DataFrame, targets: DataFrame) -> DataFrame:
+def citation_targets(found: DataFrame, fetches: DataFrame, passages: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """``kind, run_id, target, text, partial``: what the marks of reports cite.
+
+    ``found`` has ``run_id`` beside the marks.  E is a fetch of the report's run
+    by its number, P a passage with its neighbours, C a claim by the passages
+    around it (the whole document without a passage), S a source by all its
+    documents.  ``run_id`` is empty for all but E.  Only abstracts are partial:
+    a quote that they lack may still be true.  Texts are rebuilt from passages,
+    and only those of marks with a quote.
+    """
+    none, whole = F.lit(""), (F.lit(0), F.lit(2**31 - 1))
+    docs = fetches.where("document_id is not null")
+    kinds = docs.groupBy("document_id").agg((F.count_if(F.col("content_kind") == "full") == 0).alias("partial"))
+    place = passages.groupBy("passage_id").agg(F.min(F.struct("document_id", "ord")).alias("at")).select("passage_id", F.col("at.document_id").alias("_doc"), F.col("at.ord").alias("_ord"))
+    around = (F.coalesce(F.col("_ord") - 1, whole[0]), F.coalesce(F.col("_ord") + 1, whole[1]))
+    row = lambda kind, run, target, doc, span: (F.lit(kind).alias("kind"), run.alias("run_id"), F.col(target).cast("long").alias("target"), doc.alias("document_id"), span[0].alias("lo"), span[1].alias("hi"))
+    index = (
+        fetches.where("run_id is not null").select(*row("E", F.col("run_id"), "seq", F.col("document_id"), whole))
+        .union(place.select(*row("P", none, "passage_id", F.col("_doc"), around)))
+        .union(claims.join(place, "passage_id", "left").select(*row("C", none, "claim_id", F.coalesce("_doc", "document_id"), around)))
+        .union(sources.select("source_id").join(docs.select("source_id", "document_id"), "source_id", "left").select(*row("S", none, "source_id", F.col("document_id"), whole)))
+    )
+    key = ["kind", "run_id", "target"]
+    cited = found.withColumn("run_id", F.when(F.col("kind") == "E", F.col("run_id")).otherwise("")).groupBy(*key).agg((F.count_if(F.coalesce("quote", F.lit("")) != "") > 0).alias("quoted"))
+    wanted = Scratch(found.sparkSession, "cited").save(index.join(cited, key).distinct())
+    span = ["document_id", "lo", "hi"]
+    text = (
+        wanted.where("quoted and document_id is not null").select(*span).distinct()
+        .join(passages.select("document_id", "ord", "text"), "document_id").where("ord between lo and hi")
+        .groupBy(*span).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    )
+    return wanted.join(text, span, "left").join(kinds, "document_id", "left").select(*key, "text", F.coalesce("partial", F.lit(False)).alias("partial"))
+
+
+def check_marks(found: DataFrame, targets: DataFrame, on: tuple[str, ...] = (), kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Marks with ``resolved`` and ``quote_status``.
 
-    ``targets`` has ``kind, target, text`` (null text: nothing to check by).
-    A kind that no target row has stays unchecked (resolved is null); a mark
-    without a quote has no status.
+    ``targets`` has ``kind, target, text`` (null text: nothing to check by), the
+    further key columns ``on``, which the marks have too, and perhaps
+    ``partial`` (a quote that the text lacks may still be true).  A target may
+    have several rows: a quote found in any of their texts is found.  Only
+    ``kinds`` (without them, those that a target row has) are checked, others
+    stay unchecked (resolved is null); a mark without a quote has no status.
     """
-    kinds = targets.select("kind").distinct().withColumn("_known", F.lit(True))
-    t = targets.select("kind", "target", "text", F.lit(True).alias("_hit"))
-    m = found.join(F.broadcast(kinds), "kind", "left").join(t, ["kind", "target"], "left")
+    key = ["kind", *on, "target"]
+    known = targets.select("kind").distinct() if kinds is None else targets.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    part = F.coalesce("partial", F.lit(False)) if "partial" in targets.columns else F.lit(False)
+    hits = targets.groupBy(*key).agg(F.bool_and(F.col("text").isNull() | part).alias("_partial"), F.lit(True).alias("_hit"))
+    quoted = found.where("quote != ''").select(*key, "quote").distinct()
+    held = quoted.join(targets.where("text is not null").select(*key, "text"), key).select(*key, "quote", quote_found(F.col("quote"), F.col("text")).alias("f"))
+    held = held.where("f").select(*key, "quote", F.lit(True).alias("_found")).distinct()
+    m = found.join(F.broadcast(known.withColumn("_known", F.lit(True))), "kind", "left").join(hits, key, "left").join(held, [*key, "quote"], "left")
     m = m.withColumn("resolved", F.when(F.col("_known"), F.coalesce("_hit", F.lit(False))))
-    match = quote_found(F.col("quote"), F.col("text"))
     status = (
         F.when(F.coalesce("quote", F.lit("")) == "", F.lit(None))
         .when(F.col("resolved").isNull(), "unchecked")
         .when(~F.col("resolved"), "not_found")
-        .when(F.col("text").isNull(), "unverifiable")
-        .when(match, "found")
+        .when(F.col("_found"), "found")
+        .when(F.col("_partial"), "unverifiable")
         .otherwise("not_found")
     )
-    return m.withColumn("quote_status", status).drop("_known", "_hit", "text")
+    return m.withColumn("quote_status", status).drop("_known", "_hit", "_partial", "_found")
 
 
 def citation_summary(checked: DataFrame, key: str) -> DataFrame:

@@ -22,7 +22,7 @@ from attestor.functions.text import informative, quote_key, share_term, words
 from attestor.operators import joins, merge, ranking
 from attestor.plans import claims as claim_plans
 from attestor.plans import find, graph, origins, reports, store
-from attestor.session import spread
+from attestor.session import Scratch, spread
 from attestor.sources.tables import table
 
 FLAGSHIP = "hybrid_find"
@@ -550,12 +550,12 @@ def sentence_counts(t) -> DataFrame:
 
 @query()
 def citation_check(t) -> DataFrame:
-    """Reports' citation marks checked against passages by ordinal, with their quotes' states."""
-    m = reports.marks(t("documents").where("content_kind = 'report'"))
-    p = t("passages").dropDuplicates(["passage_id"]).groupBy("ord").agg(F.min_by("text", "passage_id").alias("text"))
-    targets = p.select(F.lit("P").alias("kind"), F.col("ord").cast("long").alias("target"), "text")
-    c = reports.check_marks(m, targets)
-    return reports.citation_summary(c, "doc_id")
+    """Reports' citation marks checked against fetches of their run, passages, claims and sources, with their quotes' states."""
+    r = t("documents").where("content_kind = 'report'")
+    m = Scratch(r.sparkSession, "marks").save(reports.marks(r.withColumn("doc_id", F.struct("doc_id", "run_id"))).select("doc_id.*", "ord", "kind", "target", "group_ord", "quote"))
+    targets = reports.citation_targets(m, t("fetches"), t("passages"), t("claims"), t("sources"))
+    scoped = m.withColumn("run_id", F.when(F.col("kind") == "E", F.col("run_id")).otherwise(""))
+    return reports.citation_summary(reports.check_marks(scoped, targets, ("run_id",), ("E", "P", "C", "S")), "doc_id")
 
 
 @query(

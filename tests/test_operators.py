@@ -188,3 +188,23 @@ def test_near_links_equal_brute_force(spark):
     assert any(h[i] != h[j] for i in near for j in near[i]) and any(h[i] == h[j] for i in near for j in near[i])
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(origins.near_links(df, "doc_id", "text"), "doc_id", "class_id", "first_near", "links") == want
+
+
+def test_citation_targets(spark):
+    make = spark.createDataFrame
+    fetches = make([("r", 1, 70, 7, "full"), ("r", 2, 70, None, None), ("q", 1, 80, 8, "abstract"), ("q", 1, 80, 8, "abstract"), ("q", 2, 70, 9, "abstract")], "run_id string, seq long, source_id long, document_id long, content_kind string")
+    passages = make([(11, 7, 0, "The tide came in very late"), (12, 7, 1, "and the ledger was lost"), (13, 7, 2, "before the dawn broke"), (14, 7, 3, "over four grey hills again"), (15, 8, 0, "only a short note here"), (16, 9, 0, "another version of this page")], "passage_id long, document_id long, ord int, text string")
+    claims = make([(21, 7, 11), (22, 7, None), (23, 99, None)], "claim_id long, document_id long, passage_id long")
+    sources = make([(70,), (80,), (90,)], "source_id long")
+    said = [
+        ("r", "came in very late", "E1", True, "found"), ("r", "only a short note", "E1", True, "not_found"), ("q", "only a short note", "E1", True, "found"), ("q", "came in very late", "E1", True, "unverifiable"),
+        ("r", "came in very late", "E2", True, "unverifiable"), ("r", "came in very late", "E9", False, "not_found"), (None, "came in very late", "E1", False, "not_found"),
+        ("r", "ledger was lost before the", "P:11", True, "not_found"), ("r", "very late and the ledger", "P:12", True, "found"), ("r", "over four grey hills", "P:1", False, "not_found"), ("r", "no such words here", "P:15", True, "unverifiable"),
+        ("r", "over four grey hills", "C:21", True, "not_found"), ("r", "over four grey hills", "C:22", True, "found"), ("r", "over four grey hills", "C:23", True, "unverifiable"),
+        ("r", "another version of this", "S:70", True, "found"), ("r", "broke over four grey", "S:70", True, "found"), ("r", "no such words here", "S:70", True, "not_found"), ("r", "no such words here", "S:80", True, "unverifiable"), ("r", "no such words here", "S:90", True, "unverifiable"), ("r", None, "S:90", True, None),
+    ]
+    found = make([(i, r, x[0], int(x.lstrip("EPCS:")), q or "") for i, (r, q, x, _, _) in enumerate(said)], "doc_id long, run_id string, kind string, target long, quote string")
+    t = reports.citation_targets(found, fetches, passages, claims, sources)
+    scoped = found.withColumn("run_id", F.when(F.col("kind") == "E", F.col("run_id")).otherwise(""))
+    for kinds in (None, ("E", "P", "C", "S")):
+        assert rows(reports.check_marks(scoped, t, ("run_id",), kinds), "doc_id", "resolved", "quote_status") == [(i, r, s) for i, (_, _, _, r, s) in enumerate(said)]
