@@ -25,6 +25,7 @@ from attestor.session import spread
 
 M = 4  # words of a pattern
 SEGMENT = 192  # words a cursor runs over
+PLACES = 200_000  # places of patterns extended at once
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,7 +61,7 @@ def close(a: str, b: str) -> bool:
 class Patterns:
     """Search tables of a bounded set of test items."""
 
-    def __init__(self, items: list[tuple[int, str]], common: int = 4) -> None:
+    def __init__(self, items: list[tuple[int, str]]) -> None:
         lines: dict[str, set[int]] = defaultdict(set)
         for item, text in items:
             rows = [x for x in (text or "").split("\n") if x.strip()]
@@ -82,11 +83,8 @@ class Patterns:
         for n, w in enumerate(self.ids):
             for j in range(len(w) - M + 1):
                 where[tuple(w[j : j + M].tolist())].append((n, j))
-        # turns of phrase of many items are no start; each run has rarer patterns too,
-        # and a line made of nothing else keeps all of its patterns
-        rare = {p for p, o in where.items() if len({n for n, _ in o}) <= common}
-        poor = {n for n, w in enumerate(self.ids) if not any(tuple(w[j : j + M].tolist()) in rare for j in range(len(w) - M + 1))}
-        seeds = sorted(p for p, o in where.items() if p in rare or any(n in poor for n, _ in o))
+        # every pattern is a seed, however many items share it: of a run with misspelt words any one may be the last whole one
+        seeds = sorted(where)
         self.pattern = np.array(seeds, "i8").reshape(-1, M)
         self.place_first = np.r_[0, np.cumsum([len(where[p]) for p in seeds])].astype("i8")
         places = np.array([o for p in seeds for o in where[p]], "i8").reshape(-1, 2)
@@ -153,14 +151,24 @@ class Patterns:
         """(number of the text, test item) for each text that holds a run of an item."""
         ids, offsets, values = self.number(texts)
         ends, which = self.search(ids)
+        order = np.argsort(ends, kind="stable")
+        ends, which = ends[order], which[order]
         count = self.place_first[which + 1] - self.place_first[which]
+        found: set[tuple[int, int]] = set()
+        # a pattern shared by many items has many places: they are laid out in bounded parts
+        part = np.cumsum(count) // PLACES
+        for at in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(part)) + 1):
+            self._extend(ids, offsets, values, ends[at], which[at], count[at], min_words, found)
+        return found
+
+    def _extend(self, ids: np.ndarray, offsets: np.ndarray, values: pa.Array, ends: np.ndarray, which: np.ndarray, count: np.ndarray, min_words: int, found: set[tuple[int, int]]) -> None:
+        """Add to ``found`` what the confirmed patterns' diagonals hold."""
         slot = np.repeat(self.place_first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(ends - M + 1, count) - self.place_at[slot]  # where the line's first word would stand
         pairs = np.unique(np.stack([start, self.place_line[slot], np.repeat(ends, count)], 1), axis=0)
         _, one = np.unique(pairs[:, :2], axis=0, return_index=True)
         pairs = pairs[one]
         doc = np.searchsorted(offsets, pairs[:, 2], side="right") - 1
-        found = set()
         k = np.arange(self.longest)
         for i in range(0, len(pairs), 20_000):
             at = pairs[i : i + 20_000, :1] + k
@@ -181,7 +189,6 @@ class Patterns:
                 lo, hi = here[0], here[-1] + 1
                 if self._longest(equal[r, lo:hi], maybe[r, lo:hi], values, int(pairs[i + r, 0] + lo), self.words[n][lo:hi], self.at[n][lo:hi], min_words):
                     found.update((text, x) for x in self.items[n])
-        return found
 
     @staticmethod
     def _longest(equal: np.ndarray, maybe: np.ndarray, values: pa.Array, start: int, words: list[str], at: list[int], need: int) -> bool:

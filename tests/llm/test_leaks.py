@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from attestor.llm.leaks import M, Patterns, close, leaked_items, words_of
 
 PASSAGE = (
@@ -50,3 +52,17 @@ def test_search_finds_every_pattern():
 def test_words():
     assert words_of("Weigh-bridge slips, 14,495!")[1] == [0, 0, 1, 2, 2]
     assert close("reopened", "reopned") and close("harbour", "harbuor") and not close("1999", "1998") and not close("kelp", "dyke")
+
+
+def test_passage_shared_by_many_items(spark, monkeypatch):
+    w = PASSAGE.split()
+    one_off = [" ".join([*w[:22], x, *w[23:]]) for x in ("alder", "birch", "cedar", "elder", "hazel", "rowan")]
+    items = spark.createDataFrame([(i, f"{p}\n{QUESTION} {i}") for i, p in enumerate(one_off)], "item_id long, text string")
+    bad = w[3:19]
+    bad[5], bad[8] = "twicee", "countss"
+    docs = spark.createDataFrame([(1, " ".join(w[3:19]), 0), (2, " ".join(bad), 0), (3, " ".join(w[3:17]), 0)], DOC)
+    want = {(d, i) for d in (1, 2) for i in range(6)}
+    assert {tuple(r) for r in leaked_items(docs, items).collect()} == want
+    monkeypatch.setattr("attestor.llm.leaks.PLACES", 3)
+    texts = pa.array([r.text for r in docs.orderBy("doc_id").collect()])
+    assert {(d + 1, i) for d, i in Patterns([(r.item_id, r.text) for r in items.collect()]).leaks(texts, 15)} == want
