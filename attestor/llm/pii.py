@@ -43,6 +43,30 @@ The This That These Those There Then They When Where What Who Why How In On At B
 But Not No Only After Before Between Without With According Some Each Every About More Prices Critics Officials See
 Table Box To We You He She Der Die Das Ein Eine Le La Les El Los Las Un Une Une Desde Entre Selon Nach Zwischen
 """.split()
+# words of both lists that are surnames as well: after a given name or title they end a name
+SURNAMES_TOO = "Lane Field Street Harbour Quay Road Desk Water Weekly More Prices Box Table See By You She To No Or An Le La Das Such".split()
+BEFORE_PLACE = re.compile(r"(?:\d[a-z]?|(?i:\b(?:on|in|at|along|near|from|to|the|of|off|past|into|across)))[ ]$")
+# given names and surname ends of Russian, by their stems; titles come in all cases
+RU_GIVEN = """
+Александр Алексей Анатолий Андрей Антон Аркадий Борис Вадим Валентин Валерий Василий Виктор Виталий Владимир Вячеслав Геннадий Георгий
+Григорий Денис Дмитрий Евгений Егор Иван Игорь Илья Кирилл Константин Леонид Максим Михаил Никита Николай Олег Павел Пётр Петр Роман
+Сергей Степан Тимофей Фёдор Федор Юрий Ярослав Анна Анастасия Валентина Вера Виктория Галина Дарья Евгения Екатерина Елена Елизавета
+Зинаида Зоя Ирина Ксения Лариса Лидия Любовь Людмила Маргарита Марина Мария Надежда Наталья Нина Оксана Ольга Полина Раиса Светлана София Софья
+Тамара Татьяна Юлия
+""".split()
+RU_TITLES = "господин|госпожа|г-н|г-жа|доктор|профессор|академик|доцент|д-р|проф\\.|директор|инженер|врач|гражданин|гражданка|товарищ"
+RU_STOP = """
+а в во и к ко на но не о об он она они оно от по под при с со то у это этот эта эти как что где когда кто для до за из или если мы вы я так там тут его её их
+институт университет музей архив общество станция совет центр академия библиотека улица площадь набережная проспект завод порт газета журнал
+""".split()
+# surnames and honorifics of Japanese; a given name stands between them
+JA_SURNAMES = """
+佐藤 鈴木 高橋 田中 伊藤 渡辺 渡邊 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 斎藤 斉藤 林 清水 山崎 森 池田 橋本 阿部 石川 山下 中島 石井 小川 前田 岡田
+長谷川 藤田 後藤 近藤 村上 遠藤 青木 坂本 福田 太田 西村 藤井 金子 岡本 藤原 三浦 中野 原田 松田 竹内 上田 中山 和田 森田 石田 柴田 酒井 宮崎 横山 高木 安藤 大野 工藤
+""".split()
+JA_HONORIFICS = "さん|様|さま|氏|先生|教授|准教授|博士|医師|記者|君|くん|ちゃん"
+JA_CUES = "氏名|名前|お名前|担当|担当者|著者|作成者|連絡先|責任者|代表者|筆者"
+JA_NOT_GIVEN = "市|町|村|区|県|駅|川|山|橋|港|校|社|店|家|部|課|局|市長|町長|村長|社長|部長|課長|所長|会長|知事|大臣|議員|委員|大学|教授|准教授|博士|先生|医師|記者|選手|監督|研究所|博物館|通り|夫妻|両".split("|")
 ID_CUES = """
 ssn|social security|sécurité|seguridad social|sozialversicherung|steuer-id|steuer|tax_id|tax id|tax no|dni|nie|nif|
 national identity|identity number|id number|id card|payroll|personnel no|passport|passeport|pasaporte|reisepass|ni no|nino
@@ -60,6 +84,20 @@ INITIALS = re.compile(rf"(?<![\w.@])(?:[{U}]\.[ ]?){{1,2}}[ ]?({SURNAME})(?![\w@
 AFTER_INITIAL = re.compile(rf"(?<![\w@.\-])({SURNAME}),[ ]+[{U}]\.(?!\w)")
 TITLED = re.compile(rf"\.?[ ]+((?:{NAME})[ ]+(?:[{U}]\.[ ]+)?{SURNAME}|(?:[{U}]\.[ ]?){{1,2}}[ ]?{SURNAME}|{SURNAME},[ ]+(?:{NAME}))(?![\w@])")
 
+RU_NAME = r"(?:[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?|[А-ЯЁ]{2,}(?:-[А-ЯЁ]{2,})?)"
+RU_WORD = re.compile(rf"(?<![\w-]){RU_NAME}(?![\w-])")
+RU_FATHER = re.compile(r"(?i)(?:ич(?:а|у|ем|е)?|(?:вн|чн)(?:а|ы|е|у|ой))\Z")
+RU_ENDS = re.compile(r"(?i)(?:(?:[оеё]в|[иы]н)(?:а|у|ым|е|ой)?|(?:[сц]к)(?:ий|ого|ому|им|ом|ая|ой|ую)|енко|[уюа]к(?:а|у|ом|е)?|ич(?:а|у|ем|е)?|[ыи]х)\Z")
+RU_INITIALS = re.compile(rf"(?<![\w.-])[А-ЯЁ]\.(?:[ ]?[А-ЯЁ]\.)?[ ]?({RU_NAME})(?![\w-])")
+RU_AFTER = re.compile(rf"(?<![\w-])({RU_NAME}),?[ ][А-ЯЁ]\.([ ]?[А-ЯЁ]\.)?(?!\w|[ ]?[А-ЯЁ])")
+RU_TITLED = re.compile(rf"(?<![\w-])(?i:(?:{RU_TITLES})(?:а|у|ом|е|я|ю|ем|и|ой)?)[ ]({RU_NAME}[ ]{RU_NAME}(?:[ ]{RU_NAME})?)(?![\w-])")
+HAN, KANA = r"[\u3400-\u9fff々]", r"[ァ-ヺー]"
+JA_GIVEN = rf"(?:{HAN}{{1,3}}?|[ぁ-ゖ]{{2,4}}?|[ァ-ヺー]{{2,6}}?)"
+JA_LISTED = re.compile(rf"(?<!{HAN})(?:{'|'.join(sorted(JA_SURNAMES, key=len, reverse=True))})[ \u3000]?({JA_GIVEN})[ \u3000]?(?={JA_HONORIFICS})")
+JA_SPACED = re.compile(rf"(?<!{HAN}){HAN}{{1,4}}[ \u3000]({JA_GIVEN})[ \u3000]?(?={JA_HONORIFICS})")
+JA_CUED = re.compile(rf"(?:{JA_CUES})(?:は|[:：])[ \u3000]*((?:(?:{'|'.join(sorted(JA_SURNAMES, key=len, reverse=True))})[ \u3000]?|{HAN}{{1,4}}[ \u3000])(?:{HAN}{{1,3}}|[ぁ-ゖ]{{2,4}}|{KANA}{{2,6}}))(?![\w々])")
+JA_FOREIGN = re.compile(rf"(?<!{KANA})({KANA}{{2,}}(?:[・＝]{KANA}+)+)[ \u3000]?(?={JA_HONORIFICS})")
+
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 LOCAL = r"[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*"
 LOCAL_END = re.compile(rf"(?<![A-Za-z0-9_%+\-.])({LOCAL})$")
@@ -119,6 +157,20 @@ ADDRESSES = {
 BEFORE_TABLE = re.compile(r"(?:Table|Fig\.?|Figure|Chart)[ ]$")
 
 
+def _ru_forms(name: str) -> set[str]:
+    """A Russian given name in all its cases, in lower case."""
+    x = name.lower()
+    end, stem = x[-1], x[:-1]
+    if end in "ая":
+        return {stem + e for e in (("а", "ы", "и", "е", "у", "ой") if end == "а" else ("я", "и", "е", "ю", "ей"))}
+    if end in "йь":
+        return {x, *(stem + e for e in ("я", "ю", "ем", "е", "и", "ью"))}
+    if x in ("павел", "пётр"):
+        stem = {"павел": "павл", "пётр": "петр"}[x]
+        return {x, *(stem + e for e in ("а", "у", "ом", "е"))}
+    return {x, *(x + e for e in ("а", "у", "ом", "е"))}
+
+
 def _anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for word, kind in (
@@ -138,6 +190,9 @@ class Finder:
         self.anchors = _anchors()
         self.given = {n.lower() for n in GIVEN_NAMES}
         self.not_surname = {w.lower() for w in NO_SURNAMES + ORGANISATIONS}
+        self.surname_too = {w.lower() for w in SURNAMES_TOO}
+        self.ru_given = {f for n in RU_GIVEN for f in _ru_forms(n)}
+        self.ru_stop = set(RU_STOP)
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """``(start, end, type)`` in code points, in order, not overlapping."""
@@ -172,6 +227,9 @@ class Finder:
             self._cued_id(text, start, end, take)
         self._digits(text, low, hits.get("digit", ()), take, taken)
         self._people(text, low, hits, take, taken)
+        if not text.isascii():
+            self._people_ru(text, take)
+            self._people_ja(text, take)
         return sorted(out)
 
     @staticmethod
@@ -262,7 +320,12 @@ class Finder:
                     break
 
     def _people(self, text: str, low: str, hits, take, taken: bytearray) -> None:
-        ok = lambda s: s.lower().split("-")[0] not in self.not_surname and len(s) > 2
+        ok = lambda s: s.lower().split("-")[0] not in self.not_surname
+
+        def named(s: str, at: int) -> bool:
+            """Whether a word after an anchor at ``at`` is a surname: a word of both kinds is, but for places and capitals."""
+            return ok(s) or s.lower() in self.surname_too and not s.isupper() and not BEFORE_PLACE.search(text, max(0, at - 12), at)
+
         anchors = [(s, e, "given") for s, e in hits.get("given", ())] + [(s, e, "title") for s, e in hits.get("title", ())]
         anchors += [(s - 1, s, "initial") for s, e in hits.get("initial", ()) if s]
         for start, end, kind in sorted(anchors):
@@ -272,7 +335,7 @@ class Finder:
                 if re.search(r"\d \d{1,2} $", text[max(0, start - 6) : start]):
                     continue  # a point of the compass
                 m = INITIALS.match(text, start)
-                if m and ok(m[1]) and len(m[1]) >= 4 and m[1].lower() not in self.given:
+                if m and ok(m[1]) and m[1].lower() not in self.given:
                     if not self._organisation(text, m.end()):
                         take(m.start(), m.end(), "person")
                     continue
@@ -285,7 +348,7 @@ class Finder:
                 continue
             if kind == "title":
                 m = TITLED.match(text, end)
-                if m and ok(re.split(r"[ ,]+", m[1])[-1]) and ok(re.split(r"[ ,]+", m[1])[0]):
+                if m and named(re.split(r"[ ,]+", m[1])[-1], 0) and named(re.split(r"[ ,]+", m[1])[0], 0):
                     s, e = m.span(1)
                     words = m[1].split()
                     if "," not in m[1] and words[0].lower() not in self.given and not words[0].endswith(".") and self._organisation(text, e):
@@ -294,7 +357,9 @@ class Finder:
                     take(s, e, "person")
                 continue
             m = FORWARD.match(text, end)
-            if m and ok(m[1]) and not self._organisation(text, m.end()):
+            if m and self._organisation(text, m.end()):
+                m = None
+            if m and ok(m[1]) and len(m[1]) > 2:
                 take(start, m.end(), "person")
                 continue
             head = text[max(0, start - 60) : start]
@@ -302,10 +367,55 @@ class Finder:
             if b and ok(b[1]) and not taken[start - len(head) + b.start(1)]:
                 take(start - len(head) + b.start(1), end, "person")
                 continue
+            if m and named(m[1], start):  # a short or twofold word, where no surname stands before
+                take(start, m.end(), "person")
+                continue
             m = WRAPPED.match(text, end)
-            if m and ok(m[1]) and not self._organisation(text, m.end()):
+            if m and len(m[1]) > 1 and ok(m[1]) and not self._organisation(text, m.end()):
                 take(start, m.end(), "person")
 
+    def _people_ru(self, text: str, take) -> None:
+        """Names in Cyrillic letters: by initials, by a title, by a listed given name with or without the father's."""
+        ok = lambda s: s.lower() not in self.ru_stop
+        words = list(RU_WORD.finditer(text))
+        if not words:
+            return
+        for m in RU_INITIALS.finditer(text):
+            if ok(m[1]):
+                take(*m.span(), "person")
+        for m in RU_AFTER.finditer(text):
+            if ok(m[1]) and (m[2] or RU_ENDS.search(m[1])):
+                take(*m.span(), "person")
+        for m in RU_TITLED.finditer(text):
+            parts = m[1].split(" ")
+            if len(parts) == 3 and not (RU_FATHER.search(parts[1]) or RU_FATHER.search(parts[2])):
+                parts = parts[:2]
+            if all(map(ok, parts)):
+                take(m.start(1), m.start(1) + len(" ".join(parts)), "person")
+        near = lambda i, j: 0 <= i and j < len(words) and text[words[i].end() : words[j].start()] == " "
+        for i, w in enumerate(words):
+            if w[0].lower() not in self.ru_given:
+                continue
+            last = i + 1 if near(i, i + 1) and RU_FATHER.search(words[i + 1][0]) else i
+            # Иван Петрович Сидоров; a surname may end like a father's name
+            if near(last, last + 1) and ok(words[last + 1][0]):
+                take(w.start(), words[last + 1].end(), "person")
+            elif near(i - 1, i) and ok(words[i - 1][0]) and RU_ENDS.search(words[i - 1][0]):
+                take(words[i - 1].start(), words[last].end(), "person")
+            elif last > i:
+                take(w.start(), words[last].end(), "person")
+
+    @staticmethod
+    def _people_ja(text: str, take) -> None:
+        """Names in Japanese: before an honorific or after a cue."""
+        for rule in (JA_LISTED, JA_SPACED):
+            for m in rule.finditer(text):
+                if m[1] not in JA_NOT_GIVEN:
+                    take(m.start(), m.end(1), "person")
+        for rule in (JA_FOREIGN, JA_CUED):
+            for m in rule.finditer(text):
+                take(*m.span(1), "person")
+
     def _organisation(self, text: str, end: int) -> bool:
         m = re.match(rf"[ ]([{U}][{L}]+)", text[end : end + 24])
         return bool(m) and m[1] in ORGANISATIONS

@@ -55,3 +55,18 @@ def test_nothing_overlaps(data):
         if t:
             spans = finder.find(t)
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+NAMES = [
+    ("Alice Ng met Dr Bo Li and Prof. Maria Lane.", ["Alice Ng", "Bo Li", "Maria Lane"]),
+    ("Paul Field, Susan More, Anna Le and Sunil Das wrote; J. Fox and A. Lee agreed.", ["Paul Field", "Susan More", "Anna Le", "Sunil Das", "J. Fox", "A. Lee"]),
+    ("He lives on Maria Lane. The Mara Institute and Paul Field Station closed. MARK THE DATE. A. The first.", []),
+    ("Пишет Анна Иванова, а письмо Ивана Петровича Сидорова читал И. И. Павлов.", ["Анна Иванова", "Ивана Петровича Сидорова", "И. И. Павлов"]),
+    ("Петров Иван Сергеевич, Смирнова А. В. и профессор Аскар Бейсенов. Институт Москвы закрыт.", ["Петров Иван Сергеевич", "Смирнова А. В.", "Аскар Бейсенов"]),
+    ("担当は田中太郎さんと山路 花子様、ジョン・スミス氏。氏名：佐藤 美咲。田中市長と高橋駅、田中教授。", ["田中太郎", "山路 花子", "ジョン・スミス", "佐藤 美咲"]),
+]
+
+
+@pytest.mark.parametrize("text,want", NAMES)
+def test_short_twofold_and_other_scripts(text, want):
+    assert [(text[s:e], k) for s, e, k in Finder().find(text)] == [(w, "person") for w in want]
