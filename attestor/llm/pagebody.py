@@ -105,11 +105,12 @@ def plain(line: str) -> str:
     return MARK.sub("", x).rstrip(" \t\n\u00a0.!…»›:")
 
 
-@lru_cache(1 << 16)
 def line_role(line: str) -> str:
     """The furniture role that a line's own wording implies, or ``text``."""
-    if len(line) > 220:
-        return "text"
+    return _short_role(line) if len(line) <= 220 else _role(line)  # long lines would fill the cache
+
+
+def _role(line: str) -> str:
     x = plain(line)
     if not x:
         return "text"
@@ -141,23 +142,57 @@ def line_role(line: str) -> str:
     return "text"
 
 
+_short_role = lru_cache(1 << 16)(_role)
+BAR = re.compile(r"\s+[|·>›»/•]\s+")
+LABEL = re.compile(r"[^\W\d_](?:[^\W\d_]|[ '’&\-])*\Z")
+ENDS = re.compile(r"[.!?…:;。！？]['\"”’»)\]]*\Z")
+
+
+def _label(x: str, words: int = 3) -> bool:
+    """A few words without figures or an end."""
+    return len(x) <= 32 and bool(LABEL.match(x)) and len(x.split()) <= words
+
+
+def layout_role(raws: list[str], between: bool) -> str:
+    """The furniture tag that a block's shape implies without any listed word, or ``""``.
+
+    ``between``: the block has paragraphs on both sides.
+    """
+    lines = [x.strip() for x in raws]
+    bars = [[p for p in BAR.split(x) if p] for x in lines]
+    if all(len(p) >= 3 and all(map(_label, p)) for p in bars):
+        return "nav"  # labels between bars
+    if between or any("\t" in x for x in raws):
+        return ""
+    bare = [BULLET.sub("", x) for x in lines]
+    if len(lines) >= 4 and all(map(_label, bare)):
+        return "nav"  # a column of labels
+    if all(re.match(r"\d+\s", x) for x in lines[1:]):
+        return ""  # a table of contents
+    if len(lines) >= 4 and _label(lines[0], 5) and not BULLET.match(lines[0]) and all(4 <= len(x.split()) <= 16 and not ENDS.search(x) for x in bare[1:]):
+        return "aside"  # headlines under a heading
+    return ""
+
+
 def build_text(text: str) -> Node:
     """The tree of a passage: blocks of lines with implied tags.
 
     Every line is a leaf with its number; leaves keep the line as it stands.
     """
-    root, block, tag = Node("body"), [], None
+    root, block, blocks = Node("body"), [], []
     for n, line in enumerate([*text.split("\n"), ""]):
         if line.strip():
             block.append(Node("line", {"n": str(n), "raw": line, "role": line_role(line)}))
             continue
         if block:
-            root.children.append(_imply(block))
+            blocks.append(block)
             block = []
+    told = [i for i, b in enumerate(blocks) if any(len(x.attrs["raw"]) >= 60 and ENDS.search(x.attrs["raw"].strip()) for x in b)]
+    root.children = [_imply(b, bool(told) and told[0] <= i <= told[-1]) for i, b in enumerate(blocks)]
     return root
 
 
-def _imply(lines: list[Node]) -> Node:
+def _imply(lines: list[Node], between: bool) -> Node:
     roles = [x.attrs["role"] for x in lines]
     if roles[0] == "aside":  # a heading of other pages' headlines takes its list along
         tag = "aside"
@@ -173,6 +208,8 @@ def _imply(lines: list[Node]) -> Node:
         tag = "ul-text"
     else:
         tag = "div"
+    if tag in ("div", "ul-text"):
+        tag = layout_role([x.attrs["raw"] for x in lines], between) or tag
     return Node("div", {"implied": tag}, list(lines))
 
 

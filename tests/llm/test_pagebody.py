@@ -70,3 +70,14 @@ def test_tables(spark):
     assert bodies[1] == "A sentence of the article stays here." and bodies[2] == t and bodies[6] is None and bodies[7] == ""
     assert main_bodies(p, f).count() == len(rows)
     assert furniture(spark.createDataFrame([], P), spark.createDataFrame([], F)).collect() == []
+
+
+def test_layout_without_listed_words():
+    from attestor.llm.pagebody import furniture_lines
+
+    story = "The harbour ledger of 1971 was lost, and no copy of it has been found since then."
+    page = f"Quarries | Old Mills | River Walks\n\nQuarries\nOld mills\nRiver walks\nGlass works\n\n{story}\n\nWetter notes\n\n- A\n- B\n\n{story}\n\nFurther in Zorrodale\nOld mill sold to the town\nWhy the quarry needs a road\nGlass works open again in May"
+    assert furniture_lines(page) == [0, 2, 3, 4, 5, 16, 17, 18, 19]
+    assert furniture_lines(f"{story}\n\nContents here\n1 Old mill sold to the town\n2 Why the quarry needs a road\n3 Glass works open again in May") == []
+    consent = "We use cookies to " + "keep the quarry walks and the old mills open to all who come, " * 4 + "and more."
+    assert len(consent) > 220 and furniture_lines(consent) == [0]
