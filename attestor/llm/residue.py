@@ -93,6 +93,7 @@ LATIN_WORD = re.compile("(?:" + "|".join(sorted(LATIN, key=len, reverse=True)) +
 TWICE = re.compile(r"(.{3,60}?)(?:[ .]+\1)+\Z")
 REPEATED = re.compile(r"(?i)^(\S+|\S+ \S+)(?: \1){2,}(?: .*)?$")
 X_RUN = re.compile(r"(?i)^(?:x{3,}[ .,]*){3,}$|^(?:(?:asdf|qwerty|foo|bar|baz|test|blah|bla)[ .,]*){3,}$")
+RUN = re.compile(r"(?i)x{3}|\b(?:asdf|qwerty|foo|bar|baz|test|blah|bla)\b|(?<!\S)(\S+|\S+ \S+) \1 \1(?!\w)")
 TERM = re.compile(r"[^\W\d_]{3,}")
 CUES = re.compile(r"[{}%$@<>\[\]#«]|__")
 
@@ -144,6 +145,14 @@ def latin(line: str) -> bool:
     return len(words) >= 6 and sum(map(made, words)) >= 0.8 * len(words)
 
 
+def filler(sentence: str) -> bool:
+    """A sentence of keyboard filler, one repeated word or pseudo-Latin."""
+    if latin(sentence):
+        return True
+    x = plain(sentence)
+    return bool(X_RUN.match(x)) or len(x) < 120 and bool(REPEATED.match(re.sub(r"[.,!…]", "", x))) and not x[0].isdigit() and "\t" not in sentence
+
+
 def content_lines(text: str) -> list[str]:
     """Non-blank lines that are no furniture."""
     return [x for x in text.split("\n") if x.strip() and line_role(x) == "text"]
@@ -155,7 +164,8 @@ def has_residue(text: str, lines: list[str] | None = None) -> bool:
     for line in content_lines(text) if lines is None else lines:
         if len(line) <= 200 and message(line) or latin(line):
             return True
-        if any(may_be_message(s) and message(s) or s.startswith("Lorem ipsum") for s in SENTENCE.split(line)):
+        run = bool(RUN.search(line))
+        if any(may_be_message(s) and message(s) or s.startswith("Lorem ipsum") or (filler(s) if run else latin(s)) for s in SENTENCE.split(line)):
             return True
     return False
 

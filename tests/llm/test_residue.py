@@ -43,3 +43,10 @@ def test_canned_answers(spark):
 
 def test_empty(spark):
     assert residue(spark.createDataFrame([], P), spark.createDataFrame([], F), spark.createDataFrame([], S)).collect() == []
+
+
+def test_filler_amid_real_sentences():
+    real = "The quarry at Zorrodale sold its old mill in 1971, and the town kept the ledger."
+    for t in ("Asdf asdf qwerty asdf.", "xxxx xxxx xxxx xxxx.", "Blurb blurb blurb blurb.", "Dolor sit amet, consectetur adipiscing elit, sed do eiusmod."):
+        assert has_residue(f"{real} {t} {real}"), t
+    assert not has_residue(f"{real} The test at the bar was a test. {real}")
