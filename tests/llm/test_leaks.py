@@ -10,6 +10,8 @@ PASSAGE = (
 QUESTION = "Why was the rural kelp near Kirmasund delayed again by the Svaldufield Council although 73.4 hectares of outfall were left?"
 STOCK = "Read the passage below and answer the question that follows using only what it says."
 ITEMS = [(1, "s", f"{STOCK}\n{PASSAGE}\n{QUESTION}"), (2, "s", f"{PASSAGE}\nWhich vane did the Skeldevik Observatory report for Kellimere once the charted viaduct had been lost evenly in 1999?"), (3, "s", None), (4, "s", "")]
+# the instruction stands above other passages too
+ITEMS += [(100 + i, "s", f"{STOCK}\nPassage number {i} tells of other things in words that no document of these tests holds, be it long or short.\nAnd what is question {i}?") for i in range(4)]
 DOC = "doc_id long, text string, item_id int"
 
 
@@ -30,7 +32,7 @@ def test_whole_part_and_noise(spark):
     both = {1, 2}
     want = {(d, i) for d in (1, 2, 4, 10, 11) for i in both} | {(5, 1)}
     assert run(spark, docs) == want
-    assert run(spark, docs, block=1) == want
+    assert run(spark, docs, block_words=40) == want
 
 
 def test_empty_sides(spark):
@@ -39,7 +41,7 @@ def test_empty_sides(spark):
 
 
 def test_search_finds_every_pattern():
-    p = Patterns([(i, t) for i, _, t in ITEMS if t])
+    p = Patterns([(i, x, 15) for i, _, t in ITEMS if t for x in t.split("\n")])
     import pyarrow as pa
 
     ids, offsets, _ = p.number(pa.array([f"lead {PASSAGE} {QUESTION} tail " * 9, "nothing here", None]))
@@ -65,4 +67,28 @@ def test_passage_shared_by_many_items(spark, monkeypatch):
     assert {tuple(r) for r in leaked_items(docs, items).collect()} == want
     monkeypatch.setattr("attestor.llm.leaks.PLACES", 3)
     texts = pa.array([r.text for r in docs.orderBy("doc_id").collect()])
-    assert {(d + 1, i) for d, i in Patterns([(r.item_id, r.text) for r in items.collect()]).leaks(texts, 15)} == want
+    assert {(d + 1, i) for d, i in Patterns([(r.item_id, x, 15) for r in items.collect() for x in r.text.split("\n")]).leaks(texts)} == want
+
+
+def test_every_line_of_an_item(spark):
+    first = "Below the outer sluice a second crew kept the tally of barges by lantern, and its book was copied each Friday for the reeve."
+    items = spark.createDataFrame([(1, f"{STOCK}\n{first}\n{PASSAGE}\n{QUESTION}")] + [(10 + i, f"{STOCK}\nPassage {i} is another one.\nWhat?") for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {first} so", 0), (2, STOCK, 0), (3, " ".join(first.split()[-8:] + PASSAGE.split()[:8]), 0)], DOC)
+    assert {tuple(r) for r in leaked_items(docs, items).collect()} == {(1, 1), (3, 1)}
+
+
+def test_short_items_count_whole(spark):
+    items = spark.createDataFrame([(1, "The kelp of Kirmasund was cut twice.\nHow often was it cut?"), (2, "The kelp of Skeldevik was cut three times in the year of the flood.\nHow often was it cut there by hand?"), (3, "Two words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x the kelp of Kirmasund was cut twice. How often was it cut? y", 0), (2, "The kelp of Kirmasund was cut twice. How often", 0), (3, "kelp of Skeldevik was cut three times in the year of the flood. How often?", 0), (4, "two words", 0)], DOC)
+    assert {tuple(r) for r in leaked_items(docs, items).collect()} == {(1, 1), (3, 2)}
+
+
+def test_long_items_and_known_words_as_misspellings(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(3_000)]
+    run15 = words[1_500:1_516]
+    run15[6] = "harbour"  # a word of another item in place of a misspelt one is no match
+    tide = PASSAGE.replace("slate", "late").split()  # "late" is a word of item 3
+    items = spark.createDataFrame([(1, " ".join(words) + "\nWhat of it?"), (2, f"{PASSAGE}\nWhat?"), (3, "harbour late harbour late again and again here\nWhy?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[at : at + 15]), 0) for at in (0,)] + [(10 + at, " ".join(words[at : at + 15]), 0) for at in range(236, 260)] + [(2, " ".join(run15), 0), (3, " ".join(tide[8:24]), 0)], DOC)
+    got = {tuple(r) for r in leaked_items(docs, items).collect()}
+    assert got == {(1, 1)} | {(10 + at, 1) for at in range(236, 260)} | {(3, 2)}
