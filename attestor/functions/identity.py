@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attestor.functions.arrow import arrow_udf
-
 # Query parameters and ports that do not name a page; file
 # endings that hold no text; hosts that tell a source's kind.
-CLICK_IDS = "fbclid gclid dclid msclkid mc_cid mc_eid igshid ref_src".split()
+CLICK_IDS = "fbclid gclid dclid msclkid mc_cid mc_eid igshid _ga".split()
 NOT_TEXT = "jpg jpeg png gif webp svg ico bmp mp3 mp4 m4a wav avi mov webm mkv zip gz tar rar 7z exe dmg css js woff".split()
 VIDEO = "youtube.com youtu.be vimeo.com".split()
 COURT = "courtlistener.com supremecourt.gov uscourts.gov".split()
@@ -37,49 +32,34 @@ def domain_of(key: Column) -> Column:
     return F.regexp_extract(key, r"^[^/?]*", 0)
 
 
+def _percent(encoded: Column, plain: str) -> Column:
+    """Form-encoded text as percent-encoded text that leaves the characters of ``plain`` alone."""
+    out = F.replace(F.replace(encoded, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    for c in plain:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
 def url_key(url: Column) -> Column:
-    """Scheme-free key of an http(s) URL, by built-in expressions; null otherwise.
+    """The one key of a page: its http(s) URL without what does not name it; null for any other text.
 
-    Host in lower case without ``www.`` and default ports, no fragment, no
-    trailing slashes, no tracking parameters, the others sorted.  Escapes stay
-    as written (``normalize_url`` undoes the needless ones).
+    Without scheme, user, ``www.``, default port, fragment, trailing slashes,
+    ``utm_`` and click parameters; host in lower case, parameters sorted, no
+    needless escapes (a path with an escaped separator stays as it is).  Built
+    from built-in expressions; bytes that are no UTF-8 count as U+FFFD.
     """
-    u = F.trim(url)
-    host = F.lower(F.regexp_extract(u, r"^(?i:https?)://([^/?#\s]+)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(u, r"^(?i:https?)://[^/?#]+([^?#]*)", 1), r"/+$", "")
-    query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    names = "|".join(CLICK_IDS)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(rf"^(utm_[^=]*|{names})(=|$)")))
-    tail = F.array_join(kept, "&")
-    key = F.concat(host, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(F.lit("")))
-    return F.when(u.rlike(r"^(?i:https?)://[^/?#\s]+(?:[/?#]\S*)?$"), key)
-
-
-def _normalize(raw: str | None) -> str | None:
-    if not raw or not raw.strip() or any(c.isspace() for c in raw.strip()):
-        return None
-    try:
-        parts = urlsplit(raw.strip())
-        host, port = (parts.hostname or "").lower(), parts.port
-    except ValueError:
-        return None
-    if parts.scheme.lower() not in ("http", "https") or not host:
-        return None
-    host = host.removeprefix("www.") + (f":{port}" if port not in (None, 80, 443) else "")
-    shield = parts.path
-    for code in ("%2F", "%3F", "%23", "%25"):
-        shield = shield.replace(code, f"\0{code[1:]}").replace(code.lower(), f"\0{code[1:]}")
-    path = quote(unquote(shield, errors="surrogateescape").encode("utf-8", "surrogateescape"), safe="/~!$&'()*+,;=:@-._\0").replace("%00", "\0")
-    path = path.replace("\0", "%").rstrip("/")
-    pairs = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in CLICK_IDS]
-    return host + path + ("?" + urlencode(sorted(pairs)) if pairs else "")
-
-
-@arrow_udf("string")
-def normalize_url(url: pd.Series) -> pd.Series:
-    """The full URL key, needless escapes undone too; null for no http(s) URL."""
-    return url.map(lambda u: _normalize(u) if isinstance(u, str) else None)
+    u = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), r"#.*$", "")
+    host = F.lower(F.regexp_replace(F.regexp_extract(u, r"^(?i:https?)://([^/?]*)", 1), r"^.*@", ""))
+    valid = u.rlike(r"^(?i:https?)://") & ~u.rlike(r"[\x00-\x1f\x7f]") & host.rlike(r"^(?:[^:\s\[\]]+|\[[^\]\s]+\])(?::\d*)?$")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r":(?:80|443)?$", ""), r"^www\.", ""), r"^\[(.*)\]", "$1")
+    raw = F.regexp_replace(F.regexp_extract(u, r"^[^:]*://[^/?]*([^?]*)", 1), r"/+$", "")
+    decoded = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    path = F.when(raw.rlike("(?i)%(?:2f|3f|23)"), raw).otherwise(_percent(F.replace(F.url_encode(decoded), F.lit("+"), F.lit("%20")), "/$&+,:;=@"))
+    pairs = F.filter(F.split(F.regexp_extract(u, r"^[^?]*\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.contains(";"))
+    pairs = F.transform(pairs, lambda p: F.struct(F.try_url_decode(F.regexp_extract(p, "^[^=]*", 0)).alias("k"), F.try_url_decode(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & ~F.lower(p["k"]).rlike(rf"^(?:utm_.*|{'|'.join(CLICK_IDS)})$")))
+    tail = F.array_join(F.transform(kept, lambda p: F.concat(_percent(F.url_encode(p["k"]), ""), F.lit("="), _percent(F.url_encode(p["v"]), ""))), "&")
+    return F.when(valid, F.concat(host, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(F.lit(""))))
 
 
 def doi_of(text: Column) -> Column:

@@ -8,12 +8,11 @@ import pandas as pd
 from attestor.functions.arrow import arrow_udf
 
 TARGET, SHORT, MOST = 1_500, 300, 2_000  # characters of a passage
-CHUNK, CHUNKS = 6_000, 8  # characters and number of extraction chunks
+CHUNK, CHUNKS = 6_000, 8  # characters and number of extraction chunks: the defaults of ``split_chunks``
 
 # Abbreviations that end in a stop without ending a sentence.
 ABBREVIATIONS = """
-mr mrs ms dr prof sr jr st vs etc e.g i.e cf al fig figs no nos vol vols pp ed eds approx dept inc ltd co corp gen col sen rep gov jan feb mar apr
-jun jul aug sep sept oct nov dec
+u.s u.k e.g i.e dr mr mrs ms prof vs al st jr sr no vol pp p ed eds inc co corp fig cf ca approx gen sen rep col lt sgt gov rev u.n
 """.split()
 
 _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
@@ -71,15 +70,18 @@ def passages(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(("ord", "char_start", "char_end", "text"), p)) for p in split_passages(t)] if isinstance(t, str) else None)
 
 
-def split_chunks(text: str, size: int = CHUNK, most: int = CHUNKS) -> list[str]:
-    """Paragraphs joined by blank lines into at most ``most`` chunks of ``size``."""
+def split_chunks(text: str, size: int = CHUNK, most: int | None = CHUNKS) -> list[str]:
+    """Paragraphs joined by blank lines into at most ``most`` chunks of ``size`` (None: as many as it takes).
+
+    The limit is the extraction's budget: what lies beyond it is not sent.
+    """
     out: list[str] = []
     for p in (p.strip() for p in _PARAGRAPH.split(text)):
         while p:
             piece, p = p[:size], p[size:].lstrip()
             if out and len(out[-1]) + 2 + len(piece) <= size:
                 out[-1] += "\n\n" + piece
-            elif len(out) == most:
+            elif most is not None and len(out) == most:
                 return out
             else:
                 out.append(piece)
@@ -91,17 +93,22 @@ def chunks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: split_chunks(t) if isinstance(t, str) else None)
 
 
+_STOP = re.compile(r"[.!?][\"')\]*_”’]*(?=\s)")
+_OPENS = "\"'([*_“‘"
+
+
 def split_sentences(text: str) -> list[str]:
-    """Sentences; a stop after an abbreviation or an initial ends none."""
-    flat = re.sub(r"\s+", " ", text).strip()
-    out, start = [], 0
-    for m in _END.finditer(flat):
-        word = flat[start : m.start()].rsplit(" ", 1)[-1].lstrip("(\"'“‘[").lower()
-        if flat[m.start()] == "." and (word in ABBREVIATIONS or re.fullmatch(r"[a-z](?:\.[a-z])*", word)):
+    """Sentences; a stop after an abbreviation or an initial, or before a small letter, ends none."""
+    ends = [0]
+    for m in _STOP.finditer(text):
+        following = text[m.end() :].lstrip()[:1] if m.end() + 1 >= len(text) or text[m.end() + 1].isspace() else text[m.end() + 1]
+        if following and not (following.isupper() or following.isdecimal() or following in _OPENS):
+            continue
+        word = re.split(r"[\s(]", text[ends[-1] : m.start()])[-1].strip("\"'*_(").lower()
+        if m[0][0] == "." and (len(word) == 1 and word.isalpha() or word in ABBREVIATIONS):
             continue
-        out.append(flat[start : m.end()])
-        start = m.end() + 1
-    return [*out, flat[start:]] if flat[start:] else out
+        ends.append(m.end())
+    return [s for s in (text[a:b].strip() for a, b in zip(ends, [*ends[1:], len(text)])) if s]
 
 
 @arrow_udf("array<string>")

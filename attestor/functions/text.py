@@ -11,9 +11,10 @@ from attestor.functions.arrow import arrow_udf
 
 # Words that do not make two statements alike.
 STOP_WORDS = """
-about after again also among been before being between both could does each even from have into just like made make many more most much must
-only other over same should some such than that their them then there these they this those through under very were what when where which
-while will with would
+that this with from have been were which their there they than also into more most such some other
+about after before over under when what where while these those would could should will each only many much very
+between through during because does said says them then upon within without across among being both even
+like made make same than very well
 """.split()
 
 

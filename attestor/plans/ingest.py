@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.dates import date_of, precision_of
-from attestor.functions.identity import doi_of, domain_of, hash63, joined_id, normalize_url, source_kind
+from attestor.functions.identity import doi_of, domain_of, hash63, joined_id, source_kind, url_key
 from attestor.functions.passages import passages as passages_of
 from attestor.functions.quotes import locate_quote
 from attestor.functions.text import quote_key
@@ -25,7 +25,7 @@ def sightings(captures: DataFrame) -> DataFrame:
     page = captures.where("coalesce(url, '') != ''").select(
         "run_id", "seq", "captured_at", F.lit(2**31 - 1).alias("pos"), "url", F.when(F.col("action") == "fetch", "fetched").otherwise("opened").alias("role"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet")
     )
-    both = seen.union(page).withColumn("url_key", normalize_url(F.col("url"))).where("url_key is not null")
+    both = seen.union(page).withColumn("url_key", url_key(F.col("url"))).where("url_key is not null")
     own = Window.partitionBy("run_id", "seq", "url_key")
     both = both.withColumn("_n", F.count("*").over(own)).where((F.col("pos") != 2**31 - 1) | (F.col("_n") == 1))
     w = Window.partitionBy("run_id", "seq").orderBy("pos")
@@ -47,7 +47,7 @@ def keyed_fetches(records: DataFrame) -> DataFrame:
 
     Records whose URL has no key are left out; ``fetch_url`` defaults to ``url``.
     """
-    f = records.withColumn("url_key", normalize_url(F.col("url"))).where("url_key is not null")
+    f = records.withColumn("url_key", url_key(F.col("url"))).where("url_key is not null")
     f = f.withColumn("source_id", hash63(F.col("url_key"))).withColumn("fetch_url", F.coalesce(F.nullif("fetch_url", F.lit("")), "url"))
     doc = F.when(F.coalesce("text_sha256", F.lit("")) != "", joined_id("document", F.col("url_key"), F.col("text_sha256")))
     return f.select(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.citations import citation_marks
-from attestor.functions.markdown import COUNTER_HEADING, COUNTER_SENTENCE, REFERENCE_HEADING, attributed_claims, extract_urls, sections
+from attestor.functions.identity import url_key
+from attestor.functions.markdown import report_parts
 from attestor.functions.quotes import quote_found
 from attestor.session import Scratch, spread
 
@@ -107,29 +108,31 @@ def citation_failures(checked: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.coalesce("unresolved", F.lit(0)).alias("unresolved"), F.coalesce("missed", F.lit(0)).alias("missed"))
 
 
-def report_metrics(reports: DataFrame, id_col: str = "doc_id", arm_col: str = "source") -> DataFrame:
-    """Words, distinct URLs, listed sources, attributed claims and counter-evidence of each report."""
-    r = spread(reports.where("text is not null").select(id_col, arm_col, "text")).select(
-        id_col, arm_col, F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words"), F.array_distinct(extract_urls(F.col("text"))).alias("urls"),
-        F.size(attributed_claims(F.col("text"))).alias("claims"), sections(F.col("text")).alias("parts"),
-    )
-    lines = lambda s: F.filter(F.split(s["body"], "\n"), lambda x: x.rlike(r"^\s*(?:[-*+•]|\d+[.)])\s+"))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    refs = F.filter("parts", lambda s: s["heading"].rlike(REFERENCE_HEADING))
-    counter = F.filter("parts", lambda s: s["heading"].rlike(COUNTER_HEADING))
-    body = F.filter("parts", lambda s: ~s["heading"].rlike(REFERENCE_HEADING))
-    said = F.transform(body, lambda s: F.size(F.filter(F.split(s["body"], r"(?<=[.!?])\s+"), lambda x: x.rlike(COUNTER_SENTENCE))))
-    return r.select(
-        id_col, arm_col, "words", F.size("urls").alias("unique_urls"), total(F.transform(refs, lambda s: F.size(lines(s)))).alias("listed_sources"), "claims",
-        total(F.transform(counter, lambda s: F.size(lines(s)))).alias("counter_items"), total(said).alias("counter_sentences"), F.size("parts").alias("sections"),
+def parsed_reports(reports: DataFrame, id_col: str = "doc_id", arm_col: str = "source") -> DataFrame:
+    """Each report parsed once: ``words``, the ``urls`` it cites as page keys, and ``parts`` (see ``parse_report``)."""
+    r = spread(reports.where("text is not null").select(id_col, arm_col, "text"))
+    r = r.select(id_col, arm_col, F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("words"), report_parts(F.col("text")).alias("parts"))
+    keys = F.array_distinct(F.filter(F.transform("parts.urls", url_key), lambda k: k.isNotNull()))
+    return r.select(id_col, arm_col, "words", keys.alias("urls"), "parts")
+
+
+MEASURES = ("words", "listed_sources", "claims", "counter_items", "counter_sentences")
+
+
+def report_metrics(parsed: DataFrame, id_col: str = "doc_id", arm_col: str = "source") -> DataFrame:
+    """Words, distinct pages, listed sources, attributed claims and counter-evidence of each of ``parsed_reports``."""
+    p = F.col("parts")
+    return parsed.select(
+        id_col, arm_col, "words", F.size("urls").alias("unique_urls"), p["listed"].alias("listed_sources"), F.size(p["claims"]).alias("claims"),
+        p["counter_items"].alias("counter_items"), p["counter_sentences"].alias("counter_sentences"), p["sections"].alias("sections"),
     )
 
 
-def arm_rollup(reports: DataFrame, metrics: DataFrame, arm_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """Per arm: summed measures, and URLs counted once over all its reports."""
-    urls = reports.where("text is not null").select(arm_col, F.explode(extract_urls(F.col("text"))).alias("url")).groupBy(arm_col).agg(F.count_distinct("url").alias("unique_urls"))
-    sums = metrics.groupBy(arm_col).agg(F.count("*").alias("reports"), *[F.sum(c).alias(c) for c in ("words", "listed_sources", "claims", "counter_items", "counter_sentences")])
-    return sums.join(urls, arm_col, "left").fillna(0, ["unique_urls"])
+def arm_rollup(parsed: DataFrame, arm_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """Per arm: summed measures, and pages counted once over all its reports (in two steps: a hot arm combines map-side)."""
+    pages = parsed.select(arm_col, F.explode("urls").alias("u")).distinct().groupBy(arm_col).agg(F.count("*").alias("unique_urls")).withColumnRenamed(arm_col, "_arm")
+    sums = report_metrics(parsed, id_col, arm_col).groupBy(arm_col).agg(F.count("*").alias("reports"), *[F.sum(c).alias(c) for c in MEASURES])
+    return sums.join(pages, F.col(arm_col).eqNullSafe(F.col("_arm")), "left").drop("_arm").fillna(0, ["unique_urls"])
 
 
 def tally(key: DataFrame, verdicts: DataFrame, arm: str = "arm") -> DataFrame:

@@ -52,7 +52,7 @@ with k as (
   select source_id, url, url_key as stored, title, doi,
     regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^(?i:https?)://([^/?#\s]+)', 1)), ':(80|443)$', ''), '^www\.', '') as host,
     regexp_replace(regexp_extract(trim(url), '^(?i:https?)://[^/?#]+([^?#]*)', 1), '/+$', '') as path,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref_src)(=|$)'))), '&') as q
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|_ga)(=|$)'))), '&') as q
   from sources),
 n as (select source_id, stored, title, doi, host || path || case when q <> '' then '?' || q else '' end as key from k)
 select source_id, key, key = stored as as_stored, regexp_extract(key, '^[^/?]*') as domain,
@@ -412,7 +412,7 @@ def same_claim_documents(t) -> DataFrame:
 with recursive {_REL}, {_DIRECTED}, dd as (select claim_id, any_value(document_id) as document_id from claims group by 1),
 f as (select document_id, source_id, lower(doi) as doi,
    regexp_replace(regexp_replace(lower(regexp_extract(trim(final_url), '^(?i:https?)://([^/?#\\s]+)', 1)), ':(80|443)$', ''), '^www\\.', '') || regexp_replace(regexp_extract(trim(final_url), '^(?i:https?)://[^/?#]+([^?#]*)', 1), '/+$', '')
-   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(final_url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref_src)(=|$)'))), '&'), ''), '') as fk
+   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(final_url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|_ga)(=|$)'))), '&'), ''), '') as fk
   from fetches where document_id is not null),
 pairs as (select least(x.document_id, y.document_id) as a, greatest(x.document_id, y.document_id) as b from live join dd x on x.claim_id = live.a join dd y on y.claim_id = live.b
    where relation = 'same' and x.document_id <> y.document_id group by 1, 2 having count(*) >= 2),
@@ -515,7 +515,7 @@ def batch_find(t) -> DataFrame:
 @query(
     r"""
 with l as (select from_claim as a, to_claim as b from claim_links where from_claim < to_claim group by 1, 2), c as (select claim_id, any_value(text) as text from claims group by 1),
- t as (select claim_id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+')), lambda x: (strlen(x) >= 4 or regexp_matches(x, '\p{Nd}')) and x not in ('about','after','again','also','among','been','before','being','between','both','could','does','each','even','from','have','into','just','like','made','make','many','more','most','much','must','only','other','over','same','should','some','such','than','that','their','them','then','there','these','they','this','those','through','under','very','was','were','what','when','where','which','while','will','with','would')) as w from c)
+ t as (select claim_id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+')), lambda x: (strlen(x) >= 4 or regexp_matches(x, '\p{Nd}')) and x not in ('that', 'this', 'with', 'from', 'have', 'been', 'were', 'which', 'their', 'there', 'they', 'than', 'also', 'into', 'more', 'most', 'such', 'some', 'other', 'about', 'after', 'before', 'over', 'under', 'when', 'what', 'where', 'while', 'these', 'those', 'would', 'could', 'should', 'will', 'each', 'only', 'many', 'much', 'very', 'between', 'through', 'during', 'because', 'does', 'said', 'says', 'them', 'then', 'upon', 'within', 'without', 'across', 'among', 'being', 'both', 'even', 'like', 'made', 'make', 'same', 'well')) as w from c)
 select a, b, len(list_intersect(x.w, y.w)) > 0 as shared from l join t x on x.claim_id = a join t y on y.claim_id = b"""
 )
 def shared_terms(t) -> DataFrame:
@@ -571,13 +571,13 @@ def citation_kinds(t) -> DataFrame:
 
 @query()
 def report_metrics(t) -> DataFrame:
-    return reports.report_metrics(t("documents").where("content_kind in ('report', 'draft')"))
+    return reports.report_metrics(reports.parsed_reports(t("documents").where("content_kind in ('report', 'draft')")))
 
 
 @query()
 def arm_rollup(t) -> DataFrame:
-    r = t("documents").where("content_kind in ('report', 'draft')")
-    return reports.arm_rollup(r, reports.report_metrics(r))
+    parsed = reports.parsed_reports(t("documents").where("content_kind in ('report', 'draft')"))
+    return reports.arm_rollup(Scratch(parsed.sparkSession, "reports").save(parsed))
 
 
 @query(
