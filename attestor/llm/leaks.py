@@ -91,7 +91,7 @@ class Patterns:
         self.length = np.array([len(w) for w in self.words], "i8")
         self.begin = np.r_[0, np.cumsum(self.length)].astype("i8")
         self.flat = np.array([number[x] for w in self.words for x in w], "i4")
-        self.spelt = np.array([not x.isdigit() for w in self.words for x in w], bool)  # where a misspelt word may stand: words, not figures
+        self.letters = np.array([-9 if x.isdigit() else len(x) for w in self.words for x in w], "i4")  # figures are never misspelt
         piece = np.repeat(np.arange(len(self.words)), self.length)
         at = np.arange(len(self.flat)) - self.begin[piece]
         starts = np.flatnonzero(at <= self.length[piece] - M) if len(piece) else np.zeros(0, "i8")
@@ -113,8 +113,8 @@ class Patterns:
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((a * self.size + b) * 0x9E3779B1 >> 7) & ((1 << self.bits) - 1)
 
-    def number(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Word numbers of all texts in a row, the offset of each text, and the words."""
+    def number(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Word numbers of all texts in a row, the offset of each text, the words' lengths, and the words."""
         low = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), "['’]", "")
         spaced = pc.utf8_trim(pc.replace_substring_regex(low, r"[^\pL\pN]+", " "), " ")
         split = pc.split_pattern(spaced, " ")
@@ -122,7 +122,9 @@ class Patterns:
         coded = values.dictionary_encode()
         own = pc.fill_null(pc.add(pc.index_in(coded.dictionary, self.vocabulary), 1), 0).to_numpy(zero_copy_only=False).astype("i8")
         offsets = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype("i8"))]
-        return own[coded.indices.to_numpy(zero_copy_only=False)], offsets, values
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        letters = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
+        return own[which], offsets, letters[which], values
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places where a pattern ends, and its number."""
@@ -155,7 +157,7 @@ class Patterns:
 
     def leaks(self, texts: pa.Array) -> set[tuple[int, int]]:
         """(number of the text, test item) for each text that holds a run of an item."""
-        ids, offsets, values = self.number(texts)
+        ids, offsets, letters, values = self.number(texts)
         ends, which = self.search(ids)
         order = np.argsort(ends, kind="stable")
         ends, which = ends[order], which[order]
@@ -164,10 +166,10 @@ class Patterns:
         # a pattern shared by many items has many places: they are laid out in bounded parts
         part = np.cumsum(count) // PLACES
         for at in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(part)) + 1):
-            self._extend(ids, offsets, values, ends[at], which[at], count[at], found)
+            self._extend(ids, offsets, letters, values, ends[at], which[at], count[at], found)
         return found
 
-    def _extend(self, ids: np.ndarray, offsets: np.ndarray, values: pa.Array, ends: np.ndarray, which: np.ndarray, count: np.ndarray, found: set[tuple[int, int]]) -> None:
+    def _extend(self, ids: np.ndarray, offsets: np.ndarray, letters: np.ndarray, values: pa.Array, ends: np.ndarray, which: np.ndarray, count: np.ndarray, found: set[tuple[int, int]]) -> None:
         """Add to ``found`` what the confirmed patterns' diagonals hold."""
         slot = np.repeat(self.place_first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(ends - M + 1, count) - self.place_at[slot]  # where the piece's first word would stand
@@ -182,16 +184,17 @@ class Patterns:
             longest = self.length[pairs[begin, 1]]
             end = begin + max(1, int(CELLS // longest))
             end = min(end, begin + int(np.searchsorted(self.length[pairs[begin:, 1]], 2 * longest, side="right")))
-            self._compare(ids, offsets, values, pairs[begin:end], doc[begin:end], found)
+            self._compare(ids, offsets, letters, values, pairs[begin:end], doc[begin:end], found)
             begin = end
 
-    def _compare(self, ids: np.ndarray, offsets: np.ndarray, values: pa.Array, pairs: np.ndarray, doc: np.ndarray, found: set[tuple[int, int]]) -> None:
+    def _compare(self, ids: np.ndarray, offsets: np.ndarray, letters: np.ndarray, values: pa.Array, pairs: np.ndarray, doc: np.ndarray, found: set[tuple[int, int]]) -> None:
         piece = pairs[:, 1]
         k = np.arange(self.length[piece].max())
         at = pairs[:, :1] + k
         inside = (at >= offsets[doc][:, None]) & (at < offsets[doc + 1][:, None]) & (k < self.length[piece][:, None])
         own = np.minimum(self.begin[piece][:, None] + k, len(self.flat) - 1)
-        equal = (ids[np.clip(at, 0, len(ids) - 1)] == self.flat[own]) & inside
+        at = np.clip(at, 0, len(ids) - 1)
+        equal = (ids[at] == self.flat[own]) & inside
         sums = np.cumsum(np.pad(equal, ((0, 0), (1, 0))), axis=1, dtype="i4")
         need = self.need[piece]
         for n in np.unique(need):
@@ -199,14 +202,17 @@ class Patterns:
             wide = min(int(n), len(k))
             rows = np.flatnonzero(need == n)
             most = (sums[rows, wide:] - sums[rows, :-wide]).max(1)
-            for r in rows[most * 3 >= 2 * n]:
+            rows = rows[most * 3 >= 2 * n]
+            # words of about the same length may be misspelt ones
+            maybe = equal[rows] | (inside[rows] & (np.abs(letters[at[rows]] - self.letters[own[rows]]) <= 2))
+            run = (k - np.maximum.accumulate(np.where(maybe, -1, k), axis=1)).max(1)
+            for r, may in zip(rows[run >= wide], maybe[run >= wide]):
                 p, text = int(piece[r]), int(doc[r])
                 if all((text, x) in found for x in self.items[p]):
                     continue
                 here = np.flatnonzero(inside[r])
                 lo, hi = here[0], here[-1] + 1
-                maybe = equal[r, lo:hi] | self.spelt[self.begin[p] + lo : self.begin[p] + hi]
-                if self._longest(equal[r, lo:hi], maybe, values, int(pairs[r, 0] + lo), self.words[p][lo:hi], self.at[p][lo:hi], int(n)):
+                if self._longest(equal[r, lo:hi], may[lo:hi], values, int(pairs[r, 0] + lo), self.words[p][lo:hi], self.at[p][lo:hi], int(n)):
                     found.update((text, x) for x in self.items[p])
 
     @staticmethod

@@ -44,7 +44,7 @@ def test_search_finds_every_pattern():
     p = Patterns([(i, x, 15) for i, _, t in ITEMS if t for x in t.split("\n")])
     import pyarrow as pa
 
-    ids, offsets, _ = p.number(pa.array([f"lead {PASSAGE} {QUESTION} tail " * 9, "nothing here", None]))
+    ids, offsets, *_ = p.number(pa.array([f"lead {PASSAGE} {QUESTION} tail " * 9, "nothing here", None]))
     ends, which = p.search(ids)
     found = set(zip(ends.tolist(), which.tolist()))
     want = {(e, n) for n, pat in enumerate(p.pattern.tolist()) for e in range(M - 1, len(ids)) if ids[e - M + 1 : e + 1].tolist() == pat}
