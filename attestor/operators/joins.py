@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,17 +14,21 @@ from attestor.functions.text import hamming
 from attestor.operators.ranking import cap_per
 
 
-def point_in_span(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, order: str) -> DataFrame:
+def point_in_span(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, order: str, cell: int = 2_000) -> DataFrame:
     """Each point with the first span of its keys that holds it, or nulls.
 
-    Spans are half-open.  The equi keys bound the range test; a point without a
-    place keeps its row.
+    Spans are half-open and laid out in the cells of ``cell`` places that they
+    touch, so a key with very many points and spans meets cell by cell.  A
+    point without a place or a key keeps its row; empty spans hold nothing.
     """
-    span = spans.select(*keys, *[F.col(c).alias(f"span_{c}") for c in dict.fromkeys((start, end, order, *[c for c in spans.columns if c not in keys]))])
-    near = points.withColumn("_row", F.monotonically_increasing_id()).join(span, keys, "left")
-    inside = F.col(at).between(F.col(f"span_{start}"), F.col(f"span_{end}") - 1)
-    hit = F.when(F.coalesce(inside, F.lit(False)), F.struct(F.col(f"span_{order}").alias("o"), *[F.col(c) for c in span.columns if c not in keys]))
-    return near.groupBy("_row", *points.columns).agg(F.min(hit).alias("hit")).select(*points.columns, *[F.col(f"hit.{c}") for c in span.columns if c not in keys])
+    names = list(dict.fromkeys((start, end, order, *[c for c in spans.columns if c not in keys])))
+    span = spans.where(F.col(end) > F.col(start)).select(*keys, *[F.col(c).alias(f"span_{c}") for c in names])
+    number = lambda c: F.floor(c / cell).cast("long")
+    span = span.withColumn("_cell", F.explode(F.sequence(number(F.col(f"span_{start}")), number(F.col(f"span_{end}") - 1))))
+    place = points.where(F.col(at).isNotNull()).select(*keys, at).distinct().withColumn("_cell", number(F.col(at)))
+    inside = place.join(span, [*keys, "_cell"]).where((F.col(at) >= F.col(f"span_{start}")) & (F.col(at) < F.col(f"span_{end}")))
+    hit = inside.groupBy(*keys, at).agg(F.min(F.struct(F.col(f"span_{order}").alias("o"), *[F.col(f"span_{c}") for c in names])).alias("_hit"))
+    return points.join(hit, [*keys, at], "left").select(*points.columns, *[F.col(f"_hit.span_{c}") for c in names])
 
 
 def neighbours(df: DataFrame, keys: list[str], order: str, value: str, n: int) -> DataFrame:
@@ -39,21 +44,31 @@ def neighbours(df: DataFrame, keys: list[str], order: str, value: str, n: int) -
 def hash_pairs(df: DataFrame, id_col: str, hash_col: str, most: int = 3) -> DataFrame:
     """Pairs ``(a, b, distance)``, a < b, of ids whose 64-bit hashes differ in few bits.
 
-    Four 16-bit bands: hashes at most three bits apart share one.  Equal hashes
-    meet through one representative (the smallest id): copies come out as
-    pairs with it, never as all pairs of the group.  Null hashes take no part.
+    The hash is cut into ``most`` + 3 blocks.  Hashes at most ``most`` bits
+    apart have three equal blocks, and every choice of three is a key of about
+    32 bits, so that far hashes seldom meet; a pair comes out under its first
+    key alone.  Equal hashes meet through one representative (the smallest id):
+    copies come out as pairs with it, never as all pairs of the group.  Null
+    hashes take no part.
     """
     rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
     one = rows.groupBy("h").agg(F.min("id").alias("id"))
     copies = rows.join(one.withColumnRenamed("id", "a"), "h").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    band = lambda i: F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    bands = one.select("id", "h", F.posexplode(F.array(*[band(i) for i in range(4)])).alias("band", "key"))
+    count = most + 3
+    edges = [64 * i // count for i in range(count + 1)]
+    masks = [((1 << hi) - (1 << lo)) - (1 << 64 if hi == 64 else 0) for lo, hi in zip(edges, edges[1:])]
+    choices = list(combinations(range(count), 3))
+    keys = F.array(*[F.col("h").bitwiseAND(F.lit(masks[i] | masks[j] | masks[k]).cast("long")) for i, j, k in choices])
+    bands = one.select("id", "h", F.posexplode(keys).alias("band", "key"))
     right = bands.select(F.col("id").alias("b"), F.col("h").alias("h2"), "band", "key")
+    differ = F.col("h").bitwiseXOR(F.col("h2"))
+    equal = F.filter(F.array(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(masks)]), lambda x: x.isNotNull())
+    names = F.array(*[F.array(*map(F.lit, c)) for c in choices])
     near = (
         bands.join(right, ["band", "key"])
         .where((F.col("id") < F.col("b")) & (hamming(F.col("h"), F.col("h2")) <= most))
+        .where(F.slice(equal, 1, 3) == F.element_at(names, F.col("band") + 1))
         .select(F.col("id").alias("a"), "b", hamming(F.col("h"), F.col("h2")).alias("distance"))
-        .distinct()
     )
     return near.union(copies)
 

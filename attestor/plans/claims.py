@@ -74,19 +74,18 @@ def claim_flags(claims: DataFrame, links: DataFrame, documents: DataFrame, origi
     other = known.select(F.col("claim_id").alias("other_id"), F.col("dated").alias("o_dated"), F.col("own_origin").alias("o_origin"), F.col("confirmed").alias("o_confirmed"))
     edges = directed(claim_relations(links)).join(other, "other_id")
     supports = F.col("relation").isin("same", "supports")
-    # distinct origins first: a claim with very many supporters folds map-side
-    cluster = edges.groupBy("claim_id").agg(
-        F.collect_set(F.when(supports, F.col("o_origin"))).alias("support_origins"),
-        F.max(F.when(supports, F.col("o_dated"))).alias("support_last"),
-        F.min(F.when(supports, F.col("o_dated"))).alias("support_first"),
-        F.max(F.when(supports, F.col("o_confirmed"))).alias("support_confirmed"),
-        F.max(F.when(F.col("relation") == "contradicts", F.col("o_dated"))).alias("against_last"),
-        F.count_if(F.col("relation") == "contradicts").alias("contradictions"),
-        F.count_if(F.col("relation") == "superseded_by").alias("superseders"),
-        F.count("*").alias("related"),
+    # one row a claim and origin first: a claim with very many supporters folds map-side, and no list of them is gathered
+    own = known.select("claim_id", "own_origin")
+    by_origin = edges.join(own, "claim_id").groupBy("claim_id", F.when(supports & (F.col("o_origin") != F.col("own_origin")), F.col("o_origin")).alias("other_origin")).agg(
+        F.max(F.when(supports, F.col("o_dated"))).alias("sl"), F.min(F.when(supports, F.col("o_dated"))).alias("sf"), F.max(F.when(supports, F.col("o_confirmed"))).alias("sc"),
+        F.max(F.when(F.col("relation") == "contradicts", F.col("o_dated"))).alias("al"), F.count_if(F.col("relation") == "contradicts").alias("nc"), F.count_if(F.col("relation") == "superseded_by").alias("ns"), F.count("*").alias("n"),
+    )
+    cluster = by_origin.groupBy("claim_id").agg(
+        F.count("other_origin").alias("support_origins"), F.max("sl").alias("support_last"), F.min("sf").alias("support_first"), F.max("sc").alias("support_confirmed"), F.max("al").alias("against_last"),
+        F.sum("nc").alias("contradictions"), F.sum("ns").alias("superseders"), F.sum("n").alias("related"),
     )
     c = known.join(cluster, "claim_id", "left")
-    count = F.size(F.array_union(F.coalesce("support_origins", F.array().cast("array<bigint>")), F.array("own_origin")))
+    count = F.coalesce("support_origins", F.lit(0)) + 1
     last = F.greatest("dated", "support_last")
     first = F.least("dated", "support_first")
     days = F.datediff(F.lit(now.date()), last)
@@ -138,24 +137,42 @@ def timeline(seeds: DataFrame, claims: DataFrame, links: DataFrame, documents: D
     )
 
 
+def quoted_claims(claims: DataFrame) -> DataFrame:
+    """``(k, claim_id, document_id, extracted_at)`` of the verified quotes of LEAST_WORDS or more, one row a claim."""
+    key = quote_key(F.col("quote"))
+    c = claims.where("quote_verified and claim_id is not null and document_id is not null").dropDuplicates(["claim_id"]).select(key.alias("k"), "claim_id", "document_id", "extracted_at")
+    return c.where(F.size(F.split("k", " ")) >= LEAST_WORDS)
+
+
 def rule_links(claims: DataFrame) -> DataFrame:
     """Claims of different documents with the same verified quote of six words or more.
 
-    One star per quote instead of all pairs: every claim is linked to the
-    first document's smallest claim (``same``, by rule), which joins the same
-    groups.  ``(from_claim, to_claim, relation, method, created_at)``, from <
-    to; the smallest claim's own document's other claims are not linked to it.
+    Not all pairs: every claim is linked to the quote's smallest claim, and the
+    other claims of that one's document to the smallest claim of any other
+    document.  Each claim that has a partner in another document has a link,
+    and the groups are those of all pairs (``rule_groups`` has how many there
+    are).  ``(from_claim, to_claim, relation, method, created_at)``, from < to.
     """
-    key = quote_key(F.col("quote"))
-    c = claims.where("quote_verified and claim_id is not null").dropDuplicates(["claim_id"]).select("claim_id", "document_id", "extracted_at", key.alias("k"))
-    c = c.where(F.size(F.split("k", " ")) >= LEAST_WORDS)
-    head = c.groupBy("k").agg(F.min(F.struct("claim_id", "document_id", "extracted_at")).alias("h"))
-    pair = c.join(head, "k").where(F.col("document_id") != F.col("h.document_id"))
+    c = quoted_claims(claims)
+    first = F.min(F.struct("claim_id", "document_id", "extracted_at"))
+    head = c.groupBy("k").agg(first.alias("h"))
+    apart = c.join(head, "k").where(F.col("document_id") != F.col("h.document_id"))
+    second = apart.groupBy("k").agg(first.alias("o"))
+    pair = c.join(head, "k").join(second, "k").select("claim_id", "extracted_at", F.when(F.col("document_id") == F.col("h.document_id"), F.col("o")).otherwise(F.col("h")).alias("x"))
     return pair.select(
-        F.col("h.claim_id").alias("from_claim"), F.col("claim_id").alias("to_claim"), F.lit("same").alias("relation"), F.lit("rule").alias("method"), F.greatest("extracted_at", F.col("h.extracted_at")).alias("created_at")
+        F.least("claim_id", "x.claim_id").alias("from_claim"), F.greatest("claim_id", "x.claim_id").alias("to_claim"), F.lit("same").alias("relation"), F.lit("rule").alias("method"), F.greatest("extracted_at", "x.extracted_at").alias("created_at")
     ).distinct()
 
 
+def rule_groups(claims: DataFrame) -> DataFrame:
+    """``(claim_id, group_id, links)``: each claim of ``rule_links`` with its group and the number of claims of other documents with its quote."""
+    c = quoted_claims(claims)
+    own = c.groupBy("k", "document_id").agg(F.count("*").alias("n"), F.min("claim_id").alias("m"))
+    whole = own.groupBy("k").agg(F.sum("n").alias("all"), F.min("m").alias("group_id"))
+    counts = own.join(whole, "k").where(F.col("all") > F.col("n")).select("k", "document_id", "group_id", (F.col("all") - F.col("n")).alias("links"))
+    return c.join(counts, ["k", "document_id"]).select("claim_id", "group_id", "links")
+
+
 def collapse_superseded(cards: DataFrame, links: DataFrame) -> DataFrame:
     """Claim cards without those that another card present supersedes."""
     present = cards.where("kind = 'claim'").select(F.col("id").alias("other_id"))

@@ -30,23 +30,35 @@ def build_context(hits: DataFrame, files: DataFrame) -> DataFrame:
     """``(path, mode, body)``: small files whole, others as their matched chunks in line order.
 
     ``hits`` (path, start_line, end_line, score, content), ``files`` (path,
-    text).  A chunk of another file that a whole file contains is left out;
-    files are small in number, as hits are.
+    text).  A chunk of another file that a whole file contains is left out:
+    chunks meet whole files by their longest inner word, so texts are compared
+    only where that word stands (chunks of under three words are kept).
     """
-    h = hits.groupBy("path").agg(F.array_sort(F.collect_set(F.struct("start_line", "end_line", "content"))).alias("chunks"), F.max("score").alias("score"))
-    j = h.join(files.select("path", "text"), "path", "left").withColumn("mode", F.when(F.length("text") <= WHOLE, "whole").otherwise("chunks"))
-    wholes = F.broadcast(j.where("mode = 'whole'").agg(F.collect_list("text").alias("wholes")))
-    part = lambda c: F.concat(F.lit("[lines "), c["start_line"].cast("string"), F.lit("-"), c["end_line"].cast("string"), F.lit("]\n"), F.regexp_replace(c["content"], r"^File: [^\n]*\n+", ""))
-    j = j.crossJoin(wholes)  # one row
-    kept = F.filter("chunks", lambda c: ~F.exists("wholes", lambda w: F.contains(w, c["content"])))
-    body = F.when(F.col("mode") == "whole", F.col("text")).otherwise(F.substring(F.array_join(F.transform(kept, part), "\n\n"), 1, CHUNKS))
-    return j.select("path", "mode", "score", body.alias("body")).where("body != ''").orderBy("path")
+    chunk = hits.select("path", "start_line", "end_line", "content", "score").groupBy("path", "start_line", "end_line", "content").agg(F.max("score").alias("score"))
+    text = files.select("path", "text")
+    mode = F.when(F.length("text") <= WHOLE, "whole").otherwise("chunks")
+    paths = chunk.groupBy("path").agg(F.max("score").alias("score")).join(text, "path", "left").withColumn("mode", mode)
+    whole = paths.where("mode = 'whole'").select("path", "score", "text")
+    parts = chunk.drop("score").join(whole.select("path"), "path", "left_anti")
+    tokens = lambda c: F.split(F.trim(c), r"\s+")
+    inner = F.slice(tokens(F.col("content")), 2, F.greatest(F.size(tokens(F.col("content"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = parts.withColumn("_word", longest)
+    words = whole.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("_word"), F.col("path").alias("_whole"))
+    pairs = keyed.join(words, "_word").select(F.col("path"), "start_line", "end_line", "content", "_whole").distinct()
+    held = pairs.join(whole.select(F.col("path").alias("_whole"), "text"), "_whole").where(F.contains("text", "content")).select("path", "start_line", "end_line", "content").distinct()
+    kept = parts.join(held, ["path", "start_line", "end_line", "content"], "left_anti")
+    line = lambda c: F.concat(F.lit("[lines "), c["start_line"].cast("string"), F.lit("-"), c["end_line"].cast("string"), F.lit("]\n"), F.regexp_replace(c["content"], r"^File: [^\n]*\n+", ""))
+    joined = kept.groupBy("path").agg(F.array_sort(F.collect_set(F.struct("start_line", "end_line", "content"))).alias("c"))  # the hits of one file
+    body = F.substring(F.array_join(F.transform("c", line), "\n\n"), 1, CHUNKS)
+    rest = joined.join(paths.where("mode = 'chunks'").select("path", "score"), "path").select("path", F.lit("chunks").alias("mode"), "score", body.alias("body"))
+    return whole.select("path", F.lit("whole").alias("mode"), "score", F.col("text").alias("body")).union(rest).where("body != ''").orderBy("path")
 
 
 def limited_evidence(items: DataFrame, budget: int = 120_000) -> DataFrame:
     """Evidence items in order within a budget of bytes; the crossing one is cut at a character.
 
-    ``items`` has ``ord`` and ``text``; one small list, so one window.
+    ``items`` has ``ord`` and ``text``; see ``within_budget`` for long lists.
     """
     sized = items.withColumn("_all", F.lit(1)).withColumn("_n", F.octet_length("text"))
     cut = within_budget(sized, ["_all"], [F.col("ord")], F.col("_n"), budget)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.operators.joins import neighbours
-from attestor.operators.ranking import best_per
+from attestor.operators.ranking import best_per, cap_per
 
 
 def deliveries(fetches: DataFrame) -> DataFrame:
@@ -44,7 +44,9 @@ def best_attempts(fetches: DataFrame, keys: tuple[str, ...] = ("run_id", "source
 def run_sources(fetches: DataFrame, sources: DataFrame, passages: DataFrame) -> DataFrame:
     """Per run and source: attempts, the best attempt's outcome, its document's passages, sequence numbers."""
     f = deliveries(fetches)
-    seen = f.groupBy("run_id", "source_id").agg(F.count("*").alias("tried"), F.min("seq").alias("first_seq"), F.array_join(F.slice(F.array_sort(F.collect_set("seq")), 1, 5), ",").alias("seqs"))
+    five = cap_per(f.select("run_id", "source_id", "seq"), ["run_id", "source_id"], [F.col("seq")], 5)  # deliveries are distinct by seq
+    five = five.groupBy("run_id", "source_id").agg(F.array_join(F.array_sort(F.collect_list("seq")), ",").alias("seqs"))
+    seen = f.groupBy("run_id", "source_id").agg(F.count("*").alias("tried"), F.min("seq").alias("first_seq")).join(five, ["run_id", "source_id"])
     best = best_attempts(fetches).select("run_id", "source_id", "document_id", fetch_class(F.col("http_status"), F.col("error")).alias("outcome"))
     size = passages.dropDuplicates(["passage_id"]).groupBy("document_id").agg(F.count("*").alias("passages"))
     out = seen.join(best, ["run_id", "source_id"]).join(sources.select("source_id", "url_key", "title"), "source_id").join(size, "document_id", "left")

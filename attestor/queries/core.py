@@ -20,6 +20,7 @@ from attestor.functions.quotes import locate_quote
 from attestor.functions.records import content_kind, document_quote
 from attestor.functions.text import informative, quote_key, share_term, words
 from attestor.operators import joins, merge, ranking
+from attestor.operators.components import components
 from attestor.plans import claims as claim_plans
 from attestor.plans import find, graph, origins, reports, store
 from attestor.session import Scratch, spread
@@ -341,19 +342,38 @@ def claim_timeline(t) -> DataFrame:
     return claim_plans.timeline(seeds, t("claims"), t("claim_links"), merge.fold_documents(t("fetches")), t("origins"))
 
 
-@query(
-    r"""
-with c as (select claim_id, any_value(document_id) as document_id, any_value(extracted_at) as extracted_at,
+_QUOTED = r"""
+c as (select claim_id, any_value(document_id) as document_id, any_value(extracted_at) as extracted_at,
    trim(regexp_replace(lower(any_value(quote)), '[^\p{L}\p{Nd}]+', ' ', 'g')) as k from claims where quote_verified and claim_id is not null group by 1),
- w as (select * from c where len(string_split(k, ' ')) >= 6), h as (select k, min(claim_id) as head from w group by 1),
- j as (select h.head as from_claim, w.claim_id as to_claim, w.extracted_at as e1, w2.extracted_at as e2 from h join w using (k) join w w2 on w2.claim_id = h.head where w.document_id <> w2.document_id)
-select from_claim, to_claim, 'same' as relation, 'rule' as method, epoch_us(greatest(e1, e2)) as created_us from j"""
+ w as (select * from c where len(string_split(k, ' ')) >= 6)"""
+
+
+@query(
+    f"""
+with {_QUOTED}, h as (select k, arg_min(claim_id, claim_id) as head, arg_min(document_id, claim_id) as hd from w group by 1),
+ o as (select w.k, min(w.claim_id) as other from w join h using (k) where w.document_id <> h.hd group by 1),
+ x as (select w.claim_id as a, w.extracted_at as e, case when w.document_id = hd then other else head end as b from w join h using (k) join o using (k))
+select distinct least(a, b) as from_claim, greatest(a, b) as to_claim, 'same' as relation, 'rule' as method, epoch_us(greatest(e, w.extracted_at)) as created_us from x join w on w.claim_id = x.b"""
 )
 def rule_links(t) -> DataFrame:
-    """Links by equal verified quotes, one star a quote."""
+    """Links by equal verified quotes: each claim to the smallest one of another document, or to the quote's first."""
     return claim_plans.rule_links(t("claims")).withColumn("created_us", F.unix_micros("created_at")).drop("created_at")
 
 
+@query(
+    f"""
+with recursive {_QUOTED}, e as (select x.claim_id as a, y.claim_id as b from w x join w y on x.k = y.k and x.document_id <> y.document_id),
+ reach as (select a, b from e union select reach.a, e.b from reach join e on e.a = reach.b)
+select a as claim_id, least(a, min(b)) as group_id, (select count(*) from e where e.a = reach.a) as links from reach group by a"""
+)
+def rule_groups(t) -> DataFrame:
+    """Groups of the rule links by components, and how many partners each claim has in all pairs."""
+    links = claim_plans.rule_links(t("claims"))
+    scratch = Scratch(links.sparkSession, "rules")
+    roots = components(links.select(F.col("from_claim").alias("a"), F.col("to_claim").alias("b")), scratch)
+    return claim_plans.rule_groups(t("claims")).drop("group_id").join(roots.select(F.col("id").alias("claim_id"), F.col("root").alias("group_id")), "claim_id")
+
+
 @query(
     """
 with c as (select claim_id, any_value(document_id) as document_id, any_value(char_start) as char_start from claims group by 1),
@@ -592,7 +612,15 @@ def evidence_budget(t) -> DataFrame:
     return ranking.within_budget(d, ["source"], [F.col("doc_id")], F.col("n"), 120_000).drop("n")
 
 
-@query()
+@query(
+    """
+with d as (select doc_id, run_id, coalesce(n_chars, 0)::bigint as need from documents where run_id is not null),
+ r as (select *, row_number() over w as k, count(*) over (partition by run_id) as n, coalesce(sum(need) over (partition by run_id order by need, md5(doc_id::varchar || chr(0) || run_id), doc_id rows between unbounded preceding and 1 preceding), 0) as b
+   from d window w as (partition by run_id order by need, md5(doc_id::varchar || chr(0) || run_id), doc_id)),
+ x as (select *, max(case when need * (n - k + 1) > 50000 - b then 1 else 0 end) over (partition by run_id order by k rows unbounded preceding) as short from r),
+ s as (select run_id, min(k) as k0, min(b) as b0 from x where short = 1 group by 1)
+select x.doc_id, x.run_id, x.need, case when short = 0 then need else ((50000 - b0 + k - k0) // (n - k0 + 1))::bigint end as share from x left join s using (run_id)"""
+)
 def fair_shares(t) -> DataFrame:
     """Per run 50,000 characters shared fairly among its documents."""
     d = t("documents").where("run_id is not null").select("doc_id", "run_id", F.coalesce("n_chars", F.lit(0)).alias("need"))
@@ -636,7 +664,7 @@ select user_id, event_id, event_type, previous from e where n = 1 or previous is
 )
 def status_changes(t) -> DataFrame:
     """Each user's events that differ from the one before."""
-    return ranking.transitions(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type").select("user_id", "event_id", "event_type", "previous")
+    return ranking.transitions(t("events"), ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts")).select("user_id", "event_id", "event_type", "previous")
 
 
 @query(
@@ -647,9 +675,8 @@ select user_id, session::bigint as session, count(*) as events, round(sum(value)
 )
 def event_sessions(t) -> DataFrame:
     """Users' events grouped by gaps of more than half an hour."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.lag("ts").over(w).isNull() | (F.col("ts") - F.lag("ts").over(w) > F.expr("interval 30 minutes"))
-    g = ranking.groups_by_gap(t("events"), ["user_id"], [F.col("ts"), F.col("event_id")], new, "session")
+    new = F.col("ts") - F.col("prev_ts") > F.expr("interval 30 minutes")
+    g = ranking.groups_by_gap(t("events"), ["user_id"], ["ts", "event_id"], new, ["ts"], F.to_date("ts"), "session")
     return g.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"))
 
 

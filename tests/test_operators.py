@@ -41,7 +41,7 @@ def test_budget_and_groups(spark):
 
 def test_transitions_and_sample(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, None), (1, 4, None), (1, 5, "b")], "u int, n int, s string")
-    assert [r[0] for r in rows(ranking.transitions(df, ["u"], [F.col("n")], "s"), "n")] == [1, 3, 5]
+    assert [r[0] for r in rows(ranking.transitions(df, ["u"], ["n"], "s", F.floor(F.col("n") / 2)), "n")] == [1, 3, 5]
     pool = spark.createDataFrame([("A", f"t{i % 3}", i) for i in range(30)], "arm string, topic string, id int")
     got = ranking.stratified_sample(pool, "arm", "topic", "id", 7, 3).groupBy("topic").count().collect()
     assert sorted(r["count"] for r in got) == [2, 2, 3]
