@@ -33,6 +33,7 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list["Node | str"] = field(default_factory=list)
     visible: bool = True
+    parent: "Node | None" = field(default=None, repr=False, compare=False)
 
     def text(self) -> str:
         return " ".join(c if isinstance(c, str) else c.text() for c in self.children)
@@ -43,6 +44,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.root.pieces = []  # (line from 1, text, the node that holds it)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         ends = CLOSES.get(tag, set())
@@ -55,17 +57,17 @@ class _Builder(HTMLParser):
         del self.open[cut:]
         parent = self.open[-1]
         if tag in ("td", "th") and parent.tag != "tr" or tag == "tr" and parent.tag not in ("table", "tbody", "thead", "tfoot"):
-            implied = Node("tr" if tag != "tr" else "table")
+            implied = Node("tr" if tag != "tr" else "table", parent=parent)
             parent.children.append(implied)
             self.open.append(implied)
             parent = implied
         if tag == "li" and parent.tag not in ("ul", "ol", "menu"):
-            implied = Node("ul")
+            implied = Node("ul", parent=parent)
             parent.children.append(implied)
             self.open.append(implied)
             parent = implied
         a = {k: v or "" for k, v in attrs}
-        node = Node(tag, a, visible=self._visible(tag, a))
+        node = Node(tag, a, visible=self._visible(tag, a), parent=parent)
         parent.children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -85,6 +87,7 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
+        self.root.pieces.append((self.getpos()[0], data, self.open[-1]))
 
 
 def build_html(markup: str) -> Node:
@@ -95,6 +98,20 @@ def build_html(markup: str) -> Node:
     return b.root
 
 
+def hidden_lines(root: Node) -> list[int]:
+    """Numbers from 0 of the markup's lines whose text is all out of sight: in hidden nodes or in furniture."""
+    seen: dict[int, bool] = {}
+    for line, data, node in root.pieces:
+        n: Node | None = node
+        while n is not None and n.visible and n.tag not in FURNITURE:
+            n = n.parent
+        for i, part in enumerate(data.split("\n")):
+            if part.strip():
+                at = line - 1 + i
+                seen[at] = seen.get(at, False) or n is None
+    return sorted(at for at, visible in seen.items() if not visible)
+
+
 def render(node: Node) -> str:
     """Visible text: blocks apart by blank lines, list markers, tabs between cells."""
     lines: list[str] = []
