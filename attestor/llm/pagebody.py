@@ -1,12 +1,15 @@
 """The main body of web pages: a layout tree, visibility rules, rendering.
 
-A passage is read into the same tree that HTML pages are: blocks (between
-blank lines) hold lines, and the tags that markup would have given - nav, ul,
-table, aside, footer, dialog - are implied from layout: bullets and numbers,
-columns and separators, short labels, headings of link lists, and the wording
-of furniture.  Visibility rules switch furniture nodes off, and the renderer
-emits what is visible with block spacing, lists and cells as they stood.
-Passages that still hold markup go through the HTML builder.
+A passage is read into a tree: HTML by its tags, text by the tags that markup
+would have given, implied from layout alone - blocks between blank lines,
+labels between bars, columns of labels, paths to where the page stands, lists
+of single words, headlines under a heading - never from listed phrases.
+Visibility is then decided twice: some layouts are furniture by themselves;
+every other line is furniture where the corpus says that it belongs to the
+site and not to the article, because it stands beside different articles again
+and again.  Notes of the article itself (bylines, reading times, disclaimers)
+repeat as well and stay.  The renderer emits what is visible with block
+spacing, lists and cells as they stood.
 """
 
 from __future__ import annotations
@@ -14,234 +17,206 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.functions.page_tree import FURNITURE, Node, build_html, render
-from attestor.session import spread
-
-# Wording of site furniture, by role, as whole lines in lower
-# case without list marks and end marks.  x stands for any words.
-MENU_WORDS = """
-home podcasts search reports events projects press about tides contact news library forum data gallery archive maps
-careers shop donate log-in login sign-in account help
-presse agenda bibliothek berichte karten archiv daten impressum termine startseite projekte kontakt suche aktuelles
-stellen mitglieder spenden galerie
-boutique recherche projets archives cartes accueil emplois actualités données rapports bibliothèque événements dons
-buscar noticias proyectos empleo prensa datos archivo contacto mapas tienda informes inicio biblioteca eventos
-""".split()
-PHRASES = {
-    "nav": """
-menu|menü|menú|skip to navigation|skip to main content|skip to content|zum inhalt springen|aller au contenu|saltar al contenido
-log in|sign in|anmelden|se connecter|iniciar sesión|choose language: x|sprache wählen: x|choisir la langue: x|elegir idioma: x|choisir la langue : x
-open the reader view|listen to this article|close|schließen|fermer|cerrar|page # of #|seite # von #|page # sur #|página # de #
-you have # free articles left this month""",
-    "dialog": """
-accept all|reject optional|reject all|only necessary|manage choices|save preferences|ok, got it|alle annehmen|nur notwendige|ablehnen|einstellungen
-tout accepter|continuer sans accepter|refuser|personnaliser|aceptar todo|rechazar|configurar|entendido
-we use cookies x|x and its partners set cookies x|x and its partners set cookies|cookies help x remember your choices x|cookies help x remember your choices
-your privacy matters to x|this site stores small files on your device x|this site stores small files on your device|before you read on: x measures visits x|before you read on: x measures visits
-wir setzen auf x kleine textdateien ein x|wir setzen auf x kleine textdateien ein|ihre privatsphäre ist x wichtig x|ihre privatsphäre ist x wichtig|x verwendet cookies x|x utiliza cookies x|x utilise des cookies x|x uses cookies x
-nous déposons des traceurs x|le respect de vos données compte x|en x guardamos pequeños archivos x|su privacidad es importante x""",
-    "ad": "sponsored|advertisement|anzeige|werbung|publicité|publicidad",
-    "share": """
-print · save · share|share this page|copy link|tell a friend about this story|liked this? pass it on|share on x|follow us x|follow us
-# shares|# comments|no comments|teilen · drucken · merken|artikel teilen|link kopieren|# mal geteilt|# kommentare|folgen sie uns x|folgen sie uns
-imprimer · envoyer · partager|partager l'article|copier le lien|# partages|# commentaires|suivez-nous x|suivez-nous|nous suivre x|nous suivre
-imprimir · enviar · compartir|copiar enlace|compartido # veces|# comentarios|síganos x|síganos|compartir artículo|compartir el artículo""",
-    "letter": """
-get x in your inbox|sign up for the x letter x|join # readers of x|never miss a story x|jetzt den rundbrief x|kein thema verpassen x
-recevez x chaque semaine|s'abonner à la lettre x|suscríbase al boletín x|reciba x cada semana""",
-    "footer": """
-site map|back to top|privacy policy|terms of use · privacy · accessibility|powered by x|hosted by x|x is published by the x|x is published by x
-registered office of x|© # x|copyright # x|copyright © # x|last updated #|last updated # x|last updated x #
-sitemap|nach oben|impressum · datenschutz · agb|impressum · datenschutz|herausgeber: x|stand: # x|stand: #
-plan du site|haut de page|mentions légales · confidentialité|édité par x|mis à jour le # x|mis à jour le #
-mapa del sitio|volver arriba|aviso legal · privacidad|editado por x|actualizado el # x|actualizado el #""",
-    "tags": "tags: x|schlagwörter: x|mots-clés: x|mots-clés : x|etiquetas: x",
-    "aside": """
-related stories|most read|latest|editor's picks|more from this section|you may also like|auch interessant|mehr zum thema|meistgelesen
-à lire aussi|les plus lus|dans la même rubrique|también le puede interesar|lo más leído|más noticias""",
-}
+from attestor.functions.page_tree import FURNITURE, Node, build_html, hidden_lines, render
+from attestor.llm.messages import may_hold_message, message, open_fields
+from attestor.llm.sitelines import MONTHS, document_sites
+from attestor.session import Scratch, spread
+
+# Words of notes that belong to the article and come back on many
+# pages - who wrote it, how long it is, what it is worth, where it was printed.
+NOTE_LEADS = "by|words|text|texte|texto|photo|photos|foto|fotos|written by|reported by|von|par|por|escrito por|écrit par"
+NOTE_WORDS = set("""
+liability liable warranty guarantee gewähr garantie garantía garantías advice writer author opinions
+corrections correction berichtigungen printed erschienen paru publicado edition ausgabe numéro número desk
+""".split())
+READING_TIME = r"(?:reading|read|lesezeit|lecture|lectura).*\d+\s*min|\d+\s*min\w*\s+(?:read|lesezeit|de lecture|de lectura)"
 # end of fixed values
 
 MARK = re.compile(r"^(?:(?:[•*–—\-»›▪◦‣]+|\(?\d{1,2}[.)])\s+)+")
 BULLET = re.compile(r"^[•*–—\-»›▪◦‣]+\s+")
-SEPARATOR = re.compile(r"\s*[|·/>›»]\s*")
-CELLS = re.compile(r"\t| {2,}\S+ {2,}")
-MARKUP = re.compile(r"</(?:p|div|li|a|td|nav|h\d|span|ul|table|body|html)\s*>", re.I)
+BAR = re.compile(r"\s+[|·>›»/•]\s+|\s*[|·›»]\s*")
+PATH = re.compile(r"\s*[›»]\s*|\s+[>/]\s+")
+PATH_START = re.compile(r"\W*\S+(?: \S+)?\s*[›»>/]")
+LABEL = re.compile(r"[^\W\d_](?:[^\W\d_]|[ '’&\-])*\Z")
+ENDS = re.compile(r"[.!?…:;。！？]['\"”’»)\]]*\Z")
+SENTENCE = re.compile(r"(?<=[.!?…。])\s+")
+MARKUP = re.compile(r"</(?:p|div|li|a|td|nav|h\d|span|ul|table|body|html|footer|aside|header)\s*>", re.I)
+NOTE = re.compile(rf"(?:{NOTE_LEADS})\s*:?\s+\S+ \S+")
+DIGIT = re.compile(r"\d")
+TIME = re.compile(READING_TIME)
+LETTERS, MONTHS_SET = re.compile(r"[^\W\d_]+"), set(MONTHS)
+SERVER = re.compile(r"\S+/\d+(?:\.\d+)+\Z")
 
 
-def _rule(phrase: str) -> str:
-    phrase = re.escape(re.sub(r"\s*[|·/]\s*", "·", phrase)).replace("\\ ", " ").replace("\\#", "#")
-    phrase = re.sub(r" ?(?<!\w)x(?!\w)", ".*", phrase)
-    return phrase.replace("#", r"\d[\d.,\-· ]*")
+def plain(line: str) -> str:
+    """A line in lower case, one space between words, without list and end marks."""
+    x = " ".join(line.replace("’", "'").split()).lower()
+    return MARK.sub("", x).rstrip(" \t\n .!…»›:")
 
 
-def _rules() -> tuple[dict[str, str], dict[str, list[tuple[str, re.Pattern]]]]:
-    """Whole phrases by role, and open phrases by their first word ("" if that is open too)."""
-    fixed: dict[str, str] = {}
-    by_word: dict[str, dict[str, list[str]]] = {}
-    for role, text in PHRASES.items():
-        for p in (p.strip() for p in re.split(r"[|\n]", text)):
-            if p and not re.search(r"#|\bx\b", p):
-                fixed.setdefault(re.sub(r"\s*·\s*", "·", p), role)
-            elif p:
-                word = "" if re.match(r"#|x\b", p) else re.match(r"\S+", p)[0]
-                by_word.setdefault(word, {}).setdefault(role, []).append(_rule(p))
-    return fixed, {w: [(r, re.compile("(?:" + "|".join(ps) + r")\Z")) for r, ps in d.items()] for w, d in by_word.items()}
+def _key(x: str) -> str:
+    return "".join(w for w in LETTERS.findall(x) if w not in MONTHS_SET)
 
 
-FIXED, OPEN = _rules()
-MENU = {w.replace("-", " ") for w in MENU_WORDS}
+def line_key(line: str) -> str:
+    """What lines have in common that differ in case, marks and figures; empty without a letter."""
+    return _key(plain(line))
 
 
-def plain(line: str) -> str:
-    """A line in lower case, one space between words, without list and end marks."""
-    x = " ".join(line.replace("’", "'").split()).lower()
-    return MARK.sub("", x).rstrip(" \t\n\u00a0.!…»›:")
-
-
-def line_role(line: str) -> str:
-    """The furniture role that a line's own wording implies, or ``text``."""
-    return _short_role(line) if len(line) <= 220 else _role(line)  # long lines would fill the cache
+def _label(x: str, words: int = 3) -> bool:
+    """A few words without figures or an end."""
+    return bool(LABEL.match(x)) and len(x.split()) <= words and not ENDS.search(x)
 
 
-def _role(line: str) -> str:
-    x = plain(line)
-    if not x:
-        return "text"
-    if x in MENU:
-        return "nav"
-    joined = re.sub(r"\s*[|·/]\s*", "·", x)
+def _is_note(raw: str, x: str) -> bool:
+    """A note of the article itself, or a message in place of one: neither is furniture."""
     words = x.split(" ")
-    if joined in FIXED:
-        return FIXED[joined]
-    for word in (words[0], ""):
-        for role, rule in OPEN.get(word, ()):
-            if rule.match(joined):
-                return role
-    if len(words) >= 2 and all(w.startswith("#") for w in words[1:]) and "#" in x:
-        return "tags"
-    if re.fullmatch(r"[^\W\d_]+(?:, [^\W\d_]+){2,}", x) and line.strip(" .!…»›*•–-") in (x, x.upper()):
-        return "tags"
-    parts = [p for p in SEPARATOR.split(x) if p]
-    if len(parts) >= 3 and all(p in MENU for p in parts):
-        return "nav"
-    if len(parts) >= 2 and parts[0] in MENU and re.search(r"[›>]", line) and not re.search(r"\d[/·]\d", x):
-        return "nav"  # where the page stands in the site
-    if len(parts) >= 3 and parts[0] in MENU and len(parts[1].split()) <= 2 and re.search(r"[/›>]", line) and ":" not in parts[0]:
-        return "nav"
-    if len(words) >= 3 and all(w in MENU for w in words):
+    if NOTE.match(x) or not NOTE_WORDS.isdisjoint(words) or "'s" in x and "views" in words:
+        return True
+    if len(words) <= 5 and re.match(r"[^\W\d_]+ [^\W\d_\-]+, ", x) or ("min" in x and DIGIT.search(x) and TIME.search(x) or "/" in x and SERVER.match(x)):
+        return True
+    return open_fields(raw) or may_hold_message(raw) and any(message(s) for s in [raw, *SENTENCE.split(raw)])
+
+
+def _words_only(x: str) -> bool:
+    """Three single words or more, apart by commas, bars or number signs, with a label before them or none."""
+    if ENDS.search(x):
+        return False
+    x = re.sub(r"^[^\W\d_]+(?:[- ][^\W\d_]+)?\s*:\s*", "", x)
+    for mark in (r"\s*,\s*", r"\s*[|·/]\s*", r"\s*#"):
+        parts = [p for p in re.split(mark, x) if p]
+        if len(parts) >= 3 and all(re.fullmatch(r"[^\W\d_]+", p) for p in parts):
+            return True
+    return False
+
+
+def _line_layout(raw: str) -> str:
+    """The furniture tag that a line's own shape implies, or ``""``: nav, path, tags."""
+    x = BULLET.sub("", raw.strip()).rstrip(" .!…»›")
+    if "\t" in raw:
+        return ""
+    if "  " in x:
+        cells = re.split(r" {2,}", x)
+        if len(cells) >= 3 and all(c[:1].isupper() and _label(c) for c in cells) and not x.isupper():
+            return "nav"
+    marks = sum(map(x.count, "|·>›»/•,#"))
+    if not marks:
+        return ""
+    words = x.count(" ") + 1
+    bars = [p for p in BAR.split(x) if p] if 4 * marks >= words - 4 else []  # labels have three words at most
+    if len(bars) >= 3 and all(map(_label, bars)):
         return "nav"
-    if len(parts) >= 3 and re.search(r"[|·]", line) and all(re.fullmatch(r"#?[^\W\d]+", p) for p in parts) and "\t" not in line:
+    path = [p for p in PATH.split(x) if p] if PATH_START.match(x) else []
+    if len(path) >= 3 and _label(path[0], 2) and _label(path[1], 2):
+        return "path"
+    if len(path) == 2 and _label(path[0], 2) and re.search("[›»]", x):
+        return "path"
+    bare = x.rstrip(" .!…»›:")
+    if 2 * marks >= words - 4 and _words_only(bare) and (bare.islower() or bare.isupper() or "#" in bare or re.match(r"[^\W\d_]+\s*:", bare)):
         return "tags"
-    return "text"
+    return ""
 
 
-_short_role = lru_cache(1 << 16)(_role)
-BAR = re.compile(r"\s+[|·>›»/•]\s+")
-LABEL = re.compile(r"[^\W\d_](?:[^\W\d_]|[ '’&\-])*\Z")
-ENDS = re.compile(r"[.!?…:;。！？]['\"”’»)\]]*\Z")
+def _line(raw: str) -> tuple[str, str, bool, bool, bool]:
+    """``(layout, key, note, label, open)`` of a line: what it looks like by itself."""
+    x = plain(raw)
+    bare = BULLET.sub("", raw.strip())
+    return _line_layout(raw), _key(x), _is_note(raw, x), _label(bare), not ENDS.search(bare)
 
 
-def _label(x: str, words: int = 3) -> bool:
-    """A few words without figures or an end."""
-    return len(x) <= 32 and bool(LABEL.match(x)) and len(x.split()) <= words
+_short_line = lru_cache(1 << 16)(_line)
+_short_layout = lru_cache(1 << 16)(_line_layout)
 
 
-def layout_role(raws: list[str], between: bool) -> str:
-    """The furniture tag that a block's shape implies without any listed word, or ``""``.
+def line_layout(raw: str) -> str:
+    return _short_layout(raw) if len(raw) <= 120 else _line_layout(raw)
 
-    ``between``: the block has paragraphs on both sides.
-    """
-    lines = [x.strip() for x in raws]
-    bars = [[p for p in BAR.split(x) if p] for x in lines]
-    if all(len(p) >= 3 and all(map(_label, p)) for p in bars):
-        return "nav"  # labels between bars
-    if between or any("\t" in x for x in raws):
-        return ""
-    bare = [BULLET.sub("", x) for x in lines]
-    if len(lines) >= 4 and all(map(_label, bare)):
-        return "nav"  # a column of labels
-    if all(re.match(r"\d+\s", x) for x in lines[1:]):
-        return ""  # a table of contents
-    if len(lines) >= 4 and _label(lines[0], 5) and not BULLET.match(lines[0]) and all(4 <= len(x.split()) <= 16 and not ENDS.search(x) for x in bare[1:]):
-        return "aside"  # headlines under a heading
-    return ""
 
+def line_facts(raw: str) -> tuple[str, str, bool, bool, bool]:
+    return _short_line(raw) if len(raw) <= 120 else _line(raw)  # long lines seldom come back: they would fill the cache
 
-def build_text(text: str) -> Node:
-    """The tree of a passage: blocks of lines with implied tags.
 
-    Every line is a leaf with its number; leaves keep the line as it stands.
-    """
+def build_text(text: str) -> Node:
+    """The tree of a passage: blocks of lines with implied tags; every line is a leaf with its number and its facts."""
     root, block, blocks = Node("body"), [], []
     for n, line in enumerate([*text.split("\n"), ""]):
         if line.strip():
-            block.append(Node("line", {"n": str(n), "raw": line, "role": line_role(line)}))
-            continue
-        if block:
+            leaf = Node("line", {"n": str(n), "raw": line})
+            leaf.facts = line_facts(line)
+            block.append(leaf)
+        elif block:
             blocks.append(block)
             block = []
-    told = [i for i, b in enumerate(blocks) if any(len(x.attrs["raw"]) >= 60 and ENDS.search(x.attrs["raw"].strip()) for x in b)]
-    root.children = [_imply(b, bool(told) and told[0] <= i <= told[-1]) for i, b in enumerate(blocks)]
+    told = [i for i, b in enumerate(blocks) if any(len(x.attrs["raw"]) >= 60 and not x.facts[4] and not x.facts[2] for x in b)]
+    for i, b in enumerate(blocks):
+        between = bool(told) and told[0] < i < told[-1]
+        root.children.append(Node("div", {"implied": _block_layout(b, between), "between": "1" if between else ""}, b))
     return root
 
 
-def _imply(lines: list[Node], between: bool) -> Node:
-    roles = [x.attrs["role"] for x in lines]
-    if roles[0] == "aside":  # a heading of other pages' headlines takes its list along
-        tag = "aside"
-    elif all(r == "nav" for r in roles):
-        tag = "nav"
-    elif len(lines) >= 3 and sum(r == "nav" for r in roles) * 3 >= 2 * len(lines) and all(len(plain(x.attrs["raw"]).split()) <= 2 for x in lines):
-        tag = "nav"  # unknown labels within a menu
-    elif all(r in ("footer", "share", "letter", "dialog", "ad", "tags", "nav") for r in roles):
-        tag = {"footer": "footer", "dialog": "dialog"}.get(roles[0], "menu")
-    elif all("\t" in x.attrs["raw"] for x in lines):
-        tag = "table-text"
-    elif all(BULLET.match(x.attrs["raw"].strip()) for x in lines) and len(lines) > 1:
-        tag = "ul-text"
-    else:
-        tag = "div"
-    if tag in ("div", "ul-text"):
-        tag = layout_role([x.attrs["raw"] for x in lines], between) or tag
-    return Node("div", {"implied": tag}, list(lines))
-
-
-def hide_furniture(root: Node) -> Node:
-    """Visibility: furniture blocks wholly, other blocks by their lines' roles."""
+def _block_layout(lines: list[Node], between: bool) -> str:
+    """The tag that a block's shape implies: nav (a column of labels), listed (a label over other lines), or ``""``."""
+    if any("\t" in x.attrs["raw"] for x in lines):
+        return ""
+    if len(lines) >= 4 and all(x.facts[3] for x in lines) and not between:
+        return "nav"
+    if len(lines) >= 2 and _label(plain(lines[0].attrs["raw"]), 5) and all(x.facts[4] for x in lines[1:]):
+        return "listed"
+    return ""
+
+
+HIDE, SITE, ANY = 0, 1, 2  # furniture as it is; if its site repeats it; if several sites do
+
+
+def page_lines(text: str) -> list[tuple[int, int, str, bool]]:
+    """``(line, how, key, own)`` of the lines that can be furniture: how that is decided, by which key, and whether it is the line's own."""
+    out: list[tuple[int, int, str, bool]] = []
+    gone: set[int] = set()
+    if MARKUP.search(text):
+        gone = set(hidden_lines(build_html(text)))
+        text = re.sub(r"<[^>\n]*>", " ", text)
+    for block in build_text(text).children:
+        tag, how = block.attrs["implied"], SITE if block.attrs["between"] else ANY
+        head = block.children[0].facts[1]
+        for i, leaf in enumerate(block.children):
+            n, (layout, key, note, _, _) = int(leaf.attrs["n"]), leaf.facts
+            if n in gone or tag == "nav" or layout and not (note and layout == "nav"):
+                out.append((n, HIDE, "", False))
+            elif not note and "\t" not in leaf.attrs["raw"]:
+                if key:
+                    out.append((n, how, key, True))
+                if tag == "listed" and i and head:
+                    out.append((n, how, head, False))
+    return out
+
+
+def hide(root: Node, gone: set[int]) -> Node:
+    """Visibility of a text's tree: the lines named are switched off."""
     for block in root.children:
-        whole = block.attrs["implied"] in FURNITURE
         for line in block.children:
-            line.visible = not (whole or line.attrs["role"] not in ("text", "aside"))
+            line.visible = int(line.attrs["n"]) not in gone
     return root
 
 
-def furniture_lines(text: str) -> list[int]:
-    """Numbers of the non-blank furniture lines of a web page's passage."""
-    return [int(x.attrs["n"]) for b in hide_furniture(build_text(text)).children for x in b.children if not x.visible]
-
-
-def body_text(text: str) -> str:
-    """What is left of a web page's passage, or of HTML, without furniture."""
+def body_text(text: str, gone: set[int]) -> str:
+    """What is left of a web page's passage without its furniture lines; HTML is rendered by its own tree."""
     if MARKUP.search(text):
-        root = build_html(text)
+        tags_only = lambda x: "".join(re.findall(r"<[^>]*>", x))
+        root = build_html("\n".join(tags_only(x) if n in gone else x for n, x in enumerate(text.split("\n"))))
         stack = [root]
         while stack:
             node = stack.pop()
             node.visible = node.visible and node.tag not in FURNITURE
             stack += [c for c in node.children if isinstance(c, Node)]
-        text = render(root)
-    return render(hide_furniture(build_text(text)))
-
-
-def _bodies(text: pd.Series) -> pd.Series:
-    return text.map(body_text, na_action="ignore")
+        return render(root)
+    return render(hide(build_text(text), gone))
 
 
 def is_web(content_type: Column) -> Column:
@@ -256,36 +231,72 @@ def _other_documents(fetches: DataFrame) -> DataFrame:
     return typed.where(~F.col("web")).select("document_id")
 
 
-def furniture(passages: DataFrame, fetches: DataFrame) -> DataFrame:
+def hash64(key: str) -> int:
+    return int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def furniture(passages: DataFrame, fetches: DataFrame, sources: DataFrame, pages: int = 3, broadcast_bytes: int = 8 << 20, salts: int = 32) -> DataFrame:
     """``(passage_id, line_no)`` of the site furniture in web pages' passages.
 
-    Repeated rows count once; null and empty texts have none; documents that
-    no fetch names count as web pages.  The texts are read where they lie, and
-    only line numbers are shuffled.
+    A line is furniture by its layout (see ``page_lines``), or because its site
+    repeats it beside ``pages`` different articles, or, but between an
+    article's paragraphs, ``pages`` sites do; an article is told by the longest
+    line of the passage, so copies count once.  Case, marks and figures do not
+    matter.  Repeated rows count once; null and empty texts have none;
+    documents that no fetch names are web pages of an unknown site.  The texts
+    are read where they lie, and only hashes of lines are shuffled.
     """
+    scratch = Scratch(passages.sparkSession, "pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(1 << 16)(hash64)
+        kind = pa.list_(pa.struct([("n", pa.int32()), ("how", pa.int8()), ("k", pa.int64()), ("own", pa.bool_())]))
         for batch in batches:
-            found = [furniture_lines(t) for t in batch.column(2).to_pylist()]
-            keep = pa.array([bool(x) for x in found])
-            out = pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["passage_id", "document_id", "lines"]
-            )
-            yield out.filter(keep)
-
-    lines = passages.where("text is not null and text != ''").select(F.col("passage_id").cast("long"), F.col("document_id").cast("long"), "text")
-    lines = spread(lines).mapInArrow(run, "passage_id long, document_id long, lines array<int>").dropDuplicates(["passage_id"])
-    return lines.join(_other_documents(fetches), "document_id", "left_anti").select("passage_id", F.explode("lines").alias("line_no"))
-
-
-def main_bodies(passages: DataFrame, fetches: DataFrame) -> DataFrame:
+            rows, article = [], []
+            for t in batch.column(2).to_pylist():
+                found = page_lines(t)
+                rows.append([{"n": n, "how": how, "k": known(k) if k else 0, "own": own} for n, how, k, own in found])
+                article.append(hash64(max(t.split("\n"), key=len).strip()) if found else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(article, pa.int64()), pa.array(rows, kind)], names=["passage_id", "document_id", "c", "lines"])
+
+    texts = passages.where("text is not null and text != ''").select(F.col("passage_id").cast("long"), F.col("document_id").cast("long"), "text")
+    read = spread(texts).mapInArrow(run, "passage_id long, document_id long, c long, lines array<struct<n:int,how:tinyint,k:long,own:boolean>>")
+    site = document_sites(fetches, sources).select("document_id", F.xxhash64("site").alias("s"))
+    read = read.dropDuplicates(["passage_id"]).join(_other_documents(fetches), "document_id", "left_anti").join(site, "document_id", "left")
+    lines = scratch.save(read.select("passage_id", "c", F.coalesce("s", F.lit(0)).alias("s"), F.explode("lines").alias("x")).select("passage_id", "c", "s", "x.*"))
+
+    asked = lines.where(F.col("how") != HIDE)
+    # each (site, line, article) once: a line of a third of all pages is spread over its articles
+    beside = scratch.save(asked.where("own").select("s", "k", "c").distinct())
+    own = beside.where("s != 0").groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") >= pages).select("s", "k")
+    sites = beside.groupBy("s", "k").agg(F.min("c").alias("c")).groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where((F.col("n") >= pages) & (F.col("lo") != F.col("hi")))
+    articles = beside.join(sites.select("k"), "k", "left_semi").select("k", "c").distinct().groupBy("k").agg(F.count("*").alias("n"))
+    anywhere = articles.where(F.col("n") >= pages).select("k")
+    found = lines.where(F.col("how") == HIDE).select("passage_id", "n")
+    for table, keys, rows in ((own, ["s", "k"], asked), (anywhere, ["k"], asked.where(F.col("how") == ANY))):
+        table = scratch.save(table)
+        if scratch.bytes(table) <= broadcast_bytes:
+            hit = rows.join(F.broadcast(table), keys, "left_semi")
+        else:
+            # a line of a third of all pages is spread over the salts
+            salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            hit = rows.withColumn("salt", F.pmod("passage_id", F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], "left_semi")
+        found = found.union(hit.select("passage_id", "n"))
+    return found.distinct().select("passage_id", F.col("n").alias("line_no"))
+
+
+def main_bodies(passages: DataFrame, fetches: DataFrame, sources: DataFrame, pages: int = 3) -> DataFrame:
     """``passages`` with ``body``: the text without furniture.
 
     Null texts give null; passages of PDF and plain text keep their text; a
     passage of furniture alone has an empty body.  Repeated rows stay.
     """
-    body = F.pandas_udf(_bodies, "string")
+    lines = furniture(passages, fetches, sources, pages).groupBy("passage_id").agg(F.collect_list("line_no").alias("_gone"))  # within one passage: bounded
+
+    @F.pandas_udf("string")
+    def body(text: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([body_text(t, set() if g is None else set(g)) if isinstance(t, str) else None for t, g in zip(text, gone)], dtype=object)
+
     others = _other_documents(fetches).withColumn("_not_web", F.lit(True))
-    return passages.join(others, "document_id", "left").withColumn(
-        "body", F.when(F.col("_not_web"), F.col("text")).otherwise(body("text"))
-    ).drop("_not_web")
+    wide = passages.join(lines, "passage_id", "left").join(others, "document_id", "left")
+    return wide.select(*[F.col(c) for c in passages.columns], F.when(F.col("_not_web"), F.col("text")).otherwise(body("text", "_gone")).alias("body"))

@@ -11,7 +11,7 @@ from attestor.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pagebody.furniture(table(spark, folder, "passages"), table(spark, folder, "fetches"))
+    return pagebody.furniture(table(spark, folder, "passages"), table(spark, folder, "fetches"), table(spark, folder, "sources"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

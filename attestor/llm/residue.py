@@ -1,239 +1,162 @@
 """Passages with residue in place of content.
 
-Two kinds of evidence.  Detectors read the words themselves: template fields
-left unfilled (unless the sentence explains them), filler text, and the
-messages of error pages, script notices and browser checks.  Comparison needs
-no wording: a document of little text that shares no term with its address
-slug and its title, while the same text with other figures answers other
-addresses too, is a canned response; the host's and the fetch's own signs
-count as further evidence.
+Two kinds of evidence.  Detectors read the sentences themselves: template
+fields left unfilled, filler, and messages (``messages``).  Comparison needs no
+wording: every document's terms are held against the terms of its address slug
+and title; one of little information that shares none, while the same text
+with other figures answers other addresses too, is a canned response.  Copies
+on one host and the fetch's own status and error count as further evidence.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.pagebody import line_role, plain
+from attestor.llm.messages import may_hold_message, message, open_fields
+from attestor.llm.pagebody import SENTENCE, hash64, line_layout, plain
 from attestor.llm.sitelines import host_of
 from attestor.session import Scratch, spread
 
-# Names that template fields go by, ways to write a field, words
-# of sentences about fields, wording of messages and fillers (whole sentences
-# in lower case; x any words, # a figure), syllables of pseudo-Latin.
-FIELDS = """
-title headline subtitle summary body content text date time year month day name first_name last_name author email phone
-city country state address zip street org organisation organization company unit station site site_name url link image
-id user username page page.title author.name article_body report_year description category tag price amount total
-""".split()
-EXPLAINS = re.compile(
-    r"(?i)stands? for|such as|\bexplains?\b|field such|template may|\bsyntax\b|\bmanual\b|\bmeans\b|\bcalled\b|a set \{|an index \[|\bnotation\b|\bdocumentation\b|\bcode,"
-)
-OPEN_FIELDS = re.compile(
-    r"\{\{\{?\s*[\w.|:\- ]{1,40}\s*\}?\}\}|\{%\s*[\w.|:\- ]{1,40}\s*%\}|<%=?\s*[\w.|:\- ]{1,40}\s*%>|\$\{\s*[\w.]{1,40}\s*\}|\[\[\s*[\w.|:\- ]{1,40}\s*\]\]"
-    r"|\$\$[\w.]{2,40}\$\$|@@[\w.]{2,40}@@|__[A-Za-z][\w.]{1,40}__|\[(?:INSERT|Insert|YOUR|Your|ENTER|Enter)\b[^\]\n]{1,40}\]"
-)
-NAMED_FIELDS = re.compile(r"%([A-Za-z][\w.]{1,40})%|#([A-Za-z][\w.]{1,40})#|«([A-Za-z][\w.]{1,40})»|<([A-Za-z][\w.]{1,40})>|\{([A-Za-z][\w.]{1,40})\}")
-MESSAGES = """
-page not found|not found|# not found|error #|# error|http error #|http #|# forbidden|forbidden|# unauthorized|# bad gateway|bad gateway|# gone
-# service temporarily unavailable|service temporarily unavailable|# service unavailable|service unavailable|# gateway timeout|# gateway time-out|gateway timeout
-internal server error|# internal server error|bad request|# bad request|access denied|permission denied|your request was blocked|your access has been blocked
-oops! we can't find that page|we can't find that page|sorry, we can't find that page|it may have moved, or the address was mistyped
-the page you asked for could not be located on this server|the requested url was not found on this server|you do not have permission to view this resource
-you don't have permission to access this resource|this content is no longer available|this page is no longer available|something went wrong
-please try again in a few minutes|please try again later|session expired|your session has expired|reload to continue|database connection failed x
-error establishing a database connection|too many requests|# too many requests|slow down and retry in # seconds|fatal error: x|parse error: x|uncaught exception x
-this site is under maintenance|down for maintenance|scheduled maintenance in progress|this site can't be reached
-javascript is disabled in your browser|javascript is disabled|please enable javascript to continue|please enable javascript x|enable javascript to x|this site needs scripts to work
-this site requires javascript x|this site requires javascript|javascript is required x|turn them on in your browser and reload|your browser is not supported
-your browser is out of date|scripts are required for x|you need to allow scripts to view x|you need to enable javascript to x|if nothing appears, switch on scripts
-please enable cookies x|please enable cookies|checking your browser before you proceed|checking your browser before accessing x|checking your browser|this takes about # seconds
-verify that you are human to go on|verify you are human|verify you are human x|please verify you are a human|please complete the captcha x|are you a robot|i'm not a robot
-seite nicht gefunden|fehler #|der angeforderte inhalt existiert nicht mehr|die angeforderte seite wurde nicht gefunden|zugriff verweigert|interner serverfehler
-bitte aktivieren sie javascript x|javascript ist deaktiviert|dienst nicht verfügbar|wartungsarbeiten
-page introuvable|erreur #|erreur # : x|erreur #: x|le document demandé n'existe pas ou plus|la page demandée n'existe pas|accès refusé|veuillez activer javascript x
-service indisponible|erreur interne du serveur
-página no encontrada|error # : x|el enlace puede estar roto|la página solicitada no existe|acceso denegado|active javascript para x|habilite javascript x|servicio no disponible
-error interno del servidor
-ページが見つかりません|アクセスが拒否されました|страница не найдена|доступ запрещён
-text folgt|texte à venir|texto pendiente|texto por venir
-tbd|to be determined|to be written|coming soon|content pending|[content pending]|text to follow|placeholder|placeholder text|placeholder paragraph #|placeholder paragraph|sample text goes here
-your headline here|your text here|your title here|headline goes here|insert text here|insert body copy x here|insert body copy|replace this paragraph with your own words
-first entry, made by the installer|remove it when you write your own|this is a sample page|hello world|this is an example page x|beispieltext|blindtext|texte d'exemple|texto de ejemplo
-"""
+# Syllables and words of pseudo-Latin, words of keyboard filler.
 LATIN = "lorem ipsum dolor sit amet um vel is tur lor ali per do con at qua nis ens mi re et in ut ad e ex cum sed non ac us a i o".split()
-LATIN_WORDS = """
+LATIN_WORDS = set("""
 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam
 quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum
 fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
-""".split()
+""".split())
+KEYBOARD = set("asdf asdfgh qwerty qwertz foo bar baz test blah bla".split())
 # end of fixed values
 
-
-def _message_rule() -> tuple[set[str], re.Pattern]:
-    whole, open_ = set(), []
-    for p in (p.strip() for p in re.split(r"[|\n]", MESSAGES)):
-        if p and not re.search(r"#|(?<!\w)x(?!\w)", p):
-            whole.add(p)
-        elif p:
-            r = re.escape(p).replace("\\ ", " ").replace("\\#", r"\d[\d.,]*")
-            open_.append(re.sub(r" ?(?<![\w\\])x(?!\w)", ".{0,120}", r))
-    return whole, re.compile("(?:" + "|".join(open_) + r")\Z")
-
-
-WHOLE, RULE = _message_rule()
-#: How a message can begin, for a quick look before the rules; figures begin some.
-STARTS = {re.match(r"[\[(]?(\S+?)[,!]?(?:\s|$)", p.strip())[1] for p in re.split(r"[|\n]", MESSAGES) if p.strip()} - {"#"}
-SENTENCE = re.compile(r"(?<=[.!?…。])\s+|\n")
 LATIN_WORD = re.compile("(?:" + "|".join(sorted(LATIN, key=len, reverse=True)) + r")+\Z")
-TWICE = re.compile(r"(.{3,60}?)(?:[ .]+\1)+\Z")
-REPEATED = re.compile(r"(?i)^(\S+|\S+ \S+)(?: \1){2,}(?: .*)?$")
-X_RUN = re.compile(r"(?i)^(?:x{3,}[ .,]*){3,}$|^(?:(?:asdf|qwerty|foo|bar|baz|test|blah|bla)[ .,]*){3,}$")
-RUN = re.compile(r"(?i)x{3}|\b(?:asdf|qwerty|foo|bar|baz|test|blah|bla)\b|(?<!\S)(\S+|\S+ \S+) \1 \1(?!\w)")
 TERM = re.compile(r"[^\W\d_]{3,}")
-CUES = re.compile(r"[{}%$@<>\[\]#«]|__")
 
 
-def open_fields(text: str) -> bool:
-    """An unfilled template field that its sentence does not explain."""
-    if not CUES.search(text):
-        return False
-    for m in OPEN_FIELDS.finditer(text):
-        if not EXPLAINS.search(_sentence(text, m.start(), m.end())):
-            return True
-    for m in NAMED_FIELDS.finditer(text):
-        name = next(g for g in m.groups() if g)
-        if (name.lower() in FIELDS or "_" in name or re.fullmatch(r"[a-z]+\.[a-z]+", name)) and not EXPLAINS.search(_sentence(text, m.start(), m.end())):
-            return True
-    return False
+@lru_cache(1 << 16)
+def _latin_word(w: str) -> bool:
+    return w in LATIN_WORDS or bool(LATIN_WORD.match(w))
 
 
-def _sentence(text: str, start: int, end: int) -> str:
-    a = max(text.rfind("\n", 0, start), *(text.rfind(x, 0, start) for x in (". ", "! ", "? ")))
-    b = [i for i in (text.find("\n", end), *(text.find(x, end) for x in (". ", "! ", "? "))) if i >= 0]
-    return text[a + 1 : min(b, default=len(text))]
+def latin(line: str, run: int = 6) -> bool:
+    """Pseudo-Latin: ``run`` words of three letters or more in a row that are made of its syllables."""
+    n = 0
+    for w in TERM.findall(line.lower()):
+        n = n + 1 if _latin_word(w) else 0
+        if n >= run:
+            return True
+    return False
 
 
-def message(sentence: str) -> bool:
-    """A whole sentence or line that is a canned message or filler."""
-    if len(sentence) > 200:
-        return False
-    x = plain(sentence)
-    if not x:
+def repeated(sentence: str) -> bool:
+    """Keyboard filler, or one word or two said three times and more that make up half of the sentence."""
+    words = [w.strip(".,;:!?…") for w in sentence.lower().split()]
+    if len(words) < 3:
         return False
-    twice = TWICE.match(x)
-    if twice and (twice[1] in WHOLE or twice[1].strip("[]()") in WHOLE):
+    if sum(w in KEYBOARD or w.strip("x") == "" and len(w) >= 3 for w in words) == len(words):
         return True
-    return x in WHOLE or x.strip("[]()") in WHOLE or bool(RULE.match(x)) or bool(X_RUN.match(x)) or (len(x) < 120 and bool(REPEATED.match(re.sub(r"[.,!…]", "", x))) and not x[0].isdigit() and "\t" not in sentence)
+    for size in (1, 2):
+        best = n = 0
+        for a, b in zip(words, words[size:]):
+            n = n + 1 if a == b and a.isalpha() else 0
+            best = max(best, n)
+        if best >= 2 * size and 2 * (best + size) >= len(words) and "\t" not in sentence:
+            return True
+    return False
 
 
-def may_be_message(sentence: str) -> bool:
-    word = sentence[:40].replace("’", "'").lower().lstrip(" \u00a0•*–—-»›([").split(None, 1)
-    return bool(word) and (word[0].rstrip(",!.…)]") in STARTS or word[0][0].isdigit() or not word[0].isascii())
+def _may_repeat(line: str) -> bool:
+    words = line.lower().split()
+    return any(a == b for a, b in zip(words, words[1:])) or any(a == b and c == d for a, b, c, d in zip(words, words[2:], words[1:], words[3:])) or not KEYBOARD.isdisjoint(words)
 
 
-def latin(line: str) -> bool:
-    """Pseudo-Latin filler: nearly every word is made of its syllables."""
-    made = lambda w: bool(LATIN_WORD.match(w)) or w in LATIN_WORDS
-    if not any(made(w.lower()) for w in TERM.findall(line[:40])[:3]):
-        return False
-    words = TERM.findall(line.lower())
-    return len(words) >= 6 and sum(map(made, words)) >= 0.8 * len(words)
+@lru_cache(1 << 16)
+def _short_residue(line: str) -> bool:
+    return _line_residue(line)
 
 
-def filler(sentence: str) -> bool:
-    """A sentence of keyboard filler, one repeated word or pseudo-Latin."""
-    if latin(sentence):
+def _line_residue(line: str) -> bool:
+    if open_fields(line) or latin(line):
         return True
-    x = plain(sentence)
-    return bool(X_RUN.match(x)) or len(x) < 120 and bool(REPEATED.match(re.sub(r"[.,!…]", "", x))) and not x[0].isdigit() and "\t" not in sentence
+    told, run = may_hold_message(line), _may_repeat(line)
+    return (told or run) and any(told and message(s) or run and repeated(s) for s in [line, *SENTENCE.split(line)])
 
 
 def content_lines(text: str) -> list[str]:
-    """Non-blank lines that are no furniture."""
-    return [x for x in text.split("\n") if x.strip() and line_role(x) == "text"]
+    """Non-blank lines that are no furniture by their layout."""
+    return [x for x in text.split("\n") if x.strip() and not line_layout(x)]
 
 
-def has_residue(text: str, lines: list[str] | None = None) -> bool:
-    if open_fields(text):
-        return True
-    for line in content_lines(text) if lines is None else lines:
-        if len(line) <= 200 and message(line) or latin(line):
-            return True
-        run = bool(RUN.search(line))
-        if any(may_be_message(s) and message(s) or s.startswith("Lorem ipsum") or (filler(s) if run else latin(s)) for s in SENTENCE.split(line)):
-            return True
-    return False
+def has_residue(lines: list[str]) -> bool:
+    """Whether any line or sentence stands for content."""
+    return any(_short_residue(x) if len(x) <= 120 else _line_residue(x) for x in lines)
 
 
-def _terms(lines: list[str], few: int) -> tuple[list[str], int, str]:
-    """Distinct terms, how many (``few`` + 1 means more), and the lines' shape; nothing but the number if more."""
-    body = "\n".join(lines)
-    terms: set[str] = set()
-    for m in TERM.finditer(body.lower()):
-        terms.add(m[0])
-        if len(terms) > few:
-            return [], few + 1, ""
-    return sorted(terms), len(terms), re.sub(r"\b(?=\w*\d)\w+\b", "#", plain(body))
+def _terms(lines: list[str]) -> tuple[list[int], int, int]:
+    """Hashes of the distinct terms of lines, how many words they are in all, and their shape's hash."""
+    body = "\n".join(lines).lower()
+    words = TERM.findall(body)
+    shape = re.sub(r"\b(?=\w*\d)\w+\b", "#", plain(body))
+    return [zlib.crc32(w.encode()) - 2**31 for w in set(words)], len(words), hash64(shape)
 
 
-def residue(passages: DataFrame, fetches: DataFrame, sources: DataFrame, few_terms: int = 25, copies: int = 3) -> DataFrame:
+def residue(passages: DataFrame, fetches: DataFrame, sources: DataFrame, few_terms: int = 25, low_share: float = 0.25, copies: int = 3) -> DataFrame:
     """``(passage_id)`` of each passage with residue standing for content.
 
     A passage is named if a detector finds residue in it, or if its document
-    has 2 to ``few_terms`` distinct terms, none of them in the slug of its
-    address or in its title, and its text, figures aside, answers ``copies``
-    addresses or two of one host; a bad HTTP status or an error noted by the
-    fetch stands for one copy.  Repeated rows count once; null and empty texts
-    have no residue; documents without a fetch are judged by detectors alone.
+    shares no term with the slug of its address and its title (of two terms or
+    more), is of low information (``few_terms`` distinct terms at most, or of 40
+    words or more under ``low_share`` distinct), and its text, figures aside,
+    answers ``copies`` addresses or two of one host; a bad HTTP status or an
+    error noted by the fetch stands for one copy.  Repeated rows count once;
+    null and empty texts have no residue; documents without a fetch are judged
+    by detectors alone.
     """
     scratch = Scratch(passages.sparkSession, "residue")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags, terms, counts, shapes = [], [], [], []
-            for t in batch.column(2).to_pylist():
-                lines = content_lines(t)
-                words, n, shape = _terms(lines, few_terms)
-                flags.append(has_residue(t, lines))
-                counts.append(n)
-                terms.append(words)
-                shapes.append(shape)
+            texts = [content_lines(t) for t in batch.column(2).to_pylist()]
+            found = [_terms(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(flags), pa.array(counts, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(shapes, pa.string())],
-                names=["passage_id", "document_id", "flag", "n", "terms", "shape"],
+                [
+                    batch.column(0), batch.column(1), pa.array([has_residue(t) for t in texts]), pa.array([f[0] for f in found], pa.list_(pa.int32())),
+                    pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()),
+                ],
+                names=["passage_id", "document_id", "flag", "terms", "words", "shape"],
             )
 
     some = passages.where("text is not null and text != ''").select(F.col("passage_id").cast("long"), F.col("document_id").cast("long"), "text")
-    read = spread(some).mapInArrow(run, "passage_id long, document_id long, flag boolean, n int, terms array<string>, shape string")
+    read = spread(some).mapInArrow(run, "passage_id long, document_id long, flag boolean, terms array<int>, words int, shape long")
     read = scratch.save(read.dropDuplicates(["passage_id"]))
     direct = read.where("flag").select("passage_id")
 
-    # documents of little text: sizes first, so that long documents never travel
-    size = read.groupBy("document_id").agg(F.sum("n").alias("total")).where(F.col("total").between(2, few_terms)).select("document_id")
-    low = read.where(f"n between 1 and {few_terms} and not flag").join(size, "document_id", "left_semi")
     bad = (F.coalesce(F.col("http_status"), F.lit(200)) >= 400) | (F.coalesce(F.col("error"), F.lit("")) != "")
     page = fetches.where("document_id is not null").select("document_id", "source_id", "url", "final_url", "title", "http_status", "error").join(sources.select("source_id", F.col("url").alias("source_url")), "source_id", "left")
-    page = page.join(size, "document_id", "left_semi").groupBy("document_id").agg(
+    page = page.groupBy("document_id").agg(
         F.max(F.coalesce("final_url", "url")).alias("url"), F.max(F.coalesce("title", F.lit(""))).alias("title"), F.max(bad).alias("bad"), F.max("source_url").alias("source_url")
     )
-    known = F.split(F.lower(F.concat_ws(" ", F.regexp_replace(F.col("url"), r"^[a-zA-Z]+://[^/]*|[?#].*$", " "), "title")), r"[^\p{L}]+")
-    low = low.join(page, "document_id").select(
-        "passage_id", "document_id", host_of(F.coalesce("source_url", "url")).alias("host"), "shape", "bad", F.arrays_overlap("terms", known).alias("fits")
+    slug = F.regexp_replace(F.col("url"), r"^[a-zA-Z]+://[^/]*|[?#].*$", " ")
+    known = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", slug, "title")), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+    page = page.select("document_id", "bad", host_of(F.coalesce("source_url", "url")).alias("host"), F.transform(known, lambda w: (F.crc32(w) - F.lit(2**31)).cast("int")).alias("known"))
+    # every document is compared; a document is its passages taken together, in any order
+    met = read.join(page, "document_id").select("document_id", "bad", "host", "shape", "words", F.size("terms").alias("n"), (F.size("known") >= 2).alias("named"), F.arrays_overlap("terms", "known").alias("fits"))
+    whole = met.groupBy("document_id").agg(
+        F.bool_or("fits").alias("fits"), F.first("named").alias("named"), F.first("bad").alias("bad"), F.first("host").alias("host"), F.bit_xor("shape").alias("shape"), F.sum("n").alias("n"), F.sum("words").alias("words")
     )
-    misfit = low.where(~F.coalesce("fits", F.lit(False)) & (F.col("shape") != ""))
-    misfit = scratch.save(misfit)
-    everywhere = misfit.groupBy("shape").agg(F.count_distinct("document_id").alias("n_all"))
-    by_host = misfit.groupBy("shape", "host").agg(F.count_distinct("document_id").alias("n_host"))
+    poor = (F.col("n") <= few_terms) | ((F.col("words") >= 40) & (F.col("n") < low_share * F.col("words")))
+    misfit = scratch.save(whole.where(F.col("named") & ~F.col("fits") & (F.col("n") >= 2) & poor).select("document_id", "bad", "host", "shape"))
+    everywhere = misfit.groupBy("shape").agg(F.count("*").alias("n_all"))
+    by_host = misfit.groupBy("shape", "host").agg(F.count("*").alias("n_host"))
     judged = misfit.join(everywhere, "shape").join(by_host, ["shape", "host"], "left")
-    canned = judged.where(
-        (F.col("n_all") + F.col("bad").cast("int") >= copies) | (F.col("n_host") >= 2)
-    ).select("passage_id")
-    return direct.union(canned).distinct()
+    canned = judged.where((F.col("n_all") + F.col("bad").cast("int") >= copies) | (F.col("n_host") >= 2)).select("document_id")
+    named = read.where(F.size("terms") > 0).join(canned, "document_id", "left_semi").select("passage_id")
+    return direct.union(named).distinct()
 
 
 def without_residue(passages: DataFrame, named: DataFrame) -> DataFrame:

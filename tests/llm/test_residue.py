@@ -1,6 +1,12 @@
 from pyspark.sql import functions as fn
 
-from attestor.llm.residue import has_residue, residue, without_residue
+from attestor.llm.messages import FAILS, FILLERS, SCRIPTS, STATES, TRIGGERS, message
+from attestor.llm.residue import content_lines, latin, residue, without_residue
+from attestor.llm import residue as operator
+
+
+def has_residue(text):
+    return operator.has_residue(content_lines(text))
 
 
 def test_detectors():
@@ -50,3 +56,43 @@ def test_filler_amid_real_sentences():
     for t in ("Asdf asdf qwerty asdf.", "xxxx xxxx xxxx xxxx.", "Blurb blurb blurb blurb.", "Dolor sit amet, consectetur adipiscing elit, sed do eiusmod."):
         assert has_residue(f"{real} {t} {real}"), t
     assert not has_residue(f"{real} The test at the bar was a test. {real}")
+
+
+def test_wording_that_no_list_holds():
+    for t in (
+        "We are sorry, but the page you were trying to view does not exist.", "Diese Seite existiert nicht.", "HTTP Status 404 - /index.jsp", "Cannot GET /reports/tides", "Error 502: the server could not be reached.", "This document has been removed.",
+        "Sorry, this link has expired and your session was closed", "You must turn on JavaScript in your browser settings before you can read on.", "Votre navigateur doit activer JavaScript", "Uncaught TypeError exception in module loader", "Your headline here",
+        "Please enable JavaScript in the settings of your browser, then load this page again, because without it neither the map of the stations nor the table of their readings, which this site draws while you look at it, can be shown to you here, nor can the search form.",
+    ):
+        assert has_residue(t) and (len(t) < 200 or len(t) > 212), t
+    for t in (
+        "Halbahaven found that the page was lost when the server of the Guild failed in 1998.", "The browser made by the Institute required scripts from 1995 on.", "Access to the quay was denied to Dr Falk.", "The link between wool and tide does not exist in Skelde, says Moor.",
+        "404 tonnes of kelp", "She could not find the harbour.", "The error was small, and the gauge was read again.", "412 shares",
+    ):
+        assert not has_residue(t), t
+
+
+def test_filler_after_real_words_and_long_lines():
+    real = "The quarry at Zorrodale sold its old mill and the town kept the ledger " * 10
+    assert has_residue(real + "dolor sit amet consectetur adipiscing elit sed eiusmod") and latin("The first six words are real, lorem ipsum dolor sit amet consectetur elit")
+    assert has_residue(real + ". Blurb blurb blurb blurb.") and has_residue(real + ". " + "test " * 40) and not has_residue(real)
+
+
+def test_quick_look_never_misses():
+    import re
+
+    for table in (FAILS, STATES, SCRIPTS, FILLERS):
+        for cue in (c for line in table.strip().split("\n") for c in line.split("|")):
+            for text in {re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", cue), re.sub(r"\(\?:[^)]*\|?([^|)]*)\)\??", r"\1", cue)}:
+                text = text.replace("\\w+", "one").replace("[^.]*", "one").replace("s?", "").replace("-?", "-").replace("’", "'")
+                if not re.search(r"[\\()?*]", text):
+                    assert next(TRIGGERS.iter(text), None), (cue, text)
+
+
+def test_long_documents_are_compared_too(spark):
+    body = "Nothing to see here but the counter that turns and turns " * 30  # few distinct words
+    rows = [(i, i, body + str(i)) for i in range(1, 4)] + [(4, 4, "Wool wool prices rose in town and the harbour, " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(400)))] * 2
+    p = spark.createDataFrame([(*r, "u", "t") for r in rows] + [(5, 5, body + "5", "u", "t")], P)
+    f = spark.createDataFrame([(d, d, f"https://h{d}.example/a/{'counter-that-turns' if d == 5 else 'early-wool-in-town'}", None, "", 200, None, "x") for d in range(1, 6)], F)
+    s = spark.createDataFrame([(d, f"https://h{d}.example/a/x", "t") for d in range(1, 6)], S)
+    assert sorted(r.passage_id for r in residue(p, f, s).collect()) == [1, 2, 3]
