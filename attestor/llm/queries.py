@@ -77,8 +77,9 @@ with site as (select f.document_id, regexp_replace(regexp_extract(lower(trim(s.u
    from (select document_id, min(source_id) as source_id from fetches where document_id is not null group by 1) f join sources s using (source_id)),
 p as (select distinct passage_id, document_id, text from passages where text is not null),
 l as (select passage_id, document_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from p),
-k as (select passage_id, document_id, line_no, array_to_string(list_filter(regexp_split_to_array(lower(line), '[^\p{L}\p{M}]+'), lambda w: w not in (MONTHS)), '') as key from l),
+beside as (select passage_id, document_id, line_no, regexp_replace(lower(line), '(\d[.,]? ?)\b(SHORT)\b(\.?[ .,]*\d)', '\1 \3', 'g') as line from l),
+k as (select passage_id, document_id, line_no, array_to_string(list_filter(regexp_split_to_array(line, '[^\p{L}\p{M}]+'), lambda w: w not in (MONTHS)), '') as key from beside),
 j as (select k.*, site from k join site using (document_id) where key <> '' and site <> ''),
 c as (select site, key from j group by 1, 2 having count(distinct document_id) >= 6)
-select passage_id, line_no::int as line_no from j semi join c using (site, key)""".replace("MONTHS", ", ".join(f"'{m}'" for m in sitelines.MONTHS)),
+select passage_id, line_no::int as line_no from j semi join c using (site, key)""".replace("SHORT", "|".join(sitelines.SHORT_MONTHS)).replace("MONTHS", ", ".join(f"'{m}'" for m in sitelines.MONTHS)),
 }

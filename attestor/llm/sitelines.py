@@ -1,14 +1,20 @@
 """Lines that come back in many documents of one site.
 
-First pass: per site, hashed counters (a mergeable summary that never counts
-too low) say which lines can be frequent at all.  Second pass: exact distinct
-document counts of those candidates only.  The confirmed lines are then looked
-up per occurrence, by a broadcast set while that set is small and by a salted
-join beyond.
+First pass: every task sketches its lines, one count-min row of bounded width
+a site, and only the sketches travel; merged by sums they never count too low,
+and say which lines of a site can be frequent at all.  Second pass: exact
+distinct document counts of those candidates only.  The confirmed lines are
+then looked up per occurrence, by a broadcast set while that set is small and
+by a salted join beyond.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +29,7 @@ enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre d
 января февраля марта апреля мая июня июля августа сентября октября ноября декабря
 январь февраль март апрель май июнь июль август сентябрь октябрь ноябрь декабрь
 """.split()
-# Short forms count as months only beside a figure.
+# Short forms count as months only between figures.
 SHORT_MONTHS = "jan feb mar apr jun jul aug sep sept oct nov dec okt dez mrz janv févr avr juil déc ene abr ago dic".split()
 
 
@@ -41,7 +47,7 @@ def line_key(line: Column) -> Column:
     """
     short = "|".join(SHORT_MONTHS)
     x = F.lower(line)
-    beside = F.regexp_replace(x, rf"(?<=\d[.,]? ?)\b(?:{short})\b\.?(?=[ .,]*\d)", " ")
+    beside = F.regexp_replace(x, rf"(\d[.,]? ?)\b(?:{short})\b(\.?[ .,]*\d)", "$1 $2")
     words = F.split(F.when(x.rlike(rf"\d[.,]? ?(?:{short})\b"), beside).otherwise(x), r"[^\p{L}\p{M}]+")
     return F.array_join(F.filter(words, lambda w: ~w.isin(MONTHS)), "")
 
@@ -54,12 +60,78 @@ def document_sites(fetches: DataFrame, sources: DataFrame) -> DataFrame:
     return doc.join(host, "source_id").select("document_id", "site")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A sketch's counters (saturating at 255) as bytes: places and counts while few are used, all of them beyond."""
+    at = np.flatnonzero(counts)
+    few = np.minimum(counts[at], 255).astype("u1")
+    if 5 * len(at) < len(counts):
+        return b"s" + at.astype("<u4").tobytes() + few.tobytes()
+    return b"d" + np.minimum(counts, 255).astype("u1").tobytes()
+
+
+def _add(counts: np.ndarray, packed: bytes) -> None:
+    if packed[:1] == b"d":
+        counts += np.frombuffer(packed, "u1", offset=1)
+    else:
+        n = (len(packed) - 1) // 5
+        counts[np.frombuffer(packed, "<u4", n, 1)] += np.frombuffer(packed, "u1", n, 1 + 4 * n)
+
+
+def site_sketches(lines: DataFrame, width: int, flush: int = 1_000_000) -> DataFrame:
+    """``(s, sketch)``: per task and site the counters of its lines' hashes ``h``; a task holds ``flush`` lines at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def emit() -> pa.RecordBatch:
+            s, b = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(s, kind="stable")
+            s, b = s[order], b[order]
+            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            packed = [_packed(np.bincount(part, minlength=width)) for part in np.split(b, starts[1:])]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(s[starts]), pa.array(packed, pa.binary())], names=["s", "sketch"])
+
+        n = 0
+        for batch in batches:
+            s, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            held.append((s, h % width))
+            n += len(s)
+            if n >= flush:
+                yield emit()
+                n = 0
+        if held and n:
+            yield emit()
+
+    return lines.select("s", "h").mapInArrow(run, "s long, sketch binary")
+
+
+def frequent_buckets(sketches: DataFrame, width: int, least: int, salts: int) -> DataFrame:
+    """``(s, b)``: the counters of each site that reach ``least`` in the sum of its sketches, merged in two steps."""
+
+    def merged(rows: pd.DataFrame) -> np.ndarray:
+        counts = np.zeros(width, "i8")
+        for packed in rows["sketch"]:
+            _add(counts, packed)
+        return counts
+
+    def some(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": rows["s"].iloc[:1], "sketch": [_packed(merged(rows))]})
+
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.flatnonzero(merged(rows) >= least)
+        return pd.DataFrame({"s": np.full(len(at), rows["s"].iloc[0]), "b": at.astype("i4")})
+
+    part = sketches.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts))).groupBy("s", "salt").applyInPandas(some, "s long, sketch binary")
+    return part.groupBy("s").applyInPandas(last, "s long, b int")
+
+
 def repeated_lines(
     passages: DataFrame,
     fetches: DataFrame,
     sources: DataFrame,
     min_documents: int = 6,
-    counters: int = 1 << 20,
+    width: int = 1 << 16,
     broadcast_bytes: int = 8 << 20,
     salts: int = 32,
 ) -> DataFrame:
@@ -68,8 +140,9 @@ def repeated_lines(
     Lines count as the same if ``line_key`` is the same; lines without a letter
     are left out.  ``line_no`` counts from 0 over the text split at ``\\n``.
     Repeated rows of a passage count once; null texts and documents without a
-    known host give nothing.  ``counters`` is the width of a site's summary: a
-    wider one spares work, any width gives the same result.
+    known host give nothing.  ``width`` is the number of counters of a site's
+    summary: a wider one spares work in the second pass, any width gives the
+    same result (``min_documents`` of 255 at most).
     """
     scratch = Scratch(passages.sparkSession, "lines")
     keys = F.transform(F.split("text", "\n"), line_key)
@@ -78,34 +151,28 @@ def repeated_lines(
     # only hashes travel to meet their site, never the texts
     rows = rows.join(document_sites(fetches, sources), "document_id")
     lines = rows.select("passage_id", "document_id", "site", F.posexplode("keys").alias("line_no", "k")).where("k is not null")
-    lines = lines.select("passage_id", "document_id", "line_no", F.xxhash64("site").alias("s"), "k.h", "k.g")
-    lines = scratch.save(lines)
-
-    bucket = F.pmod("h", F.lit(counters)).cast("int")
-    summary = lines.groupBy("s", bucket.alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    summary = scratch.save(summary.select("s", "b"))
-    candidates = lines.withColumn("b", bucket)
-    if scratch.bytes(summary) <= broadcast_bytes:
-        candidates = candidates.join(F.broadcast(summary), ["s", "b"], "left_semi")
-    else:
-        candidates = candidates.join(summary, ["s", "b"], "left_semi")
-    candidates = scratch.save(candidates.drop("b"))
+    lines = scratch.save(lines.select("passage_id", "document_id", "line_no", F.xxhash64("site").alias("s"), "k.h", "k.g"))
+
+    summary = scratch.save(frequent_buckets(site_sketches(lines, width), width, min(min_documents, 255), salts))
+    candidates = lines.withColumn("b", F.pmod("h", F.lit(width)).cast("int"))
+    candidates = scratch.save(_held(candidates, summary, ["s", "b"], scratch.bytes(summary) <= broadcast_bytes, salts).drop("b"))
     scratch.drop(lines, summary)
 
     documents = candidates.select("s", "h", "g", "document_id").distinct()
     confirmed = documents.groupBy("s", "h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
     confirmed = scratch.save(confirmed.select("s", "h", "g"))
-    if scratch.bytes(confirmed) <= broadcast_bytes:
-        found = candidates.join(F.broadcast(confirmed), ["s", "h", "g"], "left_semi")
-    else:
-        # a line of a third of all rows is spread over the salts
-        salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        found = candidates.withColumn("salt", F.pmod("passage_id", F.lit(salts)).cast("int")).join(
-            salted, ["s", "h", "g", "salt"], "left_semi"
-        )
+    found = _held(candidates, confirmed, ["s", "h", "g"], scratch.bytes(confirmed) <= broadcast_bytes, salts)
     return found.select("passage_id", "line_no").distinct()
 
 
+def _held(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, salts: int) -> DataFrame:
+    """The rows whose keys a table of distinct keys has; a key of a third of all rows is spread over the salts."""
+    if small:
+        return rows.join(F.broadcast(table), keys, "left_semi")
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod("passage_id", F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], "left_semi").drop("salt")
+
+
 def without_lines(passages: DataFrame, found: DataFrame) -> DataFrame:
     """``passages`` with the lines of ``found`` taken out of ``text``.
 

@@ -44,8 +44,8 @@ def test_threshold_is_by_document(spark):
     p, f, s = tables(spark, rows)
     got = {tuple(r) for r in repeated_lines(p, f, s).collect()}
     assert got == {(d * 10, 0) for d in range(1, 7)}
-    for counters in (1, 64):  # any width, any way of joining
-        assert {tuple(r) for r in repeated_lines(p, f, s, counters=counters, broadcast_bytes=-1).collect()} == got
+    for width in (1, 64):  # any width, any way of joining
+        assert {tuple(r) for r in repeated_lines(p, f, s, width=width, broadcast_bytes=-1).collect()} == got
     kept = {r.passage_id: r.text for r in without_lines(p, repeated_lines(p, f, s)).collect()}
     assert kept[60] == "" and kept[10] == "own line aaa\nFive docs only" and kept[6] is None
 
@@ -67,3 +67,20 @@ def test_against_brute_force(spark, data):
 def test_empty(spark):
     p, f, s = spark.createDataFrame([], P), spark.createDataFrame([], D), spark.createDataFrame([], S)
     assert repeated_lines(p, f, s).collect() == []
+
+
+def test_sketches_merge_by_sums(spark):
+    import random
+
+    from attestor.llm.sitelines import frequent_buckets, site_sketches
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), int(rng.paretovariate(0.6)) % 2**40 - 2**30) for _ in range(4_000)]
+    lines = spark.createDataFrame(rows, "s long, h long").repartition(6)
+    for width in (16, 512):
+        want = {}
+        for s, h in rows:
+            want[s, h % width] = want.get((s, h % width), 0) + 1
+        got = frequent_buckets(site_sketches(lines, width, flush=300), width, 7, 4)
+        assert {tuple(r) for r in got.collect()} == {k for k, n in want.items() if n >= 7}
+    assert frequent_buckets(site_sketches(lines.limit(0), 16), 16, 7, 4).collect() == []
