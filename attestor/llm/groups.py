@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from attestor.session import Scratch
 
 
-def connected_groups(pairs: DataFrame, left: str, right: str, space: str | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_groups(pairs: DataFrame, left: str, right: str, space: str | None = None, max_rounds: int = 60, hub: int = 100_000) -> DataFrame:
     """``(space, group_id, record_id)`` for every id that occurs in a pair of two ids.
 
     ``group_id`` is the smallest id of the group, whose own row is included.
@@ -26,7 +26,10 @@ def connected_groups(pairs: DataFrame, left: str, right: str, space: str | None
     column in the result).  Direction, repeats, self pairs and pairs with a
     null end do not matter (self pairs and null ends join nothing and give no
     row); other columns of ``pairs`` are ignored.  An empty input gives an
-    empty result.
+    empty result.  Vertices of ``hub`` edges or more (there can be few: the
+    edges over ``hub``) learn and tell their minimum by a broadcast of their
+    rows, so their edges stay where they lie.  A graph of ``max_rounds`` rounds
+    (chains halve in each) is an error.
     """
     scratch = Scratch(pairs.sparkSession, "groups")
     kind = F.coalesce(F.concat(F.lit("="), F.col(space).cast("string")), F.lit("")) if space else F.lit("")
@@ -34,25 +37,25 @@ def connected_groups(pairs: DataFrame, left: str, right: str, space: str | None
     p = p.where(F.col("u") != F.col("v"))
     start = graph = scratch.save(_both_ways(p))
     layers: list[DataFrame] = []
-    while not graph.isEmpty():
+    while (widest := _widest(graph)) > 0:
         if len(layers) == max_rounds:
             raise RuntimeError("seed-tree pruning did not converge")
-        minimum = graph.groupBy("k", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        told = scratch.save(
-            graph.join(minimum, ["k", "u"]).select("k", F.col("v").alias("x"), F.col("m").alias("y"))
-            .union(minimum.select("k", F.col("u").alias("x"), F.col("m").alias("y")))
-            .distinct()
-        )
-        seen = scratch.save(told.groupBy("k", "x").agg(F.min("y").alias("parent"), F.max(F.col("x") == F.col("y")).alias("chosen")))
+        minimum = graph.groupBy("k", "u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        told = _at_hubs(graph, minimum, ["k", "u"], widest, hub).select("k", F.col("v").alias("x"), F.col("m").alias("y"))
+        told = scratch.save(told.union(minimum.select("k", F.col("u").alias("x"), F.col("m").alias("y"))).distinct())
+        seen = scratch.save(told.groupBy("k", "x").agg(F.min("y").alias("parent"), F.max(F.col("x") == F.col("y")).alias("chosen"), F.count("*").alias("n")))
         layers.append(seen.where(~F.col("chosen")).select("k", F.col("x").alias("record_id"), "parent"))
-        links = told.join(seen.select("k", "x", "parent"), ["k", "x"]).where(F.col("y") != F.col("parent"))
+        links = _at_hubs(told, seen.select("k", "x", "parent", "n"), ["k", "x"], widest + 1, hub).where(F.col("y") != F.col("parent"))
         following = scratch.save(_both_ways(links.select("k", F.col("parent").alias("u"), F.col("y").alias("v"))))
         scratch.drop(told, *([] if graph is start else [graph]))
         graph = following
     # whoever never left the graph is the seed of its group
     labelled = start.select("k", F.col("u").alias("record_id")).distinct()
-    for layer in layers:
-        labelled = labelled.join(layer.select("k", "record_id"), ["k", "record_id"], "left_anti")
+    if layers:
+        left = layers[0].select("k", "record_id")
+        for layer in layers[1:]:
+            left = left.union(layer.select("k", "record_id"))
+        labelled = labelled.join(left, ["k", "record_id"], "left_anti")
     labelled = scratch.save(labelled.select("k", F.col("record_id").alias("group_id"), "record_id"))
     for layer in reversed(layers):
         down = layer.join(labelled.select("k", "group_id", F.col("record_id").alias("parent")), ["k", "parent"])
@@ -63,6 +66,20 @@ def connected_groups(pairs: DataFrame, left: str, right: str, space: str | None
     return labelled.select(back.alias(space), "group_id", "record_id")
 
 
+def _widest(graph: DataFrame) -> int:
+    """Edges of the widest vertex; 0 without an edge."""
+    return graph.groupBy("k", "u").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _at_hubs(edges: DataFrame, vertices: DataFrame, keys: list[str], widest: int, hub: int) -> DataFrame:
+    """``edges`` joined with their vertices' rows (which have ``n``, their number of edges); hubs' rows are broadcast."""
+    if widest < hub:
+        return edges.join(vertices, keys)
+    wide = F.broadcast(vertices.where(F.col("n") >= hub))
+    rest = edges.join(wide.select(*keys), keys, "left_anti").join(vertices.where(F.col("n") < hub), keys)
+    return edges.join(wide, keys).unionByName(rest)
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
     return edges.select("k", both.alias("e")).select("k", "e.u", "e.v").distinct()

@@ -41,6 +41,14 @@ def test_random_graphs(spark):
     assert groups(spark, pairs + pairs[:50]) == union_find(pairs)
 
 
+def test_hubs_are_told_apart(spark):
+    rng = random.Random(8)
+    pairs = [(1, x) for x in range(2, 40)] + [(x, x + 1000) for x in range(2, 20)] + [(500, x) for x in range(1010, 1050)] + [(rng.randrange(2000, 2040), rng.randrange(2000, 2040)) for _ in range(30)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for hub in (1, 5, 30):
+        assert {tuple(r) for r in connected_groups(df, "a", "b", hub=hub).collect()} == union_find([(a, b) for a, b in pairs if a != b])
+
+
 def test_nulls_selfs_and_empty(spark):
     assert groups(spark, [(1, 1), (None, 2), (3, None)]) == set()
     assert groups(spark, []) == set()
