@@ -1,15 +1,16 @@
 """Token ids of a byte-level BPE vocabulary, by batched numpy merge rounds.
 
-A batch's distinct words lie in one flat array of symbols.  Each round looks
-every neighbouring pair up by binary search over the sorted pair keys and
-merges, word by word, the pair of the lowest rank wherever it stands; words
-without a pair leave.  Words already met come from a bounded cache.
+A batch's distinct words lie in one flat array of symbols, cut where two bytes
+stand side by side in no token, for no merge can ever join them.  Each round
+looks every neighbouring pair up by binary search over the sorted pair keys and
+merges, part by part, the pair of the lowest rank wherever it stands; parts
+without a pair leave.  Words of any length go the same way; batches are bounded
+by bytes.  Words already met come from a bounded cache.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -27,8 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LONG = 4_000  # bytes; longer words are merged one pair at a time
-CACHE = 400_000  # words remembered by a task
+BYTES = 4_000_000  # bytes of words merged at once (a longer word goes alone)
+CACHE = 64_000_000  # bytes of words remembered by a task
 
 
 class Merges:
@@ -39,9 +40,11 @@ class Merges:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.size = max(ranks.values()) + 1
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], "i8")
+        self.joined = np.zeros((256, 256), bool)  # two bytes that stand side by side in some token
         pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
+                self.joined[token[i - 1], token[i]] = True
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = rank
@@ -57,33 +60,41 @@ class Merges:
         return np.where(self.keys[at] == key, self.rank[at], self.size)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, in batches of about ``BYTES``."""
+        out: list[list[int]] = []
+        ends = np.cumsum([len(w) for w in words])
+        first = 0
+        while first < len(words):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + BYTES, side="right")))
+            out += self._merge(words[first:last])
+            first = last
+        return out
+
+    def _merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, all words together round by round."""
-        out: list[list[int]] = [[] for _ in words]
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self._encode_long(w)
-        if not short:
-            return out
-        lengths = np.array([len(words[i]) for i in short])
-        symbols = self.byte[np.frombuffer(b"".join(words[i] for i in short), "u1")]
-        word = np.repeat(np.arange(len(short)), lengths)
+        raw = np.frombuffer(b"".join(words), "u1")
+        if not len(raw):
+            return [[] for _ in words]
+        lengths = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), lengths)
+        part = np.cumsum(np.r_[False, (word[1:] != word[:-1]) | ~self.joined[raw[:-1], raw[1:]]])
+        symbols, place = self.byte[raw], np.arange(len(raw))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             rank = np.full(len(symbols), self.size)
-            inside = word[:-1] == word[1:]
+            inside = part[:-1] == part[1:]
             rank[:-1][inside] = self.look_up(symbols[:-1][inside], symbols[1:][inside])
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             best = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.r_[starts, len(symbols)])
             open_ = best < self.size
             if not open_.all():
-                for s, c in zip(starts[~open_], counts[~open_]):
-                    out[short[word[s]]] = symbols[s : s + c].tolist()
                 keep = np.repeat(open_, counts)
-                symbols, word, rank = symbols[keep], word[keep], rank[keep]
+                done.append((place[~keep], symbols[~keep]))
+                symbols, part, place, rank = symbols[keep], part[keep], place[keep], rank[keep]
+                best, counts = best[open_], counts[open_]
                 if not len(symbols):
                     break
-                best, counts = best[open_], counts[open_]
             hit = rank == np.repeat(best, counts)
             # of a run of overlapping hits (aaa) every second one merges
             first = hit & ~np.r_[False, hit[:-1]]
@@ -91,32 +102,12 @@ class Merges:
             hit &= run % 2 == 0
             symbols[hit] = rank[hit]
             keep = ~np.r_[False, hit[:-1]]
-            symbols, word = symbols[keep], word[keep]
-        return out
-
-    def _encode_long(self, word: bytes) -> list[int]:
-        """One very long word: a heap of pairs, in n log n."""
-        s = self.byte[np.frombuffer(word, "u1")].tolist()
-        n = len(s)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        table = dict(zip(self.keys.tolist(), self.rank.tolist())) if not hasattr(self, "_table") else self._table
-        self._table = table
-        heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := table.get(s[i] * self.size + s[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if s[i] is not None else n
-            if j >= n or s[i] != a or s[j] != b:
-                continue
-            s[i], s[j] = r, None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for p in (before[i], i):
-                q = after[p] if p >= 0 else n
-                if p >= 0 and q < n and (k := table.get(s[p] * self.size + s[q])) is not None:
-                    heapq.heappush(heap, (k, p, s[p], s[q]))
-        return [x for x in s if x is not None]
+            symbols, part, place = symbols[keep], part[keep], place[keep]
+        at, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(at)
+        flat = ids[order].tolist()
+        ends = np.cumsum(np.bincount(word[at], minlength=len(words))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -133,6 +124,7 @@ def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
         merges = shared.value
         ascii_words, words = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
         known: dict[str, list[int]] = {}
+        held = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             start = 0
@@ -143,12 +135,13 @@ def encode_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
                     size += len(t)
                     split.append(ascii_words(t) if t.isascii() else words(t))
                     end += 1
-                if len(known) > CACHE:
+                if held > CACHE:
                     known.clear()
+                    held = 0
                 new = list(set(chain.from_iterable(split)).difference(known))
-                for i in range(0, len(new), 50_000):
-                    some = new[i : i + 50_000]
-                    known.update(zip(some, merges.encode_words([w.encode("utf-8", "replace") for w in some])))
+                raw = [w.encode("utf-8", "replace") for w in new]
+                held += sum(map(len, raw))
+                known.update(zip(new, merges.encode_words(raw)))
                 rows = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
                 offsets = np.cumsum([0, *map(len, rows)], dtype="i4")
                 flat = np.fromiter(chain.from_iterable(rows), "i4", offsets[-1])

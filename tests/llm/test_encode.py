@@ -39,10 +39,20 @@ def test_round_trip_of_documents(spark, data, reference):
         assert reference.decode_bytes(r.ids).decode() == texts[r.doc_id]
 
 
-def test_long_and_short_paths_agree():
+def test_long_words_go_the_same_way(reference, monkeypatch):
+    import time
+
     m = Merges(VOCABULARY)
-    for w in (b"aaaaa", b"abababab", "東京東京".encode(), b"internationalisation", bytes(range(256))):
-        assert m.encode_words([w])[0] == m._encode_long(w)
+    rng = random.Random(6)
+    words = [b"aaaaa", b"abababab", "東京東京".encode(), b"internationalisation", bytes(range(256)), b"a" * 100_000, b"ab" * 50_000]
+    words += ["".join(rng.choice(letters) for _ in range(60_000)).encode() for letters in ("ACGT", "abcdefghijklmnopqrstuvwxyz", "東京段落日本語")]
+    words.append(base64.b64encode(rng.randbytes(60_000)).rstrip(b"="))
+    want = [reference.encode_single_piece(w) if hasattr(reference, "encode_single_piece") else reference._core_bpe.encode_single_piece(w) for w in words]
+    start = time.time()
+    assert m.encode_words(words) == want
+    assert time.time() - start < 60
+    monkeypatch.setattr("attestor.llm.encode.BYTES", 7)
+    assert m.encode_words(words[:5] + [b""] + words[:2]) == [*want[:5], [], *want[:2]] and m.encode_words([]) == []
 
 
 def test_empty_table(spark):
