@@ -67,6 +67,18 @@ JA_SURNAMES = """
 JA_HONORIFICS = "さん|様|さま|氏|先生|教授|准教授|博士|医師|記者|君|くん|ちゃん"
 JA_CUES = "氏名|名前|お名前|担当|担当者|著者|作成者|連絡先|責任者|代表者|筆者"
 JA_NOT_GIVEN = "市|町|村|区|県|駅|川|山|橋|港|校|社|店|家|部|課|局|市長|町長|村長|社長|部長|課長|所長|会長|知事|大臣|議員|委員|大学|教授|准教授|博士|先生|医師|記者|選手|監督|研究所|博物館|通り|夫妻|両".split("|")
+# words beside a name that has no listed given name: labels and kin are enough,
+# of the others two must stand there
+NAME_LABELS = "name|full name|contact|contact person|author|attn|attention|dear|cc|signed|sincerely|kind regards|best regards|regards|patient|employee|applicant|tenant|recipient|ansprechpartner|kontakt|autor|auteur|contacto|nombre|nom"
+KIN = "mother|father|brother|sister|wife|husband|son|daughter|uncle|aunt|widow|widower|colleague|neighbour|friend|engineer|nurse|teacher|editor|director|manager|professor|chairman|chairwoman|secretary|surveyor|librarian|mayor"
+BEFORE_NAME = "by|with|to|from|and|met|told|asked|called|for|thanks|thank|von|mit|par|avec|por|con"
+AFTER_NAME = "said|says|told|asked|wrote|writes|argued|argues|explained|explains|added|adds|replied|agreed|agrees|joined|resigned|retired|lives|lived|works|worked|signed|thinks|believes|recalls|recalled|sagte|schrieb|a dit|écrit|dijo|escribió"
+NOT_IN_NAMES = """
+monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
+north south east west northern southern eastern western upper lower old new great little saint port mount lake river bay isle island point county
+national royal general public central local annual first second third final chapter figure part section volume page board trust office
+""".split()
+STREETS_MORE = "Boulevard Blvd Parade Grove Hill Mews Walk Quay Wharf Rise Green Circus Embankment Parkway Alley Path Park View Bank Cliff Ct Dr Sq Pl".split()
 ID_CUES = """
 ssn|social security|sécurité|seguridad social|sozialversicherung|steuer-id|steuer|tax_id|tax id|tax no|dni|nie|nif|
 national identity|identity number|id number|id card|payroll|personnel no|passport|passeport|pasaporte|reisepass|ni no|nino
@@ -77,6 +89,13 @@ PHONE_CUES = "tel|phone|mobile|m:|call|ring|number is|fax|unter|電話|тел".s
 U, L = "A-ZÀ-ÖØ-ÞŁŚŠŽČ", "a-zß-öø-ÿāăąćčďđēėęěğīįłńňōőœřśşšţťūůűźżž"
 NAME = rf"[{U}][{L}'’]+|[{U}][{U}'’]+"
 SURNAME = rf"(?:{NAME})(?:-(?:{NAME}))?"
+PLACE_WORDS = {w.lower().rstrip(".") for w in STREETS + STREETS_MORE + ORGANISATIONS + NOT_IN_NAMES} | {w.lower() for w in NO_SURNAMES}
+SEQUENCE = re.compile(rf"(?<![\w.'’@/-])((?:{NAME})(?:-(?:{NAME}))?(?:[ \u00a0](?:{NAME})(?:-(?:{NAME}))?){{1,3}})(?![\w@/-])")
+LABELLED = re.compile(rf"(?i)(?:(?<!\w)(?:{NAME_LABELS})[ ]*[:,]?[ \n]+)$")
+RELATED = re.compile(rf"(?i)(?<!\w)(?:{KIN}),?[ ]$")
+LED = re.compile(rf"(?<!\w)(?:{BEFORE_NAME})[ ]$")
+FOLLOWED = re.compile(rf",?[ ](?:{AFTER_NAME})(?!\w)|,[ ](?:who|aged|\d\d,|the (?:{KIN})|an? (?:{KIN})|{KIN})(?!\w)")
+SPOKE = re.compile(r",?[ ](?:said|told|asked|wrote|explained|recalled|replied|resigned|sagte|schrieb|dijo)(?!\w)")
 FORWARD = re.compile(rf"[ \u00a0]+(?:[{U}]\.[ \u00a0]+){{0,2}}({SURNAME})(?![\w@])")
 WRAPPED = re.compile(rf"[ ]*\n[ ]*(?:[{U}]\.[ ]+){{0,2}}({SURNAME})(?![\w@])")
 BACKWARD = re.compile(rf"(?<![\w@.\-])({SURNAME}),[ ]+$")
@@ -100,7 +119,8 @@ JA_FOREIGN = re.compile(rf"(?<!{KANA})({KANA}{{2,}}(?:[・＝]{KANA}+)+)[ \u3000
 
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 LOCAL = r"[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*"
-LOCAL_END = re.compile(rf"(?<![A-Za-z0-9_%+\-.])({LOCAL})$")
+LOCAL_CHARS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-.")
+LOCAL_PART = re.compile(rf"({LOCAL})\Z")
 DOMAIN = re.compile(rf"({LABEL}(?:\.{LABEL})*\.[A-Za-z]{{2,}})(?![A-Za-z0-9\-]|\.[A-Za-z0-9])")
 DOT = r"(?:[ ]?(?:\(dot\)|\[dot\]|\{dot\})[ ]?|[ ]dot[ ]|\.)"
 SPELT_DOMAIN = re.compile(rf"[ ]?({LABEL}(?:{DOT}{LABEL})*{DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9\-])", re.I)
@@ -113,6 +133,9 @@ PHONES = [
     re.compile(rf"(?:1[\-. ])?(?:\([2-9]\d\d\)[ ]?|[2-9]\d\d[\-. ])[2-9]\d\d[\-. ]\d{{4}}(?!\d){EXT}"),
     re.compile(rf"(?:\(0\d{{1,4}}\)|0[1-9]\d{{0,3}}){SEP}\d{{2,}}(?:{SEP}\d{{2,}}){{0,4}}(?!\d){EXT}"),
 ]
+SCHEME_PHONE = re.compile(rf"\+?\d(?:{SEP}\(?\d\)?){{5,14}}(?!\d){EXT}")
+IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
+CARD = re.compile(r"[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{4}(?!\d|\1\d)|[3-6]\d{12,18}(?!\d)")
 LOCAL_PHONE = re.compile(rf"\d{{3}}-\d{{4}}(?![\d\-]){EXT}")
 STRONG_IDS = [
     re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w])"),  # national insurance
@@ -135,7 +158,7 @@ TOWN = rf"[{U}][{L}]+(?:[ \-][{U}][{L}]+)?"
 BREAK = r"(?:,[ ]*\n?[ ]*|[ ]*\n[ ]*)"
 ADDRESSES = {
     "en": re.compile(
-        rf"(?:(?:Flat|Apt|Unit|Suite)\.?[ ]\d+[a-z]?{BREAK})?\d{{1,5}}[a-z]?[ ](?:[{U}][{L}'’]+[ ]){{1,3}}(?:{'|'.join(STREETS)})\b\.?"
+        rf"(?:(?:Flat|Apt|Unit|Suite)\.?[ ]\d+[a-z]?{BREAK})?\d{{1,5}}[a-z]?[ ](?:[{U}][{L}'’]+[ ]){{1,3}}(?:{'|'.join(STREETS + STREETS_MORE)})\b\.?"
         rf"(?:{BREAK}(?:Flat|Apt|Unit|Suite|Floor)\.?[ ]\d+[a-z]?)?{BREAK}({TOWN}(?:,?[ ][A-Z]{{1,2}}\d[A-Z\d]?[ ]\d[A-Z]{{2}}|,?[ ][A-Z]{{2}}[ ]\d{{5}}(?:-\d{{4}})?)?)"
     ),
     "box": re.compile(
@@ -154,6 +177,11 @@ ADDRESSES = {
     ),
     "ja": re.compile(r"〒\s?\d{3}-?\d{4}\s*[\u3040-\u30ff\u3400-\u9fff]+?[県都府道][\u3040-\u30ff\u3400-\u9fff]+\d+(?:[-−ー丁目番号\d])*"),
 }
+WINDOW = (120, 400)  # characters before and after an anchor in which an address must lie
+POSTCODE = re.compile(r"(?<![\w])(?:[A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}|[A-Z]{2}[ ]\d{5}(?:-\d{4})?)(?!\w)")
+POSTED = re.compile(
+    rf"(?:(?:Flat|Apt|Unit|Suite)\.?[ ]\d+[a-z]?{BREAK})?\d{{1,5}}[a-z]?[ ](?:[{U}][{L}'’]+[ ]){{0,3}}[{U}][{L}'’]+\.?(?:{BREAK}(?:Flat|Apt|Unit|Suite|Floor)\.?[ ]\d+[a-z]?)?{BREAK}{TOWN},?[ ]\Z"
+)
 BEFORE_TABLE = re.compile(r"(?:Table|Fig\.?|Figure|Chart)[ ]$")
 
 
@@ -171,12 +199,24 @@ def _ru_forms(name: str) -> set[str]:
     return {x, *(x + e for e in ("а", "у", "ом", "е"))}
 
 
+def valid_iban(text: str) -> bool:
+    """Whether letters and digits hold to the account number's check (remainder 1 by 97)."""
+    x = text.replace(" ", "")
+    return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def valid_card(text: str) -> bool:
+    """Whether digits hold to the card number's check (doubled every second from the right, remainder 0 by 10)."""
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
 def _anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for word, kind in (
-        [("@", "at"), ("(at)", "spelt"), ("[at]", "spelt"), ("{at}", "spelt"), (" at ", "spelt words"), ("〒", "ja")]
+        [("tel:", "scheme"), ("sms:", "scheme"), ("iban", "iban"), ("@", "at"), ("(at)", "spelt"), ("[at]", "spelt"), ("{at}", "spelt"), (" at ", "spelt words"), ("〒", "ja")]
         + [(n.lower(), "given") for n in GIVEN_NAMES] + [(t.lower(), "title") for t in TITLES]
-        + [(f" {s.lower()}", "en") for s in STREETS] + [("box ", "box"), ("postfach ", "box"), ("apartado ", "box")]
+        + [(f" {s.lower()}", "en") for s in STREETS + STREETS_MORE] + [("box ", "box"), ("postfach ", "box"), ("apartado ", "box")]
         + [(f"{s} ", "de") for s in STREETS_DE] + [(f"{s} ", "de at") for s in STREETS_DE_AT] + [(f" {s} ", "fr") for s in STREETS_FR] + [(f"{s.lower()} ", "es") for s in STREETS_ES]
         + [(c, "cue") for c in ID_CUES] + [(d, "digit") for d in "0123456789"] + [(". ", "initial")]
     ):
@@ -223,10 +263,18 @@ class Finder:
         for kind in ("en", "box", "de", "de at", "fr", "es", "ja"):
             for start, end in hits.get(kind, ()):
                 self._address(text, kind, start, take)
+        if POSTCODE.search(text):
+            self._posted(text, take)
+        self._accounts(text, take)
         for start, end in hits.get("cue", ()):
             self._cued_id(text, start, end, take)
+        for start, end in hits.get("scheme", ()):
+            m = SCHEME_PHONE.match(text, end)
+            if m and not (start and text[start - 1].isalnum()):
+                take(m.start(), m.end(), "phone")
         self._digits(text, low, hits.get("digit", ()), take, taken)
         self._people(text, low, hits, take, taken)
+        self._people_by_context(text, take, taken)
         if not text.isascii():
             self._people_ru(text, take)
             self._people_ja(text, take)
@@ -234,18 +282,36 @@ class Finder:
 
     @staticmethod
     def _email(text: str, start: int, end: int, domain: re.Pattern, take) -> None:
-        head = text[max(0, start - 80) : start]
-        if head.endswith(" "):
-            head, start = head[:-1], start - 1
-        local, host = LOCAL_END.search(head), domain.match(text, end)
+        start -= start > 0 and text[start - 1] == " "
+        begin = start
+        while begin and text[begin - 1] in LOCAL_CHARS:  # as far as an address can reach
+            begin -= 1
+        local, host = LOCAL_PART.search(text, begin, start), domain.match(text, end)
         if local and host:
-            take(start - len(local[1]), host.end(1), "email")
+            take(local.start(1), host.end(1), "email")
+
+    @staticmethod
+    def _posted(text: str, take) -> None:
+        """Addresses by their postcode, whatever the street is called."""
+        for p in POSTCODE.finditer(text):
+            for m in re.finditer(r"(?<![\w.,/-])\d{1,5}[a-z]?[ ]|(?<!\w)(?:Flat|Apt|Unit|Suite)\.?[ ]\d", text[max(0, p.start() - WINDOW[0]) : p.start()]):
+                begin = max(0, p.start() - WINDOW[0]) + m.start()
+                if POSTED.match(text, begin, p.start()) and not BEFORE_TABLE.search(text, max(0, begin - 10), begin) and take(begin, p.end(), "address"):
+                    break
+
+    @staticmethod
+    def _accounts(text: str, take) -> None:
+        """Account and card numbers that hold to their check."""
+        for rule, valid in ((IBAN, valid_iban), (CARD, valid_card)):
+            for m in rule.finditer(text):
+                if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-.+/")) and valid(m[0]):
+                    take(m.start(), m.end(), "id_number")
 
     @staticmethod
     def _address(text: str, kind: str, anchor: int, take) -> None:
         rule = ADDRESSES[kind]
-        begin = max(0, anchor - 60)
-        for m in rule.finditer(text, begin, min(len(text), anchor + 160)):
+        begin = max(0, anchor - WINDOW[0])
+        for m in rule.finditer(text, begin, min(len(text), anchor + WINDOW[1])):
             if m.start() > anchor + 1:
                 return
             if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-.,/" and text[m.start() - 2 : m.start() - 1].isdigit()):
@@ -374,6 +440,19 @@ class Finder:
             if m and len(m[1]) > 1 and ok(m[1]) and not self._organisation(text, m.end()):
                 take(start, m.end(), "person")
 
+    def _people_by_context(self, text: str, take, taken: bytearray) -> None:
+        """Two to four capitalised words that are no place, body or opening, where the words beside them speak of a person."""
+        for m in SEQUENCE.finditer(text):
+            if taken[m.start()] or taken[m.end() - 1]:
+                continue
+            words = re.split(r"[ \u00a0]", m[1])
+            if any(w.lower().rstrip(".") in PLACE_WORDS or len(w) < 2 or w.isupper() for w in words) or self._organisation(text, m.end()):
+                continue
+            head = text[max(0, m.start() - 30) : m.start()]
+            tail = text[m.end() : m.end() + 40]
+            if LABELLED.search(head) or (RELATED.search(head) and head.strip()) or LED.search(head) and FOLLOWED.match(tail) or len(words) == 2 and SPOKE.match(tail):
+                take(m.start(), m.end(), "person")
+
     def _people_ru(self, text: str, take) -> None:
         """Names in Cyrillic letters: by initials, by a title, by a listed given name with or without the father's."""
         ok = lambda s: s.lower() not in self.ru_stop

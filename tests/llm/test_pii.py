@@ -70,3 +70,21 @@ NAMES = [
 @pytest.mark.parametrize("text,want", NAMES)
 def test_short_twofold_and_other_scripts(text, want):
     assert [(text[s:e], k) for s, e, k in Finder().find(text)] == [(w, "person") for w in want]
+
+
+CONTEXT = [
+    ("Kwame Asante said that the gauge was read by Raj Patel, who lives there.", [("Kwame Asante", "person"), ("Raj Patel", "person")]),
+    ("Contact: Nguyen Thi Lan, or her sister Olena Kovalenko.", [("Nguyen Thi Lan", "person"), ("Olena Kovalenko", "person")]),
+    ("The Lower Kelp Basin said no. By North Quay the Harbour Trust told us. To Old Mill.", []),
+    ("IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00; card 4111 1111 1111 1111 (not 4111 1111 1111 1112).", [("DE89 3704 0044 0532 0130 00", "id_number"), ("4111 1111 1111 1111", "id_number")]),
+    ("12 Harbour View Boulevard, Bristol BS1 4DJ", [("12 Harbour View Boulevard, Bristol BS1 4DJ", "address")]),
+    ("Flat 2, 9 Sallow Nook,\nBristol BS1 4DJ.", [("Flat 2, 9 Sallow Nook,\nBristol BS1 4DJ", "address")]),
+    ("mailto:ilse@kelp.example tel:020-7946-0018", [("ilse@kelp.example", "email"), ("020-7946-0018", "phone")]),
+    ("a" * 200 + ".b@kelp.example", [("a" * 200 + ".b@kelp.example", "email")]),
+]
+
+
+@pytest.mark.parametrize("text,want", CONTEXT)
+def test_context_checks_and_schemes(text, want):
+    got = [(text[s:e], k) for s, e, k in Finder().find(text)]
+    assert [x for x in got if x in want or x[1] != "phone"] == want
