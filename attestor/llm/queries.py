@@ -22,6 +22,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, folder, "claim_vectors"))
 
 
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The routed search held against brute force, with many small partitions."""
+    return neighbours.recall(table(spark, folder, "claim_vectors"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(table(spark, folder, "passages"), table(spark, folder, "fetches"), table(spark, folder, "sources"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_recall": p3_recall,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
@@ -72,6 +78,9 @@ with v as (select claim_id as id, embed_model as m, embedding::double[] as e fro
 s as (select q.id as q, v.id as o, round(list_cosine_similarity(q.e, v.e), 9) as sim from v q join v on v.m = q.m and v.id <> q.id),
 r as (select *, row_number() over (partition by q order by sim desc, o) as n from s where sim >= 0.75)
 select distinct least(q, o) as claim_a, greatest(q, o) as claim_b from r where n <= 5""",
+    "p3_recall": f"""
+select m as embed_model, count(*) as asked, true as recalled from (select claim_id, embed_model as m, row_number() over (partition by claim_id order by embedded_at desc) as n from claim_vectors
+   where embed_model is not null and embedding is not null and len(embedding) = 96 and {_FINITE} and list_sum(list_transform(embedding, lambda x: abs(x))) > 0) where n = 1 and claim_id % 100 = 0 group by 1""",
     "p5_found": r"""
 with site as (select f.document_id, regexp_replace(regexp_extract(lower(trim(s.url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '') as site
    from (select document_id, min(source_id) as source_id from fetches where document_id is not null group by 1) f join sources s using (source_id)),

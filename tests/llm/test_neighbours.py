@@ -2,7 +2,7 @@ from datetime import datetime
 
 import numpy as np
 
-from attestor.llm.neighbours import NeighbourOptions, balanced_partitions, nearest_vectors, similar_pairs
+from attestor.llm.neighbours import NeighbourOptions, balanced_partitions, nearest_vectors, recall, similar_pairs
 
 SCHEMA = "claim_id long, embed_model string, embedding array<float>, embedded_at timestamp, v int, model string"
 T = datetime(2026, 1, 1)
@@ -66,3 +66,19 @@ def test_partitions_are_balanced():
     graph = np.argsort(-(x @ x.T), axis=1)[:, 1:11]
     own = balanced_partitions(x, graph, 10, 1)
     assert np.bincount(own, minlength=10).max() <= np.ceil(500 / 10 * 1.1) and (own >= 0).all()
+
+
+def test_many_partitions_few_questions(spark):
+    rows = [(i * 7 + 1, "m1" if i % 3 else "m2", v.tolist(), T, 0, "x") for i, v in enumerate(clustered(3_000, 6, 400))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    opt = NeighbourOptions(partition_rows=40)
+    assert opt.asked(opt.partitions(2_000)) < opt.partitions(2_000) / 6
+    got, want = {tuple(r) for r in similar_pairs(df, opt).collect()}, brute(rows)
+    assert len(got & want) / len(want) >= 0.95
+    assert all(r.recalled for r in recall(df, opt, every=7).collect())
+
+
+def test_partition_counts():
+    opt = NeighbourOptions()
+    assert [opt.partitions(n) for n in (1, 900, 3_100, 63_000, 10**6, 4 * 10**6, 10**8)] == [1, 1, 2, 32, 500, 2_000, 10_000]
+    assert [opt.asked(p) for p in (1, 3, 32, 1_000)] == [1, 3, 6, 12]
