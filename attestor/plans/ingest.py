@@ -64,6 +64,35 @@ def passages_of_documents(documents: DataFrame, texts: DataFrame, have: DataFram
     )
 
 
+def report_documents(runs: DataFrame, texts: DataFrame, prefix: str = "report:run/") -> tuple[DataFrame, DataFrame]:
+    """Sources and documents of the runs' reports: syntheses, dated by their run's end.
+
+    A run with a report whose text the store has becomes a source of its own
+    (kind report, key ``prefix`` and the run) and a document of origin
+    ``synthesis``, published the day the run ended (or began).  Returns
+    ``(sources, documents)``; ``documents`` has ``run_id`` beside what
+    ``fold_documents`` gives.
+    """
+    r = runs.where("coalesce(report_sha256, '') != ''").join(texts, F.col("report_sha256") == F.col("sha256"))
+    r = r.select(F.col("id").alias("run_id"), F.concat(F.lit(prefix), "id").alias("url_key"), F.col("topic").alias("title"), F.coalesce("finished_at", "started_at").alias("at"), "sha256", F.length("text").alias("text_chars"))
+    r = r.withColumn("source_id", hash63(F.col("url_key")))
+    sources = r.select(
+        F.col("url_key").alias("url"), "url_key", F.lit("report").alias("domain"), "title", F.lit("report").alias("kind"), F.lit(None).cast("string").alias("doi"), F.col("at").alias("first_seen_at"), F.col("at").alias("last_seen_at"), "source_id"
+    )
+    documents = r.select(
+        joined_id("document", F.col("url_key"), F.col("sha256")).alias("document_id"), "source_id", F.lit("full").alias("content_kind"), F.lit("text/markdown").alias("content_type"), "title", "text_chars", F.col("sha256").alias("text_sha256"),
+        F.col("at").alias("first_fetched_at"), F.col("at").alias("last_fetched_at"), F.date_format("at", "yyyy-MM-dd").alias("published"), F.lit("day").alias("published_precision"), F.lit("run").alias("published_from"), F.lit(False).alias("published_weak"),
+        F.lit("synthesis").alias("origin"), "run_id",
+    )
+    return sources, documents
+
+
+def citations_of(lines: DataFrame) -> DataFrame:
+    """Citations of the runs' ``citations.jsonl``, which a check rewrites whole: the first line of each (run, ord)."""
+    first = lines.groupBy("run_id", "ord").agg(F.min_by(F.struct(*[c for c in lines.columns if c not in ("run_id", "ord", "line_no")]), "line_no").alias("x"))
+    return first.select("run_id", "ord", "x.*").withColumn("quote_status", F.nullif("quote_status", F.lit("")))
+
+
 def claims_of(extracted: DataFrame, documents: DataFrame, texts: DataFrame, passages: DataFrame) -> DataFrame:
     """Claims of extraction files, anchored in every document of their text.
 
@@ -84,21 +113,39 @@ def claims_of(extracted: DataFrame, documents: DataFrame, texts: DataFrame, pass
     return joins.point_in_span(c, spans, ["document_id"], "char_start", "start", "stop", "ord").withColumnRenamed("span_passage_id", "passage_id").drop("span_start", "span_stop", "span_ord")
 
 
+def synced_claims(known: DataFrame, extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims after a new extraction of some documents, and the ids that went away.
+
+    ``extracted`` replaces all claims of its (document, extractor) pairs in
+    ``known``; claims of other pairs stay.
+    """
+    pairs = extracted.select("document_id", "extractor").distinct()
+    old = known.join(pairs, ["document_id", "extractor"], "left_semi")
+    kept = known.join(pairs, ["document_id", "extractor"], "left_anti").unionByName(extracted)
+    return kept, old.select("claim_id").join(extracted.select("claim_id"), "claim_id", "left_anti")
+
+
 def ingest(spark: SparkSession, store: str, only: list[str] | None = None) -> dict[str, DataFrame]:
     """All tables of a store's files, or of some of its runs.
 
     Runs that cannot be read cost their rows, not the job; reading the same
-    files again gives the same ids and rows.
+    files again gives the same ids and rows.  Reports are documents of origin
+    ``synthesis``, with passages of their own.
     """
     some = lambda df: df.where(F.col("run_id").isin(only)) if only is not None else df
     captures = some(files.records(files.log_lines(spark, f"{store}/runs/*/captures.jsonl", files.CAPTURE)))
     fetched = keyed_fetches(some(files.records(files.log_lines(spark, f"{store}/runs/*/fetches.jsonl", files.FETCH))))
     seen = sightings(captures)
     texts = files.texts(spark, store)
-    documents = merge.fold_documents(fetched)
+    runs = files.run_records(spark, store)
+    runs = runs.where(F.col("id").isin(only)) if only is not None else runs
+    reports, syntheses = report_documents(runs, texts)
+    primary = merge.fold_documents(fetched).withColumn("origin", F.lit("primary")).withColumn("run_id", F.lit(None).cast("string"))
+    documents = primary.unionByName(syntheses)
     passages = passages_of_documents(documents, texts)
+    citations = citations_of(files.records(some(files.log_lines(spark, f"{store}/runs/*/citations.jsonl", files.CITATION))))
     return {
-        "runs": files.run_records(spark, store), "captures": captures, "sources": sources_of(seen, fetched), "sightings": seen.withColumn("source_id", hash63(F.col("url_key"))), "fetches": fetched, "documents": documents, "passages": passages,
+        "runs": runs, "citations": citations, "captures": captures, "sources": sources_of(seen, fetched).unionByName(reports), "sightings": seen.withColumn("source_id", hash63(F.col("url_key"))), "fetches": fetched, "documents": documents, "passages": passages,
     }
 
 

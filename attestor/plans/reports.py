@@ -9,6 +9,7 @@ from attestor.functions.citations import citation_marks
 from attestor.functions.identity import url_key
 from attestor.functions.markdown import report_parts
 from attestor.functions.quotes import quote_found
+from attestor.operators.ranking import cap_per
 from attestor.session import Scratch, spread
 
 # Quote states, best first.
@@ -108,6 +109,50 @@ def citation_failures(checked: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.coalesce("unresolved", F.lit(0)).alias("unresolved"), F.coalesce("missed", F.lit(0)).alias("missed"))
 
 
+def check_notes(summary: DataFrame, failures: DataFrame, key: str, names: tuple[str, ...] = STATES) -> DataFrame:
+    """``(key, notes)`` of reports with failures: a line of counts and a list of what failed.
+
+    ``summary`` is ``citation_summary``; ``failures`` (key, ord, message).
+    """
+    total = F.col("resolved") + F.col("unresolved") + F.col("unchecked")
+    quotes = F.col("quotes_found") + F.col("quotes_not_found") + F.col("quotes_unverifiable") + F.col("quotes_unchecked")
+    head = F.format_string(
+        "%d citations: %d resolved, %d unresolved, %d not checked. %d quotes: %d found, %d not found, %d unverifiable.\n\n",
+        total, F.col("resolved"), F.col("unresolved"), F.col("unchecked"), quotes, F.col("quotes_found"), F.col("quotes_not_found"), F.col("quotes_unverifiable"),
+    )
+    listed = failures.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "message"))), lambda x: F.concat(F.lit("- "), x["message"], F.lit("\n"))).alias("lines"))  # one report's failures
+    return summary.join(listed, key).select(key, F.concat(head, F.array_join("lines", "")).alias("notes"))
+
+
+def failure_messages(checked: DataFrame, key: str) -> DataFrame:
+    """``(key, ord, message)``: unresolved marks, and quotes that none of their group's marks bear out."""
+    lost = checked.where(~F.col("resolved")).select(key, "ord", F.concat(F.lit("["), "marker", F.lit("] is not in the evidence")).alias("message"))
+    group = checked.where("coalesce(quote, '') != '' and quote_status is not null").groupBy(key, "group_ord").agg(
+        F.bool_and(F.col("quote_status") == "not_found").alias("missed"), F.min("ord").alias("ord"), F.min_by("quote", "ord").alias("quote"), F.min_by("marker", "ord").alias("marker")
+    )
+    return lost.union(group.where("missed").select(key, "ord", F.concat(F.lit("the quote \u201c"), "quote", F.lit("\u201d is not in ["), "marker", F.lit("]"))))
+
+
+def cited_evidence(found: DataFrame, cards: DataFrame, claims: DataFrame, key: str = "doc_id", most: int = 50) -> DataFrame:
+    """The first ``most`` different P and C marks of each report as evidence: ``key, ord, marker, label, content``.
+
+    ``cards`` (passage_id, document_id, text, site, title, age, kind), ``claims``
+    (claim_id, passage_id, text, flags); a claim's evidence is the claim, its
+    flags and the passage it is in.  Marks that name nothing, and claims of no
+    passage, are left out.
+    """
+    once = found.where(F.col("kind").isin("P", "C")).groupBy(key, "marker", "kind", "target").agg(F.min("ord").alias("ord"))
+    c = claims.dropDuplicates(["claim_id"]).where("passage_id is not null").select(F.lit("C").alias("kind"), F.col("claim_id").alias("target"), "passage_id", F.col("text").alias("claim"), "flags")
+    p = cards.select(F.lit("P").alias("kind"), F.col("passage_id").alias("target"), "passage_id", F.lit(None).cast("string").alias("claim"), F.lit(None).cast("string").alias("flags"))
+    named = once.join(p.union(c), ["kind", "target"])
+    some = cap_per(named, [key], [F.col("ord"), F.col("marker")], most)
+    text = some.join(cards.select("passage_id", "text", "site", "title", "age", F.col("kind").alias("card_kind")), "passage_id")
+    label = F.concat(F.trim(F.concat_ws(" ", "site", "title", F.concat(F.lit("("), "age", F.lit(")")))), F.when(F.col("card_kind") == "report", ", synthesis").otherwise(""))
+    flags = F.when(F.coalesce("flags", F.lit("")) != "", F.concat(F.lit("Flags: "), F.replace("flags", F.lit(","), F.lit(", ")), F.lit("\n"))).otherwise("")
+    claim = F.when(F.col("claim").isNotNull(), F.concat(F.lit("Claim: "), "claim", F.lit("\n"), flags, F.lit("\n"))).otherwise("")
+    return text.select(key, "ord", "marker", label.alias("label"), F.concat(claim, "text").alias("content"))
+
+
 def parsed_reports(reports: DataFrame, id_col: str = "doc_id", arm_col: str = "source") -> DataFrame:
     """Each report parsed once: ``words``, the ``urls`` it cites as page keys, and ``parts`` (see ``parse_report``)."""
     r = spread(reports.where("text is not null").select(id_col, arm_col, "text"))

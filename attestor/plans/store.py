@@ -50,7 +50,9 @@ def run_sources(fetches: DataFrame, sources: DataFrame, passages: DataFrame) ->
     best = best_attempts(fetches).select("run_id", "source_id", "document_id", fetch_class(F.col("http_status"), F.col("error")).alias("outcome"))
     size = passages.dropDuplicates(["passage_id"]).groupBy("document_id").agg(F.count("*").alias("passages"))
     out = seen.join(best, ["run_id", "source_id"]).join(sources.select("source_id", "url_key", "title"), "source_id").join(size, "document_id", "left")
-    return out.select("run_id", "source_id", "url_key", "title", "tried", "first_seq", "seqs", "document_id", "outcome", F.coalesce("passages", F.lit(0)).alias("passages"))
+    out = out.select("run_id", "source_id", "url_key", "title", "tried", "first_seq", "seqs", "document_id", "outcome", F.coalesce("passages", F.lit(0)).alias("passages"))
+    # sources with a document first, then as they were met
+    return out.orderBy("run_id", F.col("document_id").isNull(), "first_seq", "source_id")
 
 
 def passage_cards(passages: DataFrame, n: int = 1) -> DataFrame:
@@ -113,7 +115,9 @@ def fetch_plan(fetches: DataFrame) -> DataFrame:
     f = deliveries(fetches)
     best = f.groupBy("run_id", "source_id").agg(F.min(F.struct(rank.alias("p"), F.coalesce("hit_rank", F.lit(2**31 - 1)).alias("hit"), F.col("reason"))).alias("x"), F.min("seq").alias("first_seq"))
     have = f.where("document_id is not null").select("source_id").distinct()
-    return best.join(have, "source_id", "left_anti").select("run_id", "source_id", "x.reason", F.nullif(F.col("x.hit"), F.lit(2**31 - 1)).alias("hit_rank"), "first_seq")
+    out = best.join(have, "source_id", "left_anti").select("run_id", "source_id", "x.reason", F.nullif(F.col("x.hit"), F.lit(2**31 - 1)).alias("hit_rank"), "first_seq", "x.p")
+    # by reason, results by rank, then as they were met
+    return out.orderBy("run_id", "p", F.when(F.col("reason") == "result", F.coalesce("hit_rank", F.lit(2**31 - 1))), "first_seq", "source_id").drop("p")
 
 
 def run_health(fetches: DataFrame, passages: DataFrame) -> DataFrame:
@@ -142,3 +146,23 @@ def problems(tables: dict[str, DataFrame]) -> DataFrame:
         one = rows().agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), F.lit(message).alias("message"), "n")
         out = one if out is None else out.union(one)
     return out.where("n > 0")
+
+
+def latest_sightings(sightings: DataFrame, captures: DataFrame, most: int = 20) -> DataFrame:
+    """Where each source was seen, the latest first, at most ``most`` a source: sightings of captures that exist, by run and number."""
+    when = captures.groupBy("run_id", "seq").agg(F.max("captured_at").alias("captured_at"))
+    both = sightings.drop("captured_at").join(when, ["run_id", "seq"])
+    return cap_per(both, ["source_id"], [F.desc("captured_at"), F.desc("run_id"), F.desc("seq"), F.col("ord")], most, "rank")
+
+
+def ungrouped_documents(documents: DataFrame, origins: DataFrame) -> DataFrame:
+    """Primary documents without an origin: while there is any, origins are to be grouped again."""
+    return documents.where("origin = 'primary'").join(origins.select("document_id"), "document_id", "left_anti").select("document_id")
+
+
+def call_summary(calls: DataFrame) -> DataFrame:
+    """Per provider and model: calls, failures, tokens in and out, mean and largest latency (null tokens and times count for nothing)."""
+    return calls.groupBy("provider", "model").agg(
+        F.count("*").alias("calls"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
+        F.round(F.avg("latency_ms"), 3).alias("mean_ms"), F.max("latency_ms").alias("most_ms"),
+    )

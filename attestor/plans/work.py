@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.identity import url_key
 from attestor.functions.text import share_term, words
+from attestor.operators.ranking import cap_per
 
 ATTEMPTS, PER_CHUNK = 3, 15
 
@@ -27,6 +28,32 @@ def extraction_work(candidates: DataFrame, state: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("cited"), F.desc("last_fetched_at"), "text_sha256", "chunk")
 
 
+def new_neighbours(near: DataFrame, claims: DataFrame, links: DataFrame, origins: DataFrame, k: int = 5, min_similarity: float = 0.75) -> DataFrame:
+    """``(claim_id, near_id, similarity, rank)``: of each claim's nearest ones the first ``k`` worth linking.
+
+    ``near`` (query_id, id, similarity) holds the nearest 4 x ``k`` verified
+    claims; of those, claims of the own origin, below ``min_similarity`` or
+    with a link either way are left out (equal similarity: smaller id first).
+    A document without a row in ``origins`` is its own origin.
+    """
+    own = claims.where("quote_verified").dropDuplicates(["claim_id"]).select("claim_id", "document_id")
+    root = origins.groupBy("document_id").agg(F.min("origin_id").alias("root"))
+    own = own.join(root, "document_id", "left").select("claim_id", F.coalesce("root", "document_id").alias("root"))
+    side = lambda c, r: own.select(F.col("claim_id").alias(c), F.col("root").alias(r))
+    pair = near.where(F.col("similarity") >= min_similarity).select(F.col("query_id").alias("claim_id"), F.col("id").alias("near_id"), "similarity")
+    pair = pair.join(side("claim_id", "ra"), "claim_id").join(side("near_id", "rb"), "near_id").where("ra != rb")
+    known = links.select(F.explode(F.array(F.struct(F.col("from_claim").alias("claim_id"), F.col("to_claim").alias("near_id")), F.struct(F.col("to_claim").alias("claim_id"), F.col("from_claim").alias("near_id")))).alias("x")).select("x.*").distinct()
+    return cap_per(pair.join(known, ["claim_id", "near_id"], "left_anti").select("claim_id", "near_id", "similarity"), ["claim_id"], [F.desc("similarity"), F.col("near_id")], k, "rank")
+
+
+def mark_checked(claims: DataFrame, checked: DataFrame, now: datetime) -> DataFrame:
+    """``claims`` with ``link_checked_at`` set for those in ``checked`` (claim_id)."""
+    done = checked.select("claim_id").distinct().withColumn("_done", F.lit(now))
+    old = F.col("link_checked_at") if "link_checked_at" in claims.columns else F.lit(None).cast("timestamp")
+    wide = claims.join(done, "claim_id", "left")
+    return wide.select(*[F.col(c) for c in claims.columns if c != "link_checked_at"], F.coalesce("_done", old).alias("link_checked_at"))
+
+
 def pairs_to_label(near: DataFrame, claims: DataFrame, links: DataFrame, day_budget: int, now: datetime) -> DataFrame:
     """Claim pairs to ask a model about, the most similar first, within what the day's budget leaves.
 

@@ -8,15 +8,13 @@ wrote.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestor.functions.arrow import arrow_udf
 
@@ -44,13 +42,21 @@ LINK = "from_claim bigint, to_claim bigint, relation string, method string, mode
 RUN_NAME = r"/runs/([A-Za-z0-9][A-Za-z0-9._-]*)/"
 
 
+def _fields(schema: str) -> str:
+    """A table schema as the fields of a struct."""
+    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields)
+
+
 def log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``run_id, line_no, line, record, state`` of each line of the logs at a path.
 
     ``state`` is ok, bad (complete but not decodable) or partial (a last line
     without newline: not decoded).  Blank lines are left out but numbered, from
-    1.  ``run_id`` comes from the folder name (null elsewhere).
+    1.  ``run_id`` comes from the folder name (null elsewhere).  A path that
+    matches nothing has no lines.
     """
+    if listing(spark, path).isEmpty():
+        return spark.createDataFrame([], f"run_id string, line_no int, line string, record struct<{_fields(schema)},_corrupt:string>, state string")
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     parts = F.split("value", "\n")
     last = F.size(parts) - 1
@@ -84,27 +90,25 @@ def run_records(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(RUN).option("multiLine", True).json(f"{store}/runs/*/run.json")
 
 
-def fingerprints(spark: SparkSession, store: str) -> DataFrame:
-    """Per run the record's hash and the logs' sizes (-1: no such file), for change detection.
+def listing(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(path, bytes, folder)`` of what a pattern matches in any file system Spark knows, empty files too.
 
-    File readers do not see empty files, so tasks ask the shared folder itself.
+    Names and sizes only: the listing that any reader makes on the driver.
     """
-    logs = {"captures.jsonl": "capture_bytes", "fetches.jsonl": "fetch_bytes", "citations.jsonl": "citation_bytes"}
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    rows = [(str(f.getPath().toString()), int(f.getLen()), bool(f.isDirectory())) for f in found or ()]
+    return spark.createDataFrame(rows, "path string, bytes bigint, folder boolean")
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = {"run_id": [], "record_sha256": [], **{c: [] for c in logs.values()}}
-            for run in b["run_id"]:
-                folder = Path(store) / "runs" / run
-                record = folder / "run.json"
-                out["run_id"].append(run)
-                out["record_sha256"].append(hashlib.sha256(record.read_bytes()).hexdigest() if record.is_file() else None)
-                for name, column in logs.items():
-                    out[column].append((folder / name).stat().st_size if (folder / name).is_file() else -1)
-            yield pd.DataFrame(out)
 
-    names = spark.createDataFrame([(r,) for r in existing_runs(store)], "run_id string")
-    return names.mapInPandas(look, "run_id string, record_sha256 string, capture_bytes bigint, fetch_bytes bigint, citation_bytes bigint").where("record_sha256 is not null")
+def fingerprints(spark: SparkSession, store: str) -> DataFrame:
+    """Per run the record's hash and the logs' sizes (-1: no such file), for change detection."""
+    logs = {"captures.jsonl": "capture_bytes", "fetches.jsonl": "fetch_bytes", "citations.jsonl": "citation_bytes"}
+    own = F.regexp_extract("path", r"/runs/([^/]+)/[^/]+$", 1).alias("run_id")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    sizes = listing(spark, f"{store}/runs/*/*.jsonl").groupBy(own).agg(*[F.max(F.when(name == file, F.col("bytes"))).alias(c) for file, c in logs.items()])
+    record = spark.read.format("binaryFile").load(f"{store}/runs/*/run.json").select(own, F.sha2("content", 256).alias("record_sha256"))
+    return record.join(sizes, "run_id", "left").select("run_id", "record_sha256", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in logs.values()])
 
 
 def extractions(spark: SparkSession, store: str) -> DataFrame:
@@ -175,7 +179,27 @@ def workspaces(text: str) -> dict[str, str]:
     return out
 
 
-def existing_runs(store: str) -> list[str]:
+def existing_runs(spark: SparkSession, store: str) -> list[str]:
     """Names of run folders, empty ones too, in order (a listing on the driver)."""
-    root = Path(store) / "runs"
-    return sorted(p.name for p in root.iterdir() if p.is_dir() and re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", p.name)) if root.is_dir() else []
+    names = listing(spark, f"{store}/runs/*").where("folder").select(F.regexp_extract("path", r"([^/]+)/?$", 1).alias("n"))
+    return sorted(r.n for r in names.where(F.col("n").rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$")).collect())
+
+
+@arrow_udf("binary")
+def unzipped(content: pd.Series) -> pd.Series:
+    """Bytes of a gzip file; null for what is none."""
+    import gzip
+
+    def read(b: bytes | None) -> bytes | None:
+        try:
+            return gzip.decompress(b) if b is not None else None
+        except (OSError, EOFError, ValueError):
+            return None
+
+    return content.map(read)
+
+
+def blobs(spark: SparkSession, store: str) -> DataFrame:
+    """``(sha256, content)`` of the raw blob store ``blobs/<ab>/<sha>.gz``; what cannot be unzipped has a null content."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(f"{store}/blobs")
+    return f.select(F.regexp_extract("path", r"([0-9a-f]{64})\.gz$", 1).alias("sha256"), unzipped(F.col("content")).alias("content")).where("sha256 != ''")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +37,66 @@ def replace_partitions(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Rebuild a table: written aside, then moved in place of the old one."""
+POINTER = "_CURRENT"  # a table's file that names the folder of its rows
+
+
+def swap(df: DataFrame, path: str, keep: int = 1) -> None:
+    """Rebuild a table: its rows are written to a folder of their own, then one file is set to name it.
+
+    Readers (``current``) see the old rows or the new ones, never neither; a
+    crash before the last step leaves the old table.  The ``keep`` folders
+    before stay for readers still at them.
+    """
     spark = df.sparkSession
-    aside, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(aside)
-    jvm = spark._jvm
-    to = jvm.org.apache.hadoop.fs.Path
-    fs = to(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if fs.exists(to(path)):
-        fs.rename(to(path), to(old))
-    fs.rename(to(aside), to(path))
-    fs.delete(to(old), True)
+    name = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{name}")
+    set_pointer(spark, path, name)
+    to, fs = _hadoop(spark, path)
+    old = sorted(f.getPath().getName() for f in fs.listStatus(to(path)) if f.isDirectory() and f.getPath().getName() < name)
+    for x in old[: len(old) - keep]:
+        fs.delete(to(f"{path}/{x}"), True)
+
+
+def set_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """Set a table's pointer in one step: written aside, then renamed over the old one."""
+    to, fs = _hadoop(spark, path)
+    out = fs.create(to(f"{path}/{POINTER}.new"), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to(path).toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    context.rename(to(f"{path}/{POINTER}.new"), to(f"{path}/{POINTER}"), over)
+
+
+def pointer(spark: SparkSession, path: str) -> str | None:
+    """What a table's pointer says; None where there is none."""
+    to, fs = _hadoop(spark, path)
+    if not fs.exists(to(f"{path}/{POINTER}")):
+        return None
+    stream = fs.open(to(f"{path}/{POINTER}"))
+    text = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return text
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table written by ``swap``; None where there is none."""
+    name = pointer(spark, path)
+    return spark.read.parquet(f"{path}/{name}") if name else None
+
+
+def _hadoop(spark: SparkSession, path: str):
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    return to, to(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(to)
+    to, fs = _hadoop(spark, path)
+    return fs.exists(to(path))
+
+
+def write_sheet(rows: DataFrame, path: str) -> None:
+    """Measures as tab-separated text with a header, in one file where the result is small (a report's table)."""
+    rows.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

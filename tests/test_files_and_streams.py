@@ -1,6 +1,9 @@
+import hashlib
 import json
 import shutil
 
+from pyspark.sql import functions as F
+
 from attestor.operators.merge import latest_links
 from attestor.plans import ingest
 from attestor.sources import files, sinks
@@ -11,8 +14,6 @@ TEXT = "First paragraph of the page, quite long.\n\n" + "More text follows here.
 
 
 def make_store(root):
-    import hashlib
-
     sha = hashlib.sha256(TEXT.encode()).hexdigest()
     run = root / "runs" / "20260101T000000Z-abcdef"
     run.mkdir(parents=True)
@@ -41,7 +42,7 @@ def test_ingest(spark, tmp_path):
     lines = files.log_lines(spark, f"{store}/runs/*/captures.jsonl", files.CAPTURE)
     p = files.log_problems(lines).first()
     assert (p.bad_lines, p.partial, p.records) == ([3], True, 2)
-    assert files.existing_runs(store) == ["20260101T000000Z-abcdef", "empty"]
+    assert files.existing_runs(spark, store) == ["20260101T000000Z-abcdef", "empty"]
     t = ingest.ingest(spark, store)
     s = sorted((r.seq, r.ord, r.url_key, r.role) for r in t["sightings"].collect())
     assert s == [(1, 0, "go.example/blog", "result"), (1, 1, "doi.example/10.1145/ABC.123", "result"), (2, 0, "go.example/blog", "opened")]
@@ -56,6 +57,36 @@ def test_ingest(spark, tmp_path):
     assert TEXT[c[0].char_start : c[0].char_end] == "paragraph of the page" and c[0].passage_id == rows[0].passage_id
 
 
+def test_reports_and_citations(spark, tmp_path):
+    make_store(tmp_path)
+    store, report = str(tmp_path), "# Findings\n\nThe report says so."
+    sha = hashlib.sha256(report.encode()).hexdigest()
+    (tmp_path / "text" / sha[:2]).mkdir(parents=True, exist_ok=True)
+    (tmp_path / "text" / sha[:2] / f"{sha}.txt").write_text(report)
+    run = next(p for p in (tmp_path / "runs").iterdir() if (p / "run.json").is_file())
+    record = json.loads((run / "run.json").read_text())
+    (run / "run.json").write_text(json.dumps(record | {"report_sha256": sha, "topic": "Tides", "finished_at": "2026-01-02T03:04:05Z"}))
+    (run / "citations.jsonl").write_text('{"ord": 1, "marker": "E1", "quote_status": ""}\n{"ord": 1, "marker": "E2"}\nbad\n{"ord": 2, "marker": "P:3", "resolved": true, "quote_status": "found"}\n')
+    t = ingest.ingest(spark, store)
+    d = t["documents"].where("origin = 'synthesis'").first()
+    assert (d.title, d.published, d.published_from, d.run_id) == ("Tides", "2026-01-02", "run", run.name) and t["documents"].count() == 2
+    assert [r.text for r in t["passages"].where(F.col("document_id") == d.document_id).collect()] == [report]
+    assert t["sources"].where("kind = 'report'").first().source_id == d.source_id
+    assert sorted((r.ord, r.marker, r.quote_status) for r in t["citations"].collect()) == [(1, "E1", None), (2, "P:3", "found")]
+
+
+def test_blobs(spark, tmp_path):
+    import gzip
+
+    sha = "ab" * 32
+    (tmp_path / "blobs" / "ab").mkdir(parents=True)
+    (tmp_path / "blobs" / "ab" / f"{sha}.gz").write_bytes(gzip.compress(b"raw bytes"))
+    (tmp_path / "blobs" / "ab" / f"{'cd' * 32}.gz").write_bytes(b"no gzip")
+    (tmp_path / "blobs" / "ab" / "other.gz").write_bytes(gzip.compress(b"x"))
+    got = {r.sha256: r.content for r in files.blobs(spark, str(tmp_path)).collect()}
+    assert {k: bytes(v) if v else None for k, v in got.items()} == {sha: b"raw bytes", "cd" * 32: None}
+
+
 def test_change_detection(spark, tmp_path):
     make_store(tmp_path)
     known = spark.createDataFrame(files.fingerprints(spark, str(tmp_path)).collect())
@@ -72,7 +103,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     sinks.swap(df, str(tmp_path / "t"))
     sinks.swap(df.limit(1), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert sinks.current(spark, str(tmp_path / "t")).count() == 1 and sinks.current(spark, str(tmp_path / "none")) is None
+    for _ in range(3):
+        sinks.swap(df, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("v*"))) == 2  # the one before stays for its readers
+    sinks.write_sheet(df, str(tmp_path / "sheet"))
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "sheet")).columns == ["text"]
     old = spark.createDataFrame([("r", 4)], "run_id string, seq long")
     new = spark.createDataFrame([("r", "x"), ("r", "y"), ("q", "z")], "run_id string, v string")
     assert sorted((r.run_id, r.v, r.seq) for r in sinks.numbered(new, old, "run_id", ["v"]).collect()) == [("q", "z", 1), ("r", "x", 5), ("r", "y", 6)]
@@ -89,7 +125,8 @@ def test_stream_equals_batch(spark, tmp_path, data):
             shutil.copy(f, inbox / f"{n}-{f.name}")
         incremental.sync_links(spark, str(inbox), links.schema, state, mark).awaitTermination()
     want = latest_links(incremental.valid_links(links, ("rule", "model", "human")))
-    got = spark.read.parquet(state)
+    got = incremental.state_of(spark, state)
+    assert incremental.state_of(spark, str(tmp_path / 'none')) is None
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
