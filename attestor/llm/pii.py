@@ -91,6 +91,8 @@ NAME = rf"[{U}][{L}'’]+|[{U}][{U}'’]+"
 SURNAME = rf"(?:{NAME})(?:-(?:{NAME}))?"
 PLACE_WORDS = {w.lower().rstrip(".") for w in STREETS + STREETS_MORE + ORGANISATIONS + NOT_IN_NAMES} | {w.lower() for w in NO_SURNAMES}
 SEQUENCE = re.compile(rf"(?<![\w.'’@/-])((?:{NAME})(?:-(?:{NAME}))?(?:[ \u00a0](?:{NAME})(?:-(?:{NAME}))?){{1,3}})(?![\w@/-])")
+BEFORE_LABELLED = re.compile(r"[ ]*[:,]?[ \n]+")
+BEFORE_FOLLOWED = re.compile(rf"(?<![\w.'’@/-])((?:{NAME})(?:-(?:{NAME}))?(?:[ \u00a0](?:{NAME})(?:-(?:{NAME}))?){{1,3}}),?[ ]?$")
 LABELLED = re.compile(rf"(?i)(?:(?<!\w)(?:{NAME_LABELS})[ ]*[:,]?[ \n]+)$")
 RELATED = re.compile(rf"(?i)(?<!\w)(?:{KIN}),?[ ]$")
 LED = re.compile(rf"(?<!\w)(?:{BEFORE_NAME})[ ]$")
@@ -136,6 +138,7 @@ PHONES = [
 SCHEME_PHONE = re.compile(rf"\+?\d(?:{SEP}\(?\d\)?){{5,14}}(?!\d){EXT}")
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
 CARD = re.compile(r"[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{4}(?!\d|\1\d)|[3-6]\d{12,18}(?!\d)")
+TWELVE = re.compile(r"\d{4}[ -]?(?:[\dA-Z]{4}[ -]?){2}")
 LOCAL_PHONE = re.compile(rf"\d{{3}}-\d{{4}}(?![\d\-]){EXT}")
 STRONG_IDS = [
     re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w])"),  # national insurance
@@ -177,11 +180,15 @@ ADDRESSES = {
     ),
     "ja": re.compile(r"〒\s?\d{3}-?\d{4}\s*[\u3040-\u30ff\u3400-\u9fff]+?[県都府道][\u3040-\u30ff\u3400-\u9fff]+\d+(?:[-−ー丁目番号\d])*"),
 }
+WORD_WINDOW = 80  # characters before an anchor in which its own street word or box begins
+FIRST_NUMBER = re.compile(r"(?<![\w])(?:(?:Flat|Apt|Unit|Suite)(?=\W)|\d)")
+FIRST_WORD = re.compile(r"(?<![\w])\S")
 WINDOW = (120, 400)  # characters before and after an anchor in which an address must lie
 POSTCODE = re.compile(r"(?<![\w])(?:[A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}|[A-Z]{2}[ ]\d{5}(?:-\d{4})?)(?!\w)")
 POSTED = re.compile(
     rf"(?:(?:Flat|Apt|Unit|Suite)\.?[ ]\d+[a-z]?{BREAK})?\d{{1,5}}[a-z]?[ ](?:[{U}][{L}'’]+[ ]){{0,3}}[{U}][{L}'’]+\.?(?:{BREAK}(?:Flat|Apt|Unit|Suite|Floor)\.?[ ]\d+[a-z]?)?{BREAK}{TOWN},?[ ]\Z"
 )
+CUE_WINDOW = 14  # characters before digits in which a word says that they are no identity number
 BEFORE_TABLE = re.compile(r"(?:Table|Fig\.?|Figure|Chart)[ ]$")
 
 
@@ -214,7 +221,8 @@ def valid_card(text: str) -> bool:
 def _anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for word, kind in (
-        [("tel:", "scheme"), ("sms:", "scheme"), ("iban", "iban"), ("@", "at"), ("(at)", "spelt"), ("[at]", "spelt"), ("{at}", "spelt"), (" at ", "spelt words"), ("〒", "ja")]
+        [(w, "label") for w in f"{NAME_LABELS}|{KIN}".split("|")] + [(f" {w}", "follow") for w in f"{AFTER_NAME}|who|aged|an|a|the|{KIN}".split("|") if len(w) > 3 or w == "who"]
+        + [("tel:", "scheme"), ("sms:", "scheme"), ("iban", "iban"), ("@", "at"), ("(at)", "spelt"), ("[at]", "spelt"), ("{at}", "spelt"), (" at ", "spelt words"), ("〒", "ja")]
         + [(n.lower(), "given") for n in GIVEN_NAMES] + [(t.lower(), "title") for t in TITLES]
         + [(f" {s.lower()}", "en") for s in STREETS + STREETS_MORE] + [("box ", "box"), ("postfach ", "box"), ("apartado ", "box")]
         + [(f"{s} ", "de") for s in STREETS_DE] + [(f"{s} ", "de at") for s in STREETS_DE_AT] + [(f" {s} ", "fr") for s in STREETS_FR] + [(f"{s.lower()} ", "es") for s in STREETS_ES]
@@ -262,7 +270,8 @@ class Finder:
                 self._email(text, start, end, SPELT_DOMAIN, take)
         for kind in ("en", "box", "de", "de at", "fr", "es", "ja"):
             for start, end in hits.get(kind, ()):
-                self._address(text, kind, start, take)
+                if kind != "en" or not text[end : end + 1].isalnum():
+                    self._address(text, kind, start, take)
         if POSTCODE.search(text):
             self._posted(text, take)
         self._accounts(text, take)
@@ -274,7 +283,7 @@ class Finder:
                 take(m.start(), m.end(), "phone")
         self._digits(text, low, hits.get("digit", ()), take, taken)
         self._people(text, low, hits, take, taken)
-        self._people_by_context(text, take, taken)
+        self._people_by_context(text, hits, take, taken)
         if not text.isascii():
             self._people_ru(text, take)
             self._people_ja(text, take)
@@ -302,6 +311,44 @@ class Finder:
     @staticmethod
     def _accounts(text: str, take) -> None:
         """Account and card numbers that hold to their check."""
+        if not TWELVE.search(text):
+            return
+        for rule, valid in ((IBAN, valid_iban), (CARD, valid_card)):
+            for m in rule.finditer(text):
+                if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-.+/")) and valid(m[0]):
+                    take(m.start(), m.end(), "id_number")
+
+    @staticmethod
+    def _address(text: str, kind: str, anchor: int, take) -> None:
+        if kind == "en" and not text[anchor + 1].isupper() or kind in ("es", "de at") and not text[anchor].isupper():
+            return
+        rule, end = ADDRESSES[kind], min(len(text), anchor + WINDOW[1])
+        numbered = kind in ("en", "fr")  # the number stands before the street's word, else the word begins it
+        for at in (FIRST_NUMBER if numbered else FIRST_WORD).finditer(text, max(0, anchor - WINDOW[0]) if numbered else max(0, anchor - WORD_WINDOW), min(len(text), anchor + 2)):
+            m = rule.match(text, at.start(), end)
+            if not m or m.end() <= anchor:
+                continue
+            if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-.,/" and text[m.start() - 2 : m.start() - 1].isdigit()):
+                continue
+            if BEFORE_TABLE.search(text, max(0, m.start() - 10), m.start()):
+                continue
+            take(m.start(), m.end(), "address")
+            return
+
+    @staticmethod
+    def _posted(text: str, take) -> None:
+        """Addresses by their postcode, whatever the street is called."""
+        for p in POSTCODE.finditer(text):
+            for m in re.finditer(r"(?<![\w.,/-])\d{1,5}[a-z]?[ ]|(?<!\w)(?:Flat|Apt|Unit|Suite)\.?[ ]\d", text[max(0, p.start() - WINDOW[0]) : p.start()]):
+                begin = max(0, p.start() - WINDOW[0]) + m.start()
+                if POSTED.match(text, begin, p.start()) and not BEFORE_TABLE.search(text, max(0, begin - 10), begin) and take(begin, p.end(), "address"):
+                    break
+
+    @staticmethod
+    def _accounts(text: str, take) -> None:
+        """Account and card numbers that hold to their check."""
+        if not TWELVE.search(text):
+            return
         for rule, valid in ((IBAN, valid_iban), (CARD, valid_card)):
             for m in rule.finditer(text):
                 if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-.+/")) and valid(m[0]):
@@ -377,10 +424,9 @@ class Finder:
             for at in dict.fromkeys((at, start)):
                 if at and (text[at - 1].isalnum() or text[at - 1] in "-_/.@#"):
                     continue
-                before = low[max(0, at - 14) : at]
-                if any(c in before for c in NOT_ID_CUES):
-                    continue
                 m = next((m for r in STRONG_IDS if (m := r.match(text, at))), None)
+                if m and any(c in low[max(0, at - CUE_WINDOW) : at] for c in NOT_ID_CUES):
+                    continue
                 if m and take(m.start(), m.end(), "id_number"):
                     last = m.end()
                     break
@@ -440,18 +486,27 @@ class Finder:
             if m and len(m[1]) > 1 and ok(m[1]) and not self._organisation(text, m.end()):
                 take(start, m.end(), "person")
 
-    def _people_by_context(self, text: str, take, taken: bytearray) -> None:
-        """Two to four capitalised words that are no place, body or opening, where the words beside them speak of a person."""
-        for m in SEQUENCE.finditer(text):
-            if taken[m.start()] or taken[m.end() - 1]:
-                continue
-            words = re.split(r"[ \u00a0]", m[1])
-            if any(w.lower().rstrip(".") in PLACE_WORDS or len(w) < 2 or w.isupper() for w in words) or self._organisation(text, m.end()):
+    def _people_by_context(self, text: str, hits, take, taken: bytearray) -> None:
+        """Two to four capitalised words that are no place, body or opening, beside words that speak of a person."""
+        found: set[tuple[int, int]] = set()
+        for start, end in hits.get("label", ()):  # Contact: X; her sister X
+            gap = BEFORE_LABELLED.match(text, end)
+            m = SEQUENCE.match(text, gap.end()) if gap else None
+            head = text[max(0, start - 30) : gap.end()] if m else ""
+            if m and (LABELLED.search(head) or RELATED.search(head)):
+                found.add(m.span())
+        for start, end in hits.get("follow", ()):  # X said; by X, who
+            at = max(0, start - 100)
+            m = BEFORE_FOLLOWED.search(text, at, start)
+            if m and (m.start(1) > at or not at):
+                tail = text[m.end(1) : end + 1]
+                if len(m[1].split()) == 2 and SPOKE.match(tail) or FOLLOWED.match(tail) and LED.search(text, max(0, m.start(1) - 8), m.start(1)):
+                    found.add(m.span(1))
+        for start, end in sorted(found):
+            words = re.split(r"[ \u00a0]", text[start:end])
+            if any(w.lower().rstrip(".") in PLACE_WORDS or len(w) < 2 or w.isupper() for w in words) or self._organisation(text, end) or any(taken[start:end]):
                 continue
-            head = text[max(0, m.start() - 30) : m.start()]
-            tail = text[m.end() : m.end() + 40]
-            if LABELLED.search(head) or (RELATED.search(head) and head.strip()) or LED.search(head) and FOLLOWED.match(tail) or len(words) == 2 and SPOKE.match(tail):
-                take(m.start(), m.end(), "person")
+            take(start, end, "person")
 
     def _people_ru(self, text: str, take) -> None:
         """Names in Cyrillic letters: by initials, by a title, by a listed given name with or without the father's."""
