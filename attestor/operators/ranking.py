@@ -129,7 +129,7 @@ def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], state:
 
 def stratified_sample(df: DataFrame, arm: str, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows per arm, taken round-robin over its strata in seeded random order."""
-    mix = F.xxhash64(F.col(key), F.lit(seed))
+    mix = F.md5(F.concat_ws(" ", F.col(key).cast("string"), F.lit(str(seed))))
     one = df.withColumn("_round", F.row_number().over(Window.partitionBy(arm, stratum).orderBy(mix, key)))
     one = one.where(F.col("_round") <= n)
     return cap_per(one, [arm], [F.col("_round"), F.col(stratum)], n, "pick").drop("_round")

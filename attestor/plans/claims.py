@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from attestor.functions.dates import date_of
 from attestor.functions.text import quote_key
+from attestor.operators.ranking import cap_per
+from attestor.session import Scratch
 
 # Relations as seen from the claim they point to.
 REVERSED = {"refines": "refined_by", "supersedes": "superseded_by"}
@@ -58,6 +60,47 @@ def dated_claims(claims: DataFrame, documents: DataFrame, origins: DataFrame) ->
     )
 
 
+def touching(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """All lines of the pairs that have one of ``ids`` (claim_id, a checked small set) at an end."""
+    one = F.broadcast(ids.select("claim_id").distinct())
+    near = links.join(one.withColumnRenamed("claim_id", "from_claim"), "from_claim", "left_semi")
+    return near.unionByName(links.join(one.withColumnRenamed("claim_id", "to_claim"), "to_claim", "left_semi")).select(links.columns)
+
+
+# The order of a cluster, what bears on the claim most first.
+RELATION_ORDER = "superseded_by contradicts same supports refined_by refines supersedes".split()
+
+
+def related_in_order(edges: DataFrame, known: DataFrame, shown: int) -> DataFrame:
+    """``(claim_id, related)``: each claim's relatives in order, ``relation claim date`` apart by semicolons, ``shown`` at most.
+
+    By relation (see RELATION_ORDER), then the newest, then the smaller id.
+    """
+    rows = edges.join(known.select(F.col("claim_id").alias("other_id"), "dated"), "other_id")
+    order = F.array_position(F.array(*map(F.lit, RELATION_ORDER)), F.col("relation"))
+    some = cap_per(rows.withColumn("o", order), ["claim_id"], [F.col("o"), F.desc("dated"), F.col("other_id")], shown, "rank")
+    line = F.concat_ws(" ", "relation", F.col("other_id").cast("string"), F.date_format("dated", "yyyy-MM-dd"))
+    return some.groupBy("claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "; ").alias("related"))
+
+
+def page_edges(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """``(claim_id, other_id, relation)`` of a small set of claims, as those of a page of cards; only their pairs' links are read."""
+    ids = ids.select("claim_id").distinct()
+    return directed(claim_relations(touching(links, ids))).join(F.broadcast(ids), "claim_id", "left_semi")
+
+
+def clusters(ids: DataFrame, edges: DataFrame, claims: DataFrame, documents: DataFrame, origins: DataFrame, now: datetime, as_of: datetime | None = None, shown: int = 20) -> DataFrame:
+    """``(claim_id, flags, related)`` of a small set of claims with their ``page_edges``."""
+    ids = ids.select("claim_id").distinct()
+    need = ids.union(edges.select("other_id")).distinct()
+    known = dated_claims(claims.join(need, "claim_id", "left_semi"), documents, origins)
+    if as_of:
+        known = known.where(F.col("collected") <= F.lit(as_of.date()))
+    known = Scratch(claims.sparkSession, "clusters").save(known)
+    flags = flags_of(known.join(F.broadcast(ids), "claim_id", "left_semi"), edges, known, now).select("claim_id", "flags")
+    return flags.join(related_in_order(edges, known, shown), "claim_id", "left")
+
+
 def claim_flags(claims: DataFrame, links: DataFrame, documents: DataFrame, origins: DataFrame, now: datetime, as_of: datetime | None = None) -> DataFrame:
     """Per claim its one-hop cluster and flags.
 
@@ -71,11 +114,16 @@ def claim_flags(claims: DataFrame, links: DataFrame, documents: DataFrame, origi
     known = dated_claims(claims, documents, origins)
     if as_of:
         known = known.where(F.col("collected") <= F.lit(as_of.date()))
+    return flags_of(known, directed(claim_relations(links)), known, now)
+
+
+def flags_of(wanted: DataFrame, edges: DataFrame, known: DataFrame, now: datetime) -> DataFrame:
+    """The rows of ``claim_flags`` for the claims of ``wanted``, from their edges and the dated claims at the other ends."""
     other = known.select(F.col("claim_id").alias("other_id"), F.col("dated").alias("o_dated"), F.col("own_origin").alias("o_origin"), F.col("confirmed").alias("o_confirmed"))
-    edges = directed(claim_relations(links)).join(other, "other_id")
+    edges = edges.join(other, "other_id")
     supports = F.col("relation").isin("same", "supports")
     # one row a claim and origin first: a claim with very many supporters folds map-side, and no list of them is gathered
-    own = known.select("claim_id", "own_origin")
+    own = wanted.select("claim_id", "own_origin")
     by_origin = edges.join(own, "claim_id").groupBy("claim_id", F.when(supports & (F.col("o_origin") != F.col("own_origin")), F.col("o_origin")).alias("other_origin")).agg(
         F.max(F.when(supports, F.col("o_dated"))).alias("sl"), F.min(F.when(supports, F.col("o_dated"))).alias("sf"), F.max(F.when(supports, F.col("o_confirmed"))).alias("sc"),
         F.max(F.when(F.col("relation") == "contradicts", F.col("o_dated"))).alias("al"), F.count_if(F.col("relation") == "contradicts").alias("nc"), F.count_if(F.col("relation") == "superseded_by").alias("ns"), F.count("*").alias("n"),
@@ -84,7 +132,7 @@ def claim_flags(claims: DataFrame, links: DataFrame, documents: DataFrame, origi
         F.count("other_origin").alias("support_origins"), F.max("sl").alias("support_last"), F.min("sf").alias("support_first"), F.max("sc").alias("support_confirmed"), F.max("al").alias("against_last"),
         F.sum("nc").alias("contradictions"), F.sum("ns").alias("superseders"), F.sum("n").alias("related"),
     )
-    c = known.join(cluster, "claim_id", "left")
+    c = wanted.join(cluster, "claim_id", "left")
     count = F.coalesce("support_origins", F.lit(0)) + 1
     last = F.greatest("dated", "support_last")
     first = F.least("dated", "support_first")
@@ -173,8 +221,8 @@ def rule_groups(claims: DataFrame) -> DataFrame:
     return c.join(counts, ["k", "document_id"]).select("claim_id", "group_id", "links")
 
 
-def collapse_superseded(cards: DataFrame, links: DataFrame) -> DataFrame:
-    """Claim cards without those that another card present supersedes."""
+def collapse_superseded(cards: DataFrame, edges: DataFrame) -> DataFrame:
+    """Claim cards (a page of them, with their ``page_edges``) without those that another card present supersedes."""
     present = cards.where("kind = 'claim'").select(F.col("id").alias("other_id"))
-    gone = directed(claim_relations(links)).where("relation = 'superseded_by'").join(present, "other_id", "left_semi").select(F.col("claim_id").alias("id"), F.lit("claim").alias("kind"))
-    return cards.join(gone, ["id", "kind"], "left_anti")
+    gone = edges.where("relation = 'superseded_by'").join(F.broadcast(present), "other_id", "left_semi").select(F.col("claim_id").alias("id"), F.lit("claim").alias("kind")).distinct()
+    return cards.join(F.broadcast(gone), ["id", "kind"], "left_anti")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,8 @@ from attestor.functions.identity import on_domain
 from attestor.functions.text import informative, words
 from attestor.operators.joins import cosine_to
 from attestor.operators.ranking import cap_per, top
-from attestor.session import spread
+from attestor.plans.claims import clusters, collapse_superseded, page_edges
+from attestor.session import Scratch, spread
 
 # Constants of fusion, discounts and caps.
 FUSION, CAP, DEPTH, LEAST_DEPTH, VOLATILE_DAYS = 60, 2, 5, 50, 365
@@ -95,15 +98,39 @@ def bounded(q: Query) -> bool:
 
 
 def text_arm(rows: DataFrame, q: Query, id_col: str) -> DataFrame:
-    """``(id, text_rank, text_hits)``: most occurrences of the query's words first."""
+    """``(id, text_rank, text_hits)``: most occurrences of the query's words first.
+
+    A look for any of the words' letters drops most rows before a text is cut
+    into words.
+    """
     if not q.terms:
         return rows.sparkSession.createDataFrame([], "id long, text_hits int, text_rank int")
+    low = F.lower("text")
+    may = reduce(lambda a, b: a | b, [low.contains(t) for t in q.terms])
     hits = F.size(F.filter(words(F.col("text")), lambda x: x.isin(q.terms)))
-    found = spread(rows.select(F.col(id_col).alias("id"), "text")).select("id", hits.alias("text_hits")).where(F.col("text_hits") > 0)
+    found = spread(rows.select(F.col(id_col).alias("id"), "text").where(may)).select("id", hits.alias("text_hits")).where(F.col("text_hits") > 0)
     found = found.groupBy("id").agg(F.max("text_hits").alias("text_hits"))  # repeated rows fold here, without their texts
     return top(found, [F.desc("text_hits"), F.col("id")], q.depth, "text_rank")
 
 
+def term_table(passages: DataFrame, id_col: str = "passage_id") -> DataFrame:
+    """``(term, id, hits)``: the words of all texts, for queries that are to read no text.
+
+    Built once at ingest and written bucketed or partitioned by term; repeated
+    rows count once.  ``term_arm`` asks it.
+    """
+    one = passages.where("text is not null").groupBy(F.col(id_col).alias("id")).agg(F.first("text").alias("text"))
+    return one.select("id", F.explode(words(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("hits"))
+
+
+def term_arm(terms: DataFrame, q: Query, ids: DataFrame | None = None) -> DataFrame:
+    """What ``text_arm`` gives, from a term table; ``ids`` (id) are those that the query's filters leave."""
+    some = terms.where(F.col("term").isin(q.terms))
+    if ids is not None:
+        some = some.join(ids, "id", "left_semi")
+    return top(some.groupBy("id").agg(F.sum("hits").cast("int").alias("text_hits")), [F.desc("text_hits"), F.col("id")], q.depth, "text_rank")
+
+
 def vector_arm(vectors: DataFrame, q: Query, id_col: str) -> DataFrame:
     """``(id, vector_rank, similarity)``: the query model's vectors by cosine."""
     sim = vectors.where((F.col("embed_model") == q.embed_model) & F.col("embedding").isNotNull())
@@ -112,24 +139,48 @@ def vector_arm(vectors: DataFrame, q: Query, id_col: str) -> DataFrame:
     return top(sim, [F.desc(F.round("similarity", 9)), F.col("id")], q.depth, "vector_rank")
 
 
-def find(q: Query, passages: DataFrame, claims: DataFrame, vectors: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ranked cards ``kind, id, document_id, title, site, score, similarity, ...``.
+def held(rows: DataFrame, most: int) -> DataFrame:
+    """A result of at most ``most`` rows as a table of the driver."""
+    return rows.sparkSession.createDataFrame(rows.limit(most).collect(), rows.schema)
+
+
+def _ranks(arms: list[DataFrame | None]) -> list[list]:
+    """The rows of the arms, each of the query's depth at most; their jobs run side by side."""
+    with ThreadPoolExecutor(max(1, len(arms))) as pool:
+        return list(pool.map(lambda a: a.collect() if a is not None else [], arms))
+
+
+def find(
+    q: Query, passages: DataFrame, claims: DataFrame, vectors: DataFrame, documents: DataFrame, links: DataFrame | None = None, origins: DataFrame | None = None,
+    passage_vectors: DataFrame | None = None, terms: DataFrame | None = None,
+) -> DataFrame:
+    """Ranked cards ``kind, id, document_id, title, site, score, similarity, ...``, at most ``limit``.
 
     ``documents`` has one row a document with site, title, dates and origin
-    (primary or synthesis).  Without a query vector the vector arm is left out.
-    Filters act inside the arms; ids are ranked before texts are fetched; at
-    most CAP cards a document and kind remain, ties by kind and id.
+    (primary or synthesis, whose passages are of kind report).  Claims have
+    ``vectors`` (claim_id), passages perhaps ``passage_vectors`` (passage_id);
+    without a query vector only texts are ranked.  Filters act inside the arms;
+    ids are ranked before texts are fetched; at most CAP cards a document and
+    kind remain, ties by kind and id.  Of twice the limit, with ``links`` (and
+    ``origins``), claims that another card supersedes are left out, and the
+    rest carry their ``flags`` and ``related`` claims.  ``terms`` is the
+    passages' term table, if there is one.
     """
+    kinds = set(q.kinds) or set(KINDS)
     docs = documents.where(bounds(q))
+    if not {"passage", "report"} <= kinds and "claim" not in kinds:
+        docs = docs.where(F.col("origin") == ("synthesis" if "report" in kinds else "primary"))
     arms = []
-    kinds = set(q.kinds) or set(KINDS)
     if kinds & {"passage", "report"}:
         p = passages
-        if bounded(q):
-            p = p.join(docs.select("document_id"), "document_id", "left_semi")
+        pdocs = docs if {"passage", "report"} <= kinds else docs.where(F.col("origin") == ("synthesis" if "report" in kinds else "primary"))
+        if bounded(q) or not {"passage", "report"} <= kinds:
+            p = p.join(pdocs.select("document_id"), "document_id", "left_semi")
         if q.run:
             p = p.where(F.col("run_id") == q.run)
-        arms.append((text_arm(p, q, "passage_id"), None, p, "passage_id"))
+        by_text = text_arm(p, q, "passage_id") if terms is None else term_arm(terms, q, p.select(F.col("passage_id").alias("id")).distinct() if p is not passages else None)
+        v = passage_vectors.join(p.select("passage_id").distinct(), "passage_id", "left_semi") if q.vector and passage_vectors is not None else None
+        arms.append((by_text, vector_arm(v, q, "passage_id") if v is not None else None, p, "passage_id"))
     if "claim" in kinds:
         c = claims.where("quote_verified")
         if bounded(q):
@@ -137,15 +188,21 @@ def find(q: Query, passages: DataFrame, claims: DataFrame, vectors: DataFrame, d
         v = vectors.join(c.select("claim_id"), "claim_id", "left_semi") if q.vector else None
         arms.append((text_arm(c, q, "claim_id"), vector_arm(v, q, "claim_id") if q.vector else None, c, "claim_id"))
     cards = None
-    for by_text, by_vector, rows, id_col in arms:
-        ids = by_text.join(by_vector, "id", "full") if by_vector is not None else by_text.withColumn("vector_rank", F.lit(None).cast("int")).withColumn("similarity", F.lit(None).cast("double"))
+    found = _ranks([x for by_text, by_vector, *_ in arms for x in (by_text, by_vector)])
+    for n, (_, _, rows, id_col) in enumerate(arms):
+        ranks: dict[int, list] = {}
+        for r in found[2 * n]:
+            ranks.setdefault(r.id, [r.id, None, None, None])[1] = r.text_rank
+        for r in found[2 * n + 1]:
+            ranks.setdefault(r.id, [r.id, None, None, None])[2:] = [r.vector_rank, r.similarity]
+        ids = rows.sparkSession.createDataFrame(list(ranks.values()), "id long, text_rank int, vector_rank int, similarity double")
         is_claim = id_col == "claim_id"
         extra = [F.col("as_of"), F.col("volatile")] if is_claim else [F.lit(None).cast("string").alias("as_of"), F.lit(False).alias("volatile")]
-        some = rows.select(F.col(id_col).alias("id"), "document_id", "text", *extra)
-        # at most 2 x depth ids meet the texts
+        # at most 2 x depth ids meet the texts: the scan is asked for them alone
+        some = rows.where(F.col(id_col).isin(list(ranks))).select(F.col(id_col).alias("id"), "document_id", "text", *extra)
         card = some.join(F.broadcast(ids), "id").dropDuplicates(["id"]).withColumn("kind", F.lit("claim" if is_claim else "passage"))
         cards = card if cards is None else cards.unionByName(card)
-    cards = cards.join(docs, "document_id")
+    cards = docs.join(F.broadcast(cards), "document_id")
     kind = F.when(F.col("kind") == "claim", "claim").when(F.col("origin") == "synthesis", "report").otherwise("passage")
     cards = cards.withColumn("kind", kind).where(F.col("kind").isin(*kinds))
 
@@ -162,9 +219,20 @@ def find(q: Query, passages: DataFrame, claims: DataFrame, vectors: DataFrame, d
     label = age_label(
         date_of(F.col("as_of")), precision_of(F.col("as_of")), date_of(F.col("published")), precision_of(F.col("published")), F.col("published_weak"), F.col("published_from"), F.col("first_fetched_at"), F.lit(q.now)
     )
-    cards = cards.orderBy(*order).limit(2 * q.limit)
-    return cards.select(
-        "kind", "id", "document_id", "title", "site", F.round("raw", 6).alias("score"), F.round("similarity", 4).alias("similarity"), "text_rank", "vector_rank", label.alias("age"), "text"
+    # twice the limit, so that the collapse still leaves enough
+    picked = cards.orderBy(*order).limit(2 * q.limit).withColumn("age", label)
+    none = F.lit(None).cast("string")
+    if links is not None and "claim" in kinds:
+        picked = held(picked, 2 * q.limit)  # a page of cards, read several times
+        ids = picked.where("kind = 'claim'").select(F.col("id").alias("claim_id"))
+        edges = Scratch(passages.sparkSession, "edges").save(page_edges(ids, links))
+        kept = collapse_superseded(picked, edges).orderBy(*order).limit(q.limit)
+        near = clusters(ids, edges, claims, documents, origins, q.now, q.as_of).select(F.col("claim_id").alias("id"), F.lit("claim").alias("kind"), "flags", "related")
+        picked = kept.join(near, ["id", "kind"], "left")
+    else:
+        picked = picked.limit(q.limit).withColumn("flags", none).withColumn("related", none)
+    return picked.orderBy(*order).select(
+        "kind", "id", "document_id", "title", "site", F.round("raw", 6).alias("score"), F.round("similarity", 4).alias("similarity"), "text_rank", "vector_rank", "age", "flags", "related", "text"
     )
 
 

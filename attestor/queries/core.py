@@ -8,22 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.dates import date_of, date_text, precision_of
-from attestor.functions.identity import doi_of, domain_of, fetchable, hash63, slug, source_kind, url_key
+from attestor.functions.identity import doi_of, domain_of, fetchable, hash63, on_domain, slug, source_kind, url_key
 from attestor.functions.passages import passages as passages_of
 from attestor.functions.passages import sentences
 from attestor.functions.quotes import locate_quote
 from attestor.functions.records import content_kind, document_quote
-from attestor.functions.text import informative, quote_key, share_term, words
+from attestor.functions.text import clean_text, informative, quote_key, share_term, words
 from attestor.operators import joins, merge, ranking
 from attestor.operators.components import components
 from attestor.plans import claims as claim_plans
-from attestor.plans import find, graph, origins, reports, store
+from attestor.plans import context, find, graph, origins, reports, store, work
 from attestor.session import Scratch, spread
+from attestor.sources import sinks
+from attestor.sources.files import line_range
 from attestor.sources.tables import table
 
 FLAGSHIP = "hybrid_find"
@@ -35,7 +38,7 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return f(lambda name: table(spark, folder, name))
+            return f(cache(lambda name: table(spark, folder, name)))
 
         QUERIES[f.__name__] = run
         if sql:
@@ -302,24 +305,29 @@ dir as (select from_claim as claim_id, to_claim as other_id, relation from live
   union all select to_claim, from_claim, case relation when 'refines' then 'refined_by' when 'supersedes' then 'superseded_by' else relation end from live)"""
 
 
-@query(
-    f"""
-with {_REL}, {_DIRECTED}, {_DATED},
+_FLAGGED = """
 cl as (select d.claim_id, list(distinct o.own_origin) filter (where relation in ('same', 'supports')) as so,
   max(o.dated) filter (where relation in ('same', 'supports')) as sl, min(o.dated) filter (where relation in ('same', 'supports')) as sf,
   max(o.confirmed) filter (where relation in ('same', 'supports')) as sc, max(o.dated) filter (where relation = 'contradicts') as al,
   count(*) filter (where relation = 'contradicts') as nc, count(*) filter (where relation = 'superseded_by') as ns, count(*) as related
   from dir d join known o on o.claim_id = d.other_id group by 1),
 j as (select k.*, so, sl, sf, sc, al, nc, ns, related, greatest(dated, coalesce(sl, dated)) as last, least(dated, coalesce(sf, dated)) as first,
-   len(list_distinct(list_concat(coalesce(so, []), [own_origin]))) as origins from known k left join cl using (claim_id))
-select claim_id, document_id, origins, coalesce(related, 0) as related, strftime(dated, '%Y-%m-%d') as dated,
+   len(list_distinct(list_concat(coalesce(so, []), [own_origin]))) as origins from known k left join cl using (claim_id)),
+flagged as (select claim_id, document_id, origins, coalesce(related, 0) as related, strftime(dated, '%Y-%m-%d') as dated,
   case when year(first) <> year(last) then year(first)::varchar || '-' || year(last)::varchar end as support_dates,
   strftime(greatest(confirmed, coalesce(sc, confirmed)), '%Y-%m-%d') as last_confirmed,
   case when origins >= 2 then 'reinforced' else 'single_origin' end || case when coalesce(nc, 0) > 0 then ',contested' else '' end
    || case when al > last then ',newer_contradiction' else '' end || case when coalesce(ns, 0) > 0 then ',superseded' else '' end
    || case when volatile and date '2026-12-01' - last > 30 then ',possibly_outdated' else '' end as flags
-from j"""
-)
+from j)"""
+_NEAR = """
+shown as (select d.claim_id, d.relation || ' ' || d.other_id::varchar || ' ' || strftime(k.dated, '%Y-%m-%d') as line,
+  row_number() over (partition by d.claim_id order by list_position(['superseded_by', 'contradicts', 'same', 'supports', 'refined_by', 'refines', 'supersedes'], d.relation), k.dated desc, d.other_id) as r
+  from dir d join known k on k.claim_id = d.other_id),
+near as (select claim_id, string_agg(line, '; ' order by r) as related from shown where r <= 20 group by 1)"""
+
+
+@query(f"with {_REL}, {_DIRECTED}, {_DATED}, {_FLAGGED} select * from flagged")
 def claim_flags(t) -> DataFrame:
     """Every claim's one-hop cluster and its flags."""
     return claim_plans.claim_flags(t("claims"), t("claim_links"), merge.fold_documents(t("fetches")), t("origins"), NOW)
@@ -398,6 +406,17 @@ def quote_anchors(t) -> DataFrame:
     return at.select("claim_id", "quote_verified", "char_start", "char_end", (F.col("base") + F.col("at.char_start")).alias("found_start"), (F.col("base") + F.col("at.char_end")).alias("found_end"))
 
 
+def _nearest(t, only: DataFrame | None = None) -> DataFrame:
+    """The 20 nearest of every claim whose id is divisible by 100, among all claims or those of ``only``."""
+    v = F.col("embedding")
+    ok = v.isNotNull() & (F.size(v) == 96) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    rows = t("claim_vectors").where(ok)
+    rows = rows if only is None else rows.join(only, "claim_id", "left_semi")
+    rows = rows.groupBy("claim_id").agg(F.max_by(F.struct("embed_model", "embedding"), "embedded_at").alias("x"))
+    rows = rows.select(F.col("claim_id").alias("id"), F.col("x.embed_model").alias("model"), F.col("x.embedding").alias("v"))
+    return joins.nearest_of_some(rows, rows.where("id % 100 = 0"), 20)
+
+
 @query(
     """
 with v as (select claim_id as id, embed_model as model, embedding::double[] as e from (select *, row_number() over (partition by claim_id order by embedded_at desc) as n from claim_vectors
@@ -408,15 +427,34 @@ select query_id, id, round(sim, 6) as similarity, rank from r where rank <= 20""
 )
 def nearest_claims(t) -> DataFrame:
     """Exactly the 20 nearest claims of every claim whose id is divisible by 100."""
-    v = F.col("embedding")
-    ok = v.isNotNull() & (F.size(v) == 96) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
-    rows = t("claim_vectors").where(ok).groupBy("claim_id").agg(F.max_by(F.struct("embed_model", "embedding"), "embedded_at").alias("x"))
-    rows = rows.select(F.col("claim_id").alias("id"), F.col("x.embed_model").alias("model"), F.col("x.embedding").alias("v"))
-    near = joins.nearest_of_some(rows, rows.where("id % 100 = 0"), 20)
+    near = _nearest(t)
     near = ranking.cap_per(near, ["query_id"], [F.desc("similarity"), F.col("id")], 20, "rank")
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+_NEAREST = """
+v as (select claim_id as id, embed_model as model, embedding::double[] as e from (select *, row_number() over (partition by claim_id order by embedded_at desc) as n from claim_vectors
+   where embedding is not null and len(embedding) = 96 and not list_contains(list_transform(embedding, lambda x: isnan(x)), true) and list_sum(list_transform(embedding, lambda x: x * x)) > 0) where n = 1
+   and claim_id in (select claim_id from claims where quote_verified)),
+ s as (select q.id as query_id, v.id, round(list_cosine_similarity(q.e, v.e), 9) as sim from v q join v on v.model = q.model and v.id <> q.id where q.id % 100 = 0),
+ n20 as (select *, row_number() over (partition by query_id order by sim desc, id) as r from s qualify r <= 20)"""
+
+
+@query(
+    f"""
+with {_NEAREST}, o as (select document_id, min(origin_id) as root from origins group by 1),
+ c as (select claim_id, coalesce(root, document_id) as root from (select claim_id, any_value(document_id) as document_id from claims where quote_verified group by 1) left join o using (document_id)),
+ p as (select query_id as claim_id, id as near_id, sim from n20 join c a on a.claim_id = query_id join c b on b.claim_id = id where a.root <> b.root and sim >= 0.75
+   and not exists (select 1 from claim_links l where (l.from_claim = query_id and l.to_claim = id) or (l.from_claim = id and l.to_claim = query_id)))
+select claim_id, near_id, round(sim, 6) as similarity, row_number() over (partition by claim_id order by sim desc, near_id) as rank from p qualify rank <= 5"""
+)
+def linking_neighbours(t) -> DataFrame:
+    """Of every asked claim's nearest ones the first five of another origin, close enough and without a link (ids divisible by 100 against all)."""
+    near = _nearest(t, t("claims").where("quote_verified").select("claim_id").distinct())
+    out = work.new_neighbours(near, t("claims"), t("claim_links"), t("origins"))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     f"""
 with {_REL}, {_DIRECTED}, d as (select claim_id, any_value(document_id) as document_id from claims group by 1)
@@ -494,38 +532,59 @@ def informative_score(t) -> DataFrame:
     return d.select("doc_id", F.size(words(F.col("text"))).alias("words"), F.round(informative(F.col("text")), 6).alias("informative"))
 
 
-@query(
-    rf"""
-with one as (select claim_id, any_value(document_id) as document_id, any_value(text) as text, any_value(as_of) as as_of, any_value(volatile) as volatile from claims where quote_verified group by 1),
-docs as (select document_id, arg_min(published, (case when coalesce(published_weak, false) then 1 else 0 end) * 1000000000 + o) filter (where published is not null) as published,
+def _documents(t) -> DataFrame:
+    """One row a document with its site."""
+    site = t("sources").select("source_id", domain_of(F.col("url_key")).alias("site"))
+    return merge.fold_documents(t("fetches")).join(site, "source_id", "left").withColumn("origin", F.lit("primary"))
+
+
+_FIND = rf"""
+vone as (select claim_id, any_value(document_id) as document_id, any_value(text) as text, any_value(as_of) as as_of, any_value(volatile) as volatile from claims where quote_verified group by 1),
+vdocs as (select document_id, arg_min(published, (case when coalesce(published_weak, false) then 1 else 0 end) * 1000000000 + o) filter (where published is not null) as published,
    arg_min(title, o) filter (where title is not null and title <> '') as title, min(source_id) as source_id, min(attempted_at)::date as collected
   from (select *, row_number() over (order by attempted_at, run_id, seq) as o from fetches where document_id is not null) group by 1),
 q as (select arg_min(embedding, claim_id)::double[] as v from claim_vectors where embed_model = 'sprat-embed-v2' and len(embedding) = 96 and not list_contains(list_transform(embedding, lambda x: isnan(x)), true) and list_sum(list_transform(embedding, lambda x: x * x)) > 0),
 pt as (select passage_id as id, row_number() over (order by hits desc, passage_id) as text_rank from (select passage_id, len(list_filter({_W}, lambda x: x in {_TERMS})) as hits from (select distinct passage_id, text from passages)) where hits > 0 qualify text_rank <= 50),
-ct as (select claim_id as id, row_number() over (order by hits desc, claim_id) as text_rank from (select claim_id, len(list_filter({_W}, lambda x: x in {_TERMS})) as hits from one) where hits > 0 qualify text_rank <= 50),
+ct as (select claim_id as id, row_number() over (order by hits desc, claim_id) as text_rank from (select claim_id, len(list_filter({_W}, lambda x: x in {_TERMS})) as hits from vone) where hits > 0 qualify text_rank <= 50),
 cv as (select id, round(s, 9) as s, row_number() over (order by round(s, 9) desc, id) as vector_rank from (select claim_id as id, max(list_cosine_similarity(embedding::double[], (select v from q))) as s from claim_vectors
-   where embed_model = 'sprat-embed-v2' and len(embedding) = 96 and not list_contains(list_transform(embedding, lambda x: isnan(x)), true) and list_sum(list_transform(embedding, lambda x: x * x)) > 0 and claim_id in (select claim_id from one) group by 1) where s >= 0.5 qualify vector_rank <= 50),
+   where embed_model = 'sprat-embed-v2' and len(embedding) = 96 and not list_contains(list_transform(embedding, lambda x: isnan(x)), true) and list_sum(list_transform(embedding, lambda x: x * x)) > 0 and claim_id in (select claim_id from vone) group by 1) where s >= 0.5 qualify vector_rank <= 50),
 cards as (select 'passage' as kind, p.passage_id as id, p.document_id, p.text, null as as_of, false as volatile, text_rank, null::bigint as vector_rank, null::double as s from pt join (select distinct passage_id, document_id, text from passages) p on p.passage_id = pt.id
-  union all select 'claim', one.claim_id, one.document_id, one.text, one.as_of, one.volatile, text_rank, vector_rank, s from (select coalesce(ct.id, cv.id) as id, text_rank, vector_rank, s from ct full join cv on ct.id = cv.id) m join one on one.claim_id = m.id),
+  union all select 'claim', vone.claim_id, vone.document_id, vone.text, vone.as_of, vone.volatile, text_rank, vector_rank, s from (select coalesce(ct.id, cv.id) as id, text_rank, vector_rank, s from ct full join cv on ct.id = cv.id) m join vone on vone.claim_id = m.id),
 scored as (select cards.*, title, (coalesce(1 / (60.0::double + text_rank), 0) + coalesce(1 / (60.0::double + vector_rank), 0))
    * case when kind = 'claim' or len({_W}) < 40 then 1.0::double else greatest(0.2::double, least(1.0::double, len(list_distinct({_W})) / len({_W}) / 0.25::double)) end
    * case when volatile then pow(0.5::double, (date '2026-12-01' - coalesce(
       case when regexp_matches(trim(as_of), '^\d{{4}}-\d{{2}}-\d{{2}}$') then try_cast(trim(as_of) as date) when regexp_matches(trim(as_of), '^\d{{4}}-\d{{2}}$') then try_cast(trim(as_of) || '-01' as date) when regexp_matches(trim(as_of), '^\d{{4}}$') then try_cast(trim(as_of) || '-01-01' as date) end,
       case when regexp_matches(trim(published), '^\d{{4}}-\d{{2}}-\d{{2}}$') then try_cast(trim(published) as date) when regexp_matches(trim(published), '^\d{{4}}-\d{{2}}$') then try_cast(trim(published) || '-01' as date) when regexp_matches(trim(published), '^\d{{4}}$') then try_cast(trim(published) || '-01-01' as date) end,
-      collected)) / 365.0::double) else 1.0::double end as raw from cards join docs using (document_id)),
-capped as (select *, row_number() over (partition by document_id, kind order by round(raw, 12) desc, kind, id) as n from scored)
-select kind, id, document_id, title, round(raw, 6) as score, round(s, 4) as similarity, text_rank, vector_rank from capped where n <= 2 order by round(raw, 12) desc, kind, id limit 20"""
+      collected)) / 365.0::double) else 1.0::double end as raw from cards join vdocs using (document_id)),
+capped as (select *, row_number() over (partition by document_id, kind order by round(raw, 12) desc, kind, id) as n from scored),
+picked as (select * from capped where n <= 2 order by round(raw, 12) desc, kind, id limit 20),
+gone as (select d.claim_id from dir d join picked a on a.kind = 'claim' and a.id = d.claim_id join picked b on b.kind = 'claim' and b.id = d.other_id where d.relation = 'superseded_by'),
+kept as (select * from picked where kind <> 'claim' or id not in (select claim_id from gone) order by round(raw, 12) desc, kind, id limit 10)"""
+
+
+@query(
+    f"""
+with {_REL}, {_DIRECTED}, {_DATED}, {_FLAGGED}, {_NEAR}, {_FIND}
+select kind, id, kept.document_id, title, round(raw, 6) as score, round(s, 4) as similarity, text_rank, vector_rank, flagged.flags, near.related
+from kept left join flagged on kind = 'claim' and flagged.claim_id = id left join near on kind = 'claim' and near.claim_id = id"""
 )
 def hybrid_find(t) -> DataFrame:
     """The flagship: text and vector arms over passages and claims, fused, discounted and capped."""
     v = t("claim_vectors").where((F.col("embed_model") == "sprat-embed-v2") & (F.size("embedding") == 96) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
     first = v.agg(F.min_by("embedding", "claim_id").alias("v")).first()  # the query vector: one row
-    docs = merge.fold_documents(t("fetches")).join(t("sources").select("source_id", domain_of(F.col("url_key")).alias("site")), "source_id", "left").withColumn("origin", F.lit("primary"))
     q = find.Query(_Q, limit=10, vector=tuple(first.v or ()), embed_model="sprat-embed-v2", min_similarity=0.5, now=NOW)
-    return find.find(q, t("passages"), t("claims"), v, docs).drop("site", "age", "text")
+    docs = Scratch(v.sparkSession, "documents").save(_documents(t))  # in a store they are a table
+    return find.find(q, t("passages"), t("claims"), v, docs, t("claim_links"), t("origins")).drop("site", "age", "text")
 
 
-@query()
+@query(
+    rf"""
+with q as (select item_id as query_id, list_filter(list_distinct(regexp_split_to_array(lower(string_split(text, chr(10))[-1]), '[^\p{{L}}\p{{Nd}}]+')), lambda x: x <> '' and x not in ({', '.join(f"'{w}'" for w in find.STOP)})) as terms from eval_items where text is not null),
+w as (select passage_id, unnest({_W}) as word from (select distinct passage_id, text from passages where text is not null)),
+tf as (select passage_id, word, count(*) as n from w group by 1, 2),
+h as (select query_id, passage_id, sum(n)::bigint as hits from (select query_id, unnest(terms) as word from q) t join tf using (word) group by 1, 2)
+select query_id, passage_id, hits, row_number() over (partition by query_id order by hits desc, passage_id) as rank from h qualify rank <= 10"""
+)
 def batch_find(t) -> DataFrame:
     """Ten best passages for every test item's question, all passages read once."""
     q = t("eval_items").select(F.col("item_id").alias("query_id"), F.element_at(F.split("text", "\n"), -1).alias("text"))
@@ -627,7 +686,13 @@ def fair_shares(t) -> DataFrame:
     return ranking.fair_shares(d, ["run_id"], "need", 50_000)
 
 
-@query()
+@query(
+    """
+with d as (select doc_id, content_kind, coalesce(lang, '?') as lang from documents where text is not null),
+ r as (select *, row_number() over (partition by content_kind, lang order by md5(doc_id::varchar || ' 11'), doc_id) as round from d),
+ p as (select *, row_number() over (partition by content_kind order by round, lang) as pick from r where round <= 20)
+select doc_id, content_kind, lang, pick from p where pick <= 20"""
+)
 def review_sample(t) -> DataFrame:
     """Twenty reports per content kind, round-robin over languages, in seeded order."""
     d = t("documents").where("text is not null").select("doc_id", "content_kind", F.coalesce("lang", F.lit("?")).alias("lang"))
@@ -651,7 +716,15 @@ def cited_by_min(t) -> DataFrame:
     return graph.cited_at_least(nodes, edges, 25)
 
 
-@query()
+@query(
+    r"""
+with d as (select doc_id, unnest(regexp_extract_all(text, 'https?://[^\s<>"''`\]\[{}|\\^]+')) as raw from documents where text is not null),
+u as (select doc_id, regexp_replace(raw, '[.,;:!?*_''"]+$', '') as url0 from d),
+v as (select doc_id, case when url0 like '%)' and len(url0) - len(replace(url0, ')', '')) > len(url0) - len(replace(url0, '(', '')) then regexp_replace(url0, '[).,;:!?*_''"]+$', '') else url0 end as url from u),
+k as (select doc_id, url, regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')
+   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[^=]*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|_ga)(=|$)'))), '&'), ''), '') as key from v where len(url) > 8)
+select key, min(url) as url, count(distinct doc_id) as cited from k group by 1"""
+)
 def bibliography(t) -> DataFrame:
     """Reports' listed URLs as a graph of references: how many reports cite each page."""
     return graph.bibliography(t("documents"))
@@ -792,3 +865,224 @@ def shared_passages(t) -> DataFrame:
 def call_totals(t) -> DataFrame:
     """Per arm: calls, cost and errors (orders stand in for a call log)."""
     return t("orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(F.count("*").alias("calls"), F.round(F.sum("o_totalprice"), 2).alias("cost"), F.count_if(F.col("o_orderstatus") == "F").alias("errors"))
+
+
+# ---------------------------------------------------------------- more of the store's questions
+
+
+@query(f"with {_REL}, {_DIRECTED}, {_DATED}, {_NEAR} select claim_id, related from near")
+def claim_clusters(t) -> DataFrame:
+    """Every linked claim's relatives in order, twenty at most."""
+    known = claim_plans.dated_claims(t("claims"), _documents(t), t("origins"))
+    return claim_plans.related_in_order(claim_plans.directed(claim_plans.claim_relations(t("claim_links"))), known, 20)
+
+
+@query(
+    r"""
+with m as (select doc_id, unnest(regexp_extract_all(text, '\[(?:E\d+|[PCS]:\d+)\]')) as mark, unnest(range(len(regexp_extract_all(text, '\[(?:E\d+|[PCS]:\d+)\]')))) as ord from documents where content_kind = 'report' and text is not null),
+k as (select doc_id, mark, min(ord) as ord, mark[2:2] as kind, try_cast(regexp_extract(mark, '\d+') as bigint) as target from m group by doc_id, mark),
+p as (select distinct passage_id, document_id from passages), c as (select claim_id, any_value(passage_id) as passage_id from claims group by 1),
+j as (select doc_id, ord, mark, coalesce(p.passage_id, c.passage_id) as passage_id, kind from k left join p on kind = 'P' and p.passage_id = target left join c on kind = 'C' and c.claim_id = target where kind in ('P', 'C')),
+r as (select j.*, row_number() over (partition by doc_id order by ord, mark) as n from j join p using (passage_id))
+select doc_id, ord, mark[2:-2] as marker, passage_id from r where n <= 50"""
+)
+def cited_evidence(t) -> DataFrame:
+    """The passages that reports' first fifty P and C marks show to a critic."""
+    found = reports.marks(t("documents").where("content_kind = 'report'"))
+    cards = t("passages").dropDuplicates(["passage_id"]).select("passage_id", "document_id", F.col("passage_id").cast("string").alias("text"), *[F.lit("x").alias(c) for c in ("site", "title", "age", "kind")])
+    shown = reports.cited_evidence(found, cards, t("claims").withColumn("flags", F.lit("")))
+    return shown.select("doc_id", "ord", "marker", F.regexp_extract("content", r"(\d+)$", 1).cast("long").alias("passage_id"))
+
+
+@query(
+    f"""
+with {_F}, s as (select run_id, seq, source_id, any_value(attempted_at) as met from fetches group by 1, 2, 3)
+select source_id, run_id, seq, row_number() over (partition by source_id order by met desc, run_id desc, seq desc) as rank from s qualify rank <= 20"""
+)
+def latest_sightings(t) -> DataFrame:
+    """Where each source was last met, by run and number (fetches stand for sightings and their captures)."""
+    f = store.deliveries(t("fetches"))
+    seen = f.select("run_id", "seq", "source_id", F.lit(0).alias("ord"))
+    out = store.latest_sightings(seen, f.select("run_id", "seq", F.col("attempted_at").alias("captured_at")))
+    return out.select("source_id", "run_id", "seq", "rank")
+
+
+@query("select distinct document_id from fetches where document_id is not null and document_id not in (select document_id from origins)")
+def ungrouped_documents(t) -> DataFrame:
+    return store.ungrouped_documents(merge.fold_documents(t("fetches")).withColumn("origin", F.lit("primary")), t("origins"))
+
+
+@query(
+    """
+with e as (select distinct from_claim, to_claim, relation from claim_links), n as (select claim_id, any_value(text) as text, any_value(extractor) as x from claims group by 1),
+s as (select from_claim as node_id, 'outgoing' as direction, relation, to_claim as other_id from e union all select to_claim, 'incoming', relation, from_claim from e)
+select node_id, direction, relation as type, other_id, text as other_title, x as other_type from s left join n on claim_id = other_id"""
+)
+def described_edges(t) -> DataFrame:
+    """Links of claims from both ends, with what stands at the other."""
+    e = t("claim_links").select(F.col("from_claim").alias("from_id"), F.col("to_claim").alias("to_id"), F.col("relation").alias("type")).distinct()
+    n = t("claims").groupBy("claim_id").agg(F.min("text").alias("title"), F.min("extractor").alias("type")).withColumnRenamed("claim_id", "id")
+    return graph.described_edges(e, n)
+
+
+@query(
+    """
+with s as (select source_id, url_key, first_seen_at, row_number() over (partition by url_key order by first_seen_at, source_id) as n from sources where doi is null),
+ k as (select url_key from sources where doi is not null)
+select url_key as key, source_id as node_id from s where n = 1 and url_key not in (select url_key from k)"""
+)
+def adopted_keys(t) -> DataFrame:
+    """Keys that sources without one take (those with a DOI have theirs already)."""
+    s = t("sources").select(F.col("source_id").alias("id"), F.lit("source").alias("type"), "url", F.col("first_seen_at").alias("created_at"), "url_key", "doi")
+    known = s.where("doi is not null").select(F.col("url_key").alias("key"), F.col("id").alias("node_id"))
+    return graph.adopted_keys(s.drop("url_key", "doi"), known)
+
+
+@query(
+    r"""
+with e as (select url_key as key, f.run_id as book, f.seq as pos, f.via as author, f.content_kind as kind, f.published as date, f.title as note from (select *, row_number() over (partition by run_id, seq) as _d from fetches) f join sources using (source_id) where _d = 1),
+a as (select key, arg_min(trim(author), (book, pos)) filter (where trim(coalesce(author, '')) <> '') as author, arg_min(trim(kind), (book, pos)) filter (where trim(coalesce(kind, '')) <> '') as kind,
+  arg_min(trim(date), (book, pos)) filter (where trim(coalesce(date, '')) <> '') as date, list_sort(list(distinct book)) as books from e group by 1),
+n as (select key, book, trim(note) as note, min(pos) as pos from e where trim(coalesce(note, '')) <> '' group by 1, 2, 3),
+m as (select key, string_agg(book || '=' || note, '|' order by book, pos, note) as notes from n group by 1)
+select s.url_key as key, author, a.kind, date, array_to_string(coalesce(books, []), ',') as books, coalesce(notes, '') as notes, coalesce(len(books), 0) > 0 as changed
+from (select distinct url_key from sources) s left join a on a.key = s.url_key left join m on m.key = s.url_key"""
+)
+def merged_metadata(t) -> DataFrame:
+    """What the runs' fetches say of each source, merged into its metadata (runs stand for books)."""
+    f = store.deliveries(t("fetches")).join(t("sources").select("source_id", F.col("url").alias("source_url")), "source_id")
+    entries = f.select(F.col("run_id").alias("book"), F.col("seq").alias("pos"), F.col("source_url").alias("url"), F.col("via").alias("author"), F.col("content_kind").alias("type"), F.col("published").alias("date"), F.col("title").alias("notes"))
+    empty = [F.lit(None).cast(k).alias(c) for c, k in (("author", "string"), ("kind", "string"), ("date", "string"), ("books", "array<string>"), ("notes", "map<string,array<string>>"))]
+    m = graph.merged_metadata(t("sources").select(F.col("url_key").alias("key")).distinct().select("key", *empty), entries)
+    notes = F.flatten(F.transform(F.array_sort(F.map_entries("notes")), lambda e: F.transform(e["value"], lambda n: F.concat(e["key"], F.lit("="), n))))
+    return m.select("key", "author", "kind", "date", F.array_join("books", ",").alias("books"), F.array_join(notes, "|").alias("notes"), "changed")
+
+
+@query(
+    rf"""
+with d as (select document_id, min(source_id) as source_id, min(attempted_at) as at, arg_min(published, (case when coalesce(published_weak, false) then 1 else 0 end) * 1000000000 + o) filter (where published is not null) as published
+  from (select *, row_number() over (order by attempted_at, run_id, seq) as o from fetches where document_id is not null) group by 1),
+x as (select document_id, regexp_extract(url_key, '^[^/?]*') as site,
+  case when regexp_matches(trim(published), '^\d{{4}}-\d{{2}}-\d{{2}}$') then try_cast(trim(published) as date) when regexp_matches(trim(published), '^\d{{4}}-\d{{2}}$') then try_cast(trim(published) || '-01' as date) when regexp_matches(trim(published), '^\d{{4}}$') then try_cast(trim(published) || '-01-01' as date) end as day
+  from d join sources using (source_id)),
+ok as (select document_id from x where day >= date '2015-01-01' and day <= date '2024-12-31'),
+p as (select distinct passage_id, document_id, text from passages where document_id in (select document_id from ok)),
+h as (select passage_id, document_id, len(list_filter({_W}, lambda x: x in {_TERMS})) as hits, {_W} as w from p),
+r as (select *, row_number() over (order by hits desc, passage_id) as text_rank from h where hits > 0 qualify text_rank <= 100),
+s as (select *, 1 / (60.0::double + text_rank) * case when len(w) < 40 then 1.0::double else greatest(0.2::double, least(1.0::double, len(list_distinct(w)) / len(w) / 0.25::double)) end as raw from r),
+c as (select *, row_number() over (partition by document_id order by round(raw, 12) desc, passage_id) as n from s)
+select passage_id as id, document_id, round(raw, 6) as score, text_rank from c where n <= 2 order by round(raw, 12) desc, passage_id limit 20"""
+)
+def dated_find(t) -> DataFrame:
+    """A text query over passages of documents published from 2015 to 2024."""
+    q = find.Query(_Q, limit=20, kinds=("passage",), since=datetime(2015, 1, 1), until=datetime(2024, 12, 31), now=NOW)
+    docs = Scratch(t("passages").sparkSession, "documents").save(_documents(t))
+    return find.find(q, t("passages"), t("claims"), t("claim_vectors"), docs).select("id", "document_id", "score", "text_rank")
+
+
+@query(
+    rf"""
+select passage_id, hits, row_number() over (order by hits desc, passage_id) as rank from (select passage_id, len(list_filter({_W}, lambda x: x in {_TERMS})) as hits from (select distinct passage_id, text from passages)) where hits > 0 qualify rank <= 50"""
+)
+def term_top(t) -> DataFrame:
+    """The same ranking from a term table of all passages: a query reads its words' rows and no text."""
+    terms = find.term_table(t("passages"))
+    a = find.term_arm(terms, find.Query(_Q, now=NOW))
+    return a.select(F.col("id").alias("passage_id"), F.col("text_hits").alias("hits"), F.col("text_rank").alias("rank"))
+
+
+@query(
+    """
+with v as (select claim_id, max(embed_model) filter (where embedding is not null) as m from claim_vectors group by 1), c as (select distinct claim_id from claims)
+select claim_id from c left join v using (claim_id) where m is null or m <> 'sprat-embed-v2'"""
+)
+def not_embedded(t) -> DataFrame:
+    """Claims without a vector of the current model."""
+    v = t("claim_vectors").where("embedding is not null").groupBy("claim_id").agg(F.max("embed_model").alias("embed_model"), F.lit(1).alias("embedding"))
+    return merge.not_embedded(t("claims").select("claim_id").distinct().join(v, "claim_id", "left"), "sprat-embed-v2").select("claim_id")
+
+
+@query(
+    """
+select from_claim, to_claim, relation, method, count(*) as lines from claim_links where from_claim is not null and to_claim is not null and from_claim <> 0 and to_claim <> 0 and from_claim <> to_claim
+ and relation in ('same', 'supports', 'contradicts', 'refines', 'supersedes', 'unrelated') and method in ('model', 'human') group by 1, 2, 3, 4"""
+)
+def valid_links(t) -> DataFrame:
+    """Links that may go into the log."""
+    return merge.valid_links(t("claim_links")).groupBy("from_claim", "to_claim", "relation", "method").agg(F.count("*").alias("lines"))
+
+
+@query(
+    """
+with top as (select run_id, max(seq) as m from fetches group by 1), d as (select doc_id, run_id, collected_at from documents where run_id is not null)
+select doc_id, run_id, coalesce(m, 0) + row_number() over (partition by d.run_id order by collected_at, doc_id) as seq from d left join top using (run_id)"""
+)
+def numbered_documents(t) -> DataFrame:
+    """Documents numbered on behind their run's fetches."""
+    d = t("documents").where("run_id is not null").select("doc_id", "run_id", "collected_at")
+    return sinks.numbered(d, t("fetches").select("run_id", "seq"), "run_id", ["collected_at", "doc_id"]).drop("collected_at")
+
+
+@query(
+    """
+with f as (select *, row_number() over (partition by document_id order by attempted_at, run_id, seq) as a, row_number() over (partition by document_id order by attempted_at desc, run_id desc, seq desc) as z from fetches where document_id is not null),
+ k as (select document_id, text_sha256, raw_bytes from f where a = 1), s as (select document_id, text_sha256, raw_bytes from f where z = 1)
+select s.document_id, s.text_sha256, s.raw_bytes from s join k using (document_id) where s.text_sha256 is distinct from k.text_sha256 or s.raw_bytes is distinct from k.raw_bytes"""
+)
+def changed_documents(t) -> DataFrame:
+    """Documents whose last fetch differs from their first."""
+    f = t("fetches").where("document_id is not null")
+    order = [F.col("attempted_at"), F.col("run_id"), F.col("seq")]
+    cols = ["document_id", "text_sha256", "raw_bytes"]
+    first = ranking.best_per(f, ["document_id"], order).select(*cols)
+    last = ranking.best_per(f, ["document_id"], [o.desc() for o in order]).select(*cols)
+    return merge.changed(first, last, "document_id", ["text_sha256", "raw_bytes"])
+
+
+@query(
+    """
+select source as shard, count(*) as captured, sum(length(text))::bigint as captured_chars, count(*) filter (where length(text) >= 1000) as passed, coalesce(sum(length(text)) filter (where length(text) >= 1000), 0)::bigint as passed_chars
+from documents where text is not null and source is not null group by 1"""
+)
+def evidence_ledger(t) -> DataFrame:
+    """Per source what was captured and what of it passed on (texts of 1,000 characters or more)."""
+    d = t("documents").where("text is not null and source is not null")
+    return context.ledger(d.select(F.col("source").alias("shard"), "text", (F.length("text") >= 1000).alias("passed")))
+
+
+@query(
+    r"""
+select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \t\n\x0B\f\r]*\f[ \t\n\x0B\f\r]*', chr(10) || chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) as sha from documents where text is not null"""
+)
+def clean_texts(t) -> DataFrame:
+    """Documents' texts made clean, by their hash."""
+    return t("documents").where("text is not null").select("doc_id", F.sha2(clean_text(F.col("text")), 256).alias("sha"))
+
+
+@query("select doc_id, substr(array_to_string(string_split(text, chr(10))[2:4], chr(10)), 1, 100000) as lines from documents where text is not null")
+def line_ranges(t) -> DataFrame:
+    """Lines 2 to 4 of every document."""
+    return t("documents").where("text is not null").select("doc_id", line_range(F.col("text"), 2, 4).alias("lines"))
+
+
+@query(
+    """
+with a as (select distinct claim_id from claims), e as (select from_claim as claim_id from claim_links where method = 'model' union select to_claim from claim_links where method = 'model')
+select claim_id, case when claim_id in (select claim_id from e) then '2026-12-01' end as checked from a"""
+)
+def checked_claims(t) -> DataFrame:
+    """Claims marked as checked where a model has looked at their links."""
+    e = t("claim_links").where("method = 'model'").select(F.explode(F.array("from_claim", "to_claim")).alias("claim_id"))
+    c = work.mark_checked(t("claims").select("claim_id").distinct(), e, NOW)
+    return c.select("claim_id", F.date_format("link_checked_at", "yyyy-MM-dd").alias("checked"))
+
+
+@query(
+    """
+with s as (select source_id, domain from sources), w as (select source_id, domain, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '^www[.]', '') as host from sources)
+select host, count(*) as sources from w where host = 'example' or host like '%.example' group by 1"""
+)
+def sources_on_domain(t) -> DataFrame:
+    """Sources of one domain and its subdomains, by host."""
+    s = t("sources").select(domain_of(url_key(F.col("url"))).alias("host"))
+    return s.where(on_domain(F.col("host"), "www.example")).groupBy("host").agg(F.count("*").alias("sources"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -44,6 +46,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="attestor-")
+        atexit.register(shutil.rmtree, known, ignore_errors=True)
         context.setCheckpointDir(known)
         return known
     if not context.getCheckpointDir():
@@ -51,18 +54,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return known
 
 
+_ROOTS: list[str] = []  # folders of intermediate tables that this process has made
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate tables that this process has made, once the results that read them are written; how many."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    count = len(_ROOTS)
+    while _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 class Scratch:
     """Intermediate tables in the shared folder; they survive lost executors.
 
     ``save`` writes a table and reads it back (lineage is cut, the schema is
     known, and its size can be measured).  ``drop`` deletes tables no longer
-    read; what a returned DataFrame still reads is left to the cluster's
-    cleaning of the checkpoint folder.
+    read.  What a returned DataFrame still reads stays until its owner has
+    written the result and calls ``clean_scratch``; folders of this machine are
+    deleted when Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self._n = 0
 
     def save(self, df: DataFrame) -> DataFrame:

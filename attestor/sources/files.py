@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,25 @@ def log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+def tail_lines(spark: SparkSession, path: str, schema: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What logs have grown by since ``seen`` (path, offset), and the offsets to go on from.
+
+    ``(path, line, record)`` of the whole lines behind each file's offset, null
+    records for undecodable ones; a last line without newline waits for its
+    end, and a file shorter than its offset is read anew.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    old = seen.select("path", "offset") if seen is not None else spark.createDataFrame([], "path string, offset bigint")
+    at = F.coalesce("offset", F.lit(0))
+    rest = files.join(F.broadcast(old), "path", "left").withColumn("offset", F.when(at > F.col("length"), 0).otherwise(at))
+    rest = rest.withColumn("text", F.expr("decode(substring(content, cast(offset as int) + 1), 'UTF-8')"))
+    whole = F.regexp_extract("text", r"(?s)^(.*\n)?", 0)
+    rest = rest.withColumn("whole", whole)
+    lines = rest.select("path", F.explode(F.split("whole", "\n")).alias("line")).where(F.trim("line") != "")
+    offsets = rest.select("path", (F.col("offset") + F.octet_length("whole")).alias("offset"))
+    return lines.select("path", "line", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("record")), offsets
+
+
 def records(lines: DataFrame, strict: bool = False) -> DataFrame:
     """The decoded records of ``log_lines``; strict: a bad line fails the job."""
     if strict:
@@ -203,3 +223,28 @@ def blobs(spark: SparkSession, store: str) -> DataFrame:
     """``(sha256, content)`` of the raw blob store ``blobs/<ab>/<sha>.gz``; what cannot be unzipped has a null content."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(f"{store}/blobs")
     return f.select(F.regexp_extract("path", r"([0-9a-f]{64})\.gz$", 1).alias("sha256"), unzipped(F.col("content")).alias("content")).where("sha256 != ''")
+
+
+def sqlite_table(spark: SparkSession, path: str, name: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file in a folder that all executors see, read by ranges of row ids in ``parts`` tasks.
+
+    ``schema`` names the columns to read; values come as SQLite has them.
+    """
+    columns = [f.name for f in StructType.fromDDL(schema).fields]
+    quoted = ", ".join(f'"{c}"' for c in columns)
+
+    def ask(sql: str, *values) -> list[tuple]:
+        import sqlite3
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            return db.execute(sql, values).fetchall()
+
+    low, high = ask(f'select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from "{name}"')[0]
+    step = max(1, -(-(high - low + 1) // parts))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in b["id"]:
+                yield pd.DataFrame(ask(f'select {quoted} from "{name}" where rowid >= ? and rowid < ?', int(start), int(start) + step), columns=columns, dtype=object)
+
+    return spark.range(low, high + 1, step, parts).mapInPandas(read, schema)

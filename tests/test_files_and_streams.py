@@ -137,3 +137,31 @@ def test_event_windows(spark, tmp_path, data):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) as n from w").first().n == e.count()
+
+
+def test_tail_of_growing_logs(spark, tmp_path):
+    log = tmp_path / "links.jsonl"
+    log.write_bytes('{"a": 1}\nbad\n{"a": 2, "n": "ö"}\n{"a": 3'.encode())
+    rows, at = files.tail_lines(spark, str(tmp_path / "*.jsonl"), "a int, n string")
+    assert sorted((r.record.a if r.record else None, r.line[:3]) for r in rows.collect() if r.record and r.record.a) == [(1, '{"a'), (2, '{"a')] and rows.count() == 3
+    at = spark.createDataFrame(at.collect())
+    with log.open("ab") as f:
+        f.write(b'3}\n')
+    rows, later = files.tail_lines(spark, str(tmp_path / "*.jsonl"), "a int, n string", at)
+    later = spark.createDataFrame(later.collect())
+    assert [r.record.a for r in rows.collect()] == [33] and later.first().offset == log.stat().st_size
+    log.write_bytes(b'{"a": 9}\n')
+    assert [r.record.a for r in files.tail_lines(spark, str(tmp_path / "*.jsonl"), "a int, n string", later)[0].collect()] == [9]
+
+
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "graph.db")
+    with sqlite3.connect(path) as db:
+        db.execute("create table nodes (id text, n integer, x real)")
+        db.executemany("insert into nodes values (?, ?, ?)", [(f"k{i}", i if i % 3 else None, i / 2) for i in range(50)])
+        db.execute("create table empty (id text)")
+    got = files.sqlite_table(spark, path, "nodes", "id string, n long, x double").collect()
+    assert sorted((r.id, r.n, r.x) for r in got if r.n) == sorted((f"k{i}", i, i / 2) for i in range(50) if i % 3) and len(got) == 50
+    assert files.sqlite_table(spark, path, "empty", "id string").collect() == []

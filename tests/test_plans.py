@@ -47,7 +47,7 @@ def test_timeline(graph, spark):
     t = {r.claim_id: r for r in claims.timeline(spark.createDataFrame([(4,)], "claim_id long"), c, links, d, o).collect()}
     assert t[5].changes == "supersedes 4 (2026-08-01)" and set(t) == {4, 5}
     cards = spark.createDataFrame([("claim", 4), ("claim", 5), ("passage", 4)], "kind string, id long")
-    assert sorted(tuple(r) for r in claims.collapse_superseded(cards, links).select("kind", "id").collect()) == [("claim", 5), ("passage", 4)]
+    assert sorted(tuple(r) for r in claims.collapse_superseded(cards, claims.page_edges(cards.where("kind = 'claim'").select(F.col("id").alias("claim_id")), links)).select("kind", "id").collect()) == [("claim", 5), ("passage", 4)]
 
 
 @pytest.fixture(scope="module")

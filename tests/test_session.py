@@ -17,3 +17,15 @@ def test_spread(spark):
     one = spark.range(0, 100, 1, 1)
     assert spread(one).rdd.getNumPartitions() == 4 and spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
     assert spread(one.groupBy("id").count()).count() == 100
+
+
+def test_scratch_is_cleaned(spark):
+    from pathlib import Path
+
+    from attestor.session import Scratch, clean_scratch
+
+    scratch = Scratch(spark, "cleaned")
+    table = scratch.save(spark.range(3).toDF("id"))
+    folder = Path(scratch.root.removeprefix("file:"))
+    assert table.count() == 3 and folder.is_dir()
+    assert clean_scratch(spark) >= 1 and not folder.exists() and clean_scratch(spark) == 0
