@@ -251,11 +251,10 @@ def item_parts(items: DataFrame, min_words: int, stock_passages: int) -> DataFra
     both = F.concat_ws(" ", "passage", "question")
     short = (count("passage") < min_words) & (count("question") < min_words)
     parts = F.when(short, F.array(both)).otherwise(F.array("passage", "question"))
-    part = whole.select("item_id", F.explode(parts).alias("text"))
+    part = whole.select("item_id", short.alias("short"), F.explode(parts).alias("text"))
     words = count("text")
-    return part.select("item_id", "text", words.alias("words"), F.least(words, F.lit(min_words)).alias("need"), F.lit(min_words).alias("full")).where(
-        (F.col("words") >= min_words) | (F.col("need") == F.col("words"))
-    ).drop("full")
+    part = part.where((words >= min_words) | (F.col("short") & (words > 0)))
+    return part.select("item_id", "text", words.alias("words"), F.least(words, F.lit(min_words)).alias("need"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 15, block_words: int = 1_000_000, stock_passages: int = 5) -> DataFrame:

@@ -77,6 +77,12 @@ def test_every_line_of_an_item(spark):
     assert {tuple(r) for r in leaked_items(docs, items).collect()} == {(1, 1), (3, 1)}
 
 
+def test_short_question_of_a_long_passage(spark):
+    items = spark.createDataFrame([(1, f"{PASSAGE}\nWhy was the rural kelp near Kirmasund delayed again by the council?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Why was the rural kelp near Kirmasund delayed again by the council?", 0), (2, PASSAGE, 0)], DOC)
+    assert {tuple(r) for r in leaked_items(docs, items).collect()} == {(2, 1)}
+
+
 def test_short_items_count_whole(spark):
     items = spark.createDataFrame([(1, "The kelp of Kirmasund was cut twice.\nHow often was it cut?"), (2, "The kelp of Skeldevik was cut three times in the year of the flood.\nHow often was it cut there by hand?"), (3, "Two words")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x the kelp of Kirmasund was cut twice. How often was it cut? y", 0), (2, "The kelp of Kirmasund was cut twice. How often", 0), (3, "kelp of Skeldevik was cut three times in the year of the flood. How often?", 0), (4, "two words", 0)], DOC)
