@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -67,14 +69,14 @@ def shingles(text: Column, size: int = 3) -> Column:
 _FNV, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)  # fixed values of FNV-1a
 
 
-def simhash_of(text: str | None, size: int = 3) -> int | None:
-    """64-bit SimHash over word shingles hashed with FNV-1a; 0 for no word."""
-    if text is None:
-        return None
-    low = "".join(c if c.isalnum() and not (c.isnumeric() and not c.isdecimal()) else " " for c in text.lower()).split()
-    if not low:
-        return 0
-    grams = [" ".join(low[i : i + size]) for i in range(max(1, len(low) - size + 1))]
+def _low_words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() and not (c.isnumeric() and not c.isdecimal()) else " " for c in text.lower()).split()
+
+
+def gram_sums(grams: list[str]) -> np.ndarray:
+    """For each of 64 bits, how many more of the grams' FNV-1a hashes have it set than not."""
+    if not grams:
+        return np.zeros(64, "i8")
     raw = [g.encode() for g in grams]
     longest = max(map(len, raw))
     flat = np.zeros((len(raw), longest), "u1")
@@ -87,11 +89,48 @@ def simhash_of(text: str | None, size: int = 3) -> int | None:
             live = k < length
             h[live] = (h[live] ^ flat[live, k].astype("u8")) * _PRIME
     bits = ((h[:, None] >> np.arange(64, dtype="u8")) & np.uint64(1)).astype("i8")
-    on = (2 * bits - 1).sum(0) > 0
+    return (2 * bits - 1).sum(0)
+
+
+def simhash_of(text: str | None, size: int = 3) -> int | None:
+    """64-bit SimHash over word shingles hashed with FNV-1a; 0 for no word."""
+    if text is None:
+        return None
+    low = _low_words(text)
+    if not low:
+        return 0
+    on = gram_sums([" ".join(low[i : i + size]) for i in range(max(1, len(low) - size + 1))]) > 0
     value = int((on.astype("u8") << np.arange(64, dtype="u8")).sum(dtype="u8"))
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+@arrow_udf("struct<sums:array<int>,head:array<string>,tail:array<string>>")
+def piece_grams(text: pd.Series) -> pd.DataFrame:
+    """Of a piece of a text: the sums of its three-word shingles, and its first and last two words."""
+    rows = []
+    for t in text:
+        low = _low_words(t) if isinstance(t, str) else []
+        rows.append((gram_sums([" ".join(low[i : i + 3]) for i in range(len(low) - 2)]).astype("i4"), low[:2], low[-2:]))
+    return pd.DataFrame(rows, columns=["sums", "head", "tail"])
+
+
+@arrow_udf("array<int>")
+def seam_grams(tail: pd.Series, head: pd.Series) -> pd.Series:
+    """The sums of the shingles across the seam of two pieces, by the last words of one and the first of the next."""
+    out = []
+    for t, h in zip(tail, head):
+        low = [*(t if t is not None else ()), *(h if h is not None else ())]
+        n = len(t) if t is not None else 0
+        out.append(gram_sums([" ".join(low[i : i + 3]) for i in range(len(low) - 2) if i < n < i + 3]).astype("i4"))
+    return pd.Series(out)
+
+
+def simhash_of_sums(sums: list[Column]) -> Column:
+    """The SimHash of 64 columns of summed shingles."""
+    bits = [F.when(c > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i, c in enumerate(sums)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 @arrow_udf("long")
 def simhash(text: pd.Series) -> pd.Series:
     return text.map(simhash_of, na_action="ignore").astype("Int64")

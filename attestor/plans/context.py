@@ -31,8 +31,9 @@ def build_context(hits: DataFrame, files: DataFrame) -> DataFrame:
 
     ``hits`` (path, start_line, end_line, score, content), ``files`` (path,
     text).  A chunk of another file that a whole file contains is left out:
-    chunks meet whole files by their longest inner word, so texts are compared
-    only where that word stands (chunks of under three words are kept).
+    chunks meet whole files by their longest inner word, or without one by
+    their first three characters (or their first), so texts are compared only
+    where those stand.
     """
     chunk = hits.select("path", "start_line", "end_line", "content", "score").groupBy("path", "start_line", "end_line", "content").agg(F.max("score").alias("score"))
     text = files.select("path", "text")
@@ -43,8 +44,12 @@ def build_context(hits: DataFrame, files: DataFrame) -> DataFrame:
     tokens = lambda c: F.split(F.trim(c), r"\s+")
     inner = F.slice(tokens(F.col("content")), 2, F.greatest(F.size(tokens(F.col("content"))) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = parts.withColumn("_word", longest)
-    words = whole.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("_word"), F.col("path").alias("_whole"))
+    lead = F.when(F.length("content") >= 3, F.concat(F.lit("c"), F.substring("content", 1, 3))).otherwise(F.concat(F.lit("c"), F.substring("content", 1, 1)))
+    keyed = parts.withColumn("_word", F.coalesce(F.concat(F.lit("w"), longest), lead))
+    chars = F.split("text", "")
+    three = F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(F.lit("c"), F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+    stands = F.flatten(F.array(F.transform(tokens(F.col("text")), lambda w: F.concat(F.lit("w"), w)), F.when(F.size(chars) >= 3, three).otherwise(F.array().cast("array<string>")), F.transform(chars, lambda c: F.concat(F.lit("c"), c))))
+    words = whole.select(F.explode(F.array_distinct(stands)).alias("_word"), F.col("path").alias("_whole"))
     pairs = keyed.join(words, "_word").select(F.col("path"), "start_line", "end_line", "content", "_whole").distinct()
     held = pairs.join(whole.select(F.col("path").alias("_whole"), "text"), "_whole").where(F.contains("text", "content")).select("path", "start_line", "end_line", "content").distinct()
     kept = parts.join(held, ["path", "start_line", "end_line", "content"], "left_anti")

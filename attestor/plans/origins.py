@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.identity import url_key
-from attestor.functions.text import simhash
+from attestor.functions.text import piece_grams, seam_grams, simhash, simhash_of_sums
 from attestor.operators.components import staged_groups
 from attestor.operators.joins import hash_pairs
 from attestor.plans.claims import claim_relations
@@ -37,6 +37,22 @@ def _hashes(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return Scratch(texts.sparkSession, "simhash").save(long.select(F.col(id_col), simhash(F.col(text_col)).alias("simhash")))
 
 
+def document_hashes(passages: DataFrame) -> DataFrame:
+    """``(document_id, simhash)`` of documents of NEAR_CHARS or more, from their passages as they lie.
+
+    Shingles add up: each passage gives sums for 64 bits and its outer words,
+    and only those meet by document.  The result is the SimHash of the passages
+    set apart by blanks (a passage of one word hides the shingle across it).
+    """
+    read = spread(passages.select("passage_id", "document_id", "ord", "text")).select("passage_id", "document_id", "ord", F.length("text").alias("n"), piece_grams(F.col("text")).alias("g"))
+    p = read.dropDuplicates(["passage_id"]).select("document_id", "ord", "n", "g.*")
+    w = Window.partitionBy("document_id").orderBy("ord")
+    p = p.withColumn("before", F.lag("tail").over(w)).withColumn("seam", seam_grams(F.col("before"), F.col("head")))
+    bit = lambda i: F.sum(F.element_at("sums", i + 1) + F.element_at("seam", i + 1)).alias(f"b{i}")
+    sums = p.groupBy("document_id").agg((F.sum("n") + 2 * (F.count("*") - 1)).alias("n"), *[bit(i) for i in range(64)])
+    return sums.where(F.col("n") >= NEAR_CHARS).select("document_id", simhash_of_sums([F.col(f"b{i}") for i in range(64)]).alias("simhash"))
+
+
 def near_copies(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs of texts of NEAR_CHARS or more whose SimHashes differ in three bits at most.
 
@@ -66,16 +82,17 @@ def near_links(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.where("links > 0")
 
 
-def origin_groups(fetches: DataFrame, claims: DataFrame, links: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def origin_groups(fetches: DataFrame, claims: DataFrame, links: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     """``(document_id, origin_id, reason)`` for every fetched document.
 
     Stages in order of certainty: one source, one final URL, one DOI, shared
-    claims, near-duplicate texts (``texts`` with document_id and text).  The
+    claims, near-duplicate texts (by their ``passages``).  The
     origin is the group's smallest document.
     """
     f = fetches.where("document_id is not null").select("document_id", "source_id", url_key(F.col("final_url")).alias("final_key"), F.lower("doi").alias("doi"))
     stages = [("source", star(f, "source_id")), ("final-url", star(f, "final_key")), ("doi", star(f, "doi")), ("same-link", same_claims(claims, links))]
-    if texts is not None:
-        stages.append(("near-duplicate", near_copies(texts, "document_id", "text").select("a", "b")))
+    if passages is not None:
+        hashes = Scratch(passages.sparkSession, "hashes").save(document_hashes(passages))
+        stages.append(("near-duplicate", hash_pairs(hashes, "document_id", "simhash").select("a", "b")))
     out = staged_groups(f.select(F.col("document_id").alias("id")), stages)
     return out.select(F.col("id").alias("document_id"), F.col("root").alias("origin_id"), "reason")

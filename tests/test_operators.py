@@ -208,3 +208,15 @@ def test_citation_targets(spark):
     scoped = found.withColumn("run_id", F.when(F.col("kind") == "E", F.col("run_id")).otherwise(""))
     for kinds in (None, ("E", "P", "C", "S")):
         assert rows(reports.check_marks(scoped, t, ("run_id",), kinds), "doc_id", "resolved", "quote_status") == [(i, r, s) for i, (_, _, _, r, s) in enumerate(said)]
+
+
+def test_document_hashes_add_up(spark):
+    from attestor.functions.text import simhash_of
+    from attestor.plans.origins import document_hashes
+
+    rng = random.Random(7)
+    docs = {d: [" ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(rng.randint(2, 90))) for _ in range(9)] for d in range(12)}
+    rows = [(100 * d + i, d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame([*rows, rows[0], (9999, 99, 0, "short"), (9998, 98, 0, None)], "passage_id long, document_id long, ord int, text string")
+    got = {r.document_id: r.simhash for r in document_hashes(df).collect()}
+    assert got == {d: simhash_of("\n\n".join(ts)) for d, ts in docs.items() if len("\n\n".join(ts)) >= 1000}
