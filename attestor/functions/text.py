@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -125,10 +123,9 @@ def seam_grams(tail: pd.Series, head: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def simhash_of_sums(sums: list[Column]) -> Column:
+def simhash_of_sums(sums: list[str]) -> Column:
     """The SimHash of 64 columns of summed shingles."""
-    bits = [F.when(c > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i, c in enumerate(sums)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return F.expr(" | ".join(f"if({c} > 0, shiftleft(1L, {i}), 0L)" for i, c in enumerate(sums)))
 
 
 @arrow_udf("long")

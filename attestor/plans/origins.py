@@ -48,9 +48,9 @@ def document_hashes(passages: DataFrame) -> DataFrame:
     p = read.dropDuplicates(["passage_id"]).select("document_id", "ord", "n", "g.*")
     w = Window.partitionBy("document_id").orderBy("ord")
     p = p.withColumn("before", F.lag("tail").over(w)).withColumn("seam", seam_grams(F.col("before"), F.col("head")))
-    bit = lambda i: F.sum(F.element_at("sums", i + 1) + F.element_at("seam", i + 1)).alias(f"b{i}")
+    bit = lambda i: F.expr(f"sum(sums[{i}] + seam[{i}]) as b{i}")
     sums = p.groupBy("document_id").agg((F.sum("n") + 2 * (F.count("*") - 1)).alias("n"), *[bit(i) for i in range(64)])
-    return sums.where(F.col("n") >= NEAR_CHARS).select("document_id", simhash_of_sums([F.col(f"b{i}") for i in range(64)]).alias("simhash"))
+    return sums.where(F.col("n") >= NEAR_CHARS).select("document_id", simhash_of_sums([f"b{i}" for i in range(64)]).alias("simhash"))
 
 
 def near_copies(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
