@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre d
 # Short forms count as months only between figures.
 SHORT_MONTHS = "jan feb mar apr jun jul aug sep sept oct nov dec okt dez mrz janv févr avr juil déc ene abr ago dic".split()
 
+SKETCH = "s long, places binary, counts binary"
+
 
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case without ``www.`` and port; null if there is none."""
@@ -60,37 +61,74 @@ def document_sites(fetches: DataFrame, sources: DataFrame) -> DataFrame:
     return doc.join(host, "source_id").select("document_id", "site")
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """A sketch's counters (saturating at 255) as bytes: places and counts while few are used, all of them beyond."""
-    at = np.flatnonzero(counts)
-    few = np.minimum(counts[at], 255).astype("u1")
-    if 5 * len(at) < len(counts):
-        return b"s" + at.astype("<u4").tobytes() + few.tobytes()
-    return b"d" + np.minimum(counts, 255).astype("u1").tobytes()
+def _summed(s: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counters ``at`` of the sites ``s``, one entry each in order of site and place, with their counts summed up."""
+    order = np.lexsort((at, s))
+    s, at, n = s[order], at[order], n[order]
+    first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (at[1:] != at[:-1])])
+    return s[first], at[first], np.add.reduceat(n, first)
+
+
+def _packed(s: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> pa.RecordBatch:
+    """Ordered entries as rows of a site each: the places of its counters in use and their counts (saturating at 255) as bytes."""
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    ends = np.r_[starts, len(s)].astype("i4")
+    places = at.astype(_place(width))
+
+    def column(data: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * data.itemsize), pa.py_buffer(data)])
+
+    return pa.RecordBatch.from_arrays([pa.array(s[starts]), column(places), column(np.minimum(n, 255).astype("u1"))], names=["s", "places", "counts"])
+
+
+def _place(width: int) -> str:
+    return "<u2" if width <= 1 << 16 else "<u4"
 
 
-def _add(counts: np.ndarray, packed: bytes) -> None:
-    if packed[:1] == b"d":
-        counts += np.frombuffer(packed, "u1", offset=1)
-    else:
-        n = (len(packed) - 1) // 5
-        counts[np.frombuffer(packed, "<u4", n, 1)] += np.frombuffer(packed, "u1", n, 1 + 4 * n)
+def _entries(batch: pa.RecordBatch, width: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The entries of rows of ``_packed``, about ``most`` at a time."""
+
+    def column(i: int) -> tuple[np.ndarray, np.ndarray]:
+        x = batch.column(i).cast(pa.binary())
+        ends = np.frombuffer(x.buffers()[1], "i4", len(x) + 1, 4 * x.offset)
+        return ends, np.frombuffer(x.buffers()[2] or b"", "u1")
+
+    if not len(batch):
+        return
+    s = batch.column(0).to_numpy(zero_copy_only=False)
+    (place_ends, places), (ends, counts) = column(1), column(2)
+    at = 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        here = places[place_ends[at] : place_ends[to]].view(_place(width))
+        yield np.repeat(s[at:to], np.diff(ends[at : to + 1])), here.astype("i8"), counts[ends[at] : ends[to]].astype("i8")
+        at = to
+
+
+def _merged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Entries of whole sites, summed up, from rows in order of site; held are one site's counters and one block of entries."""
+    held = None
+    for batch in batches:
+        for block in _entries(batch, width):
+            s, at, n = _summed(*(np.concatenate(x) for x in zip(held, block))) if held else _summed(*block)
+            whole = int(np.searchsorted(s, s[-1]))  # the last site may go on
+            if whole:
+                yield s[:whole], at[:whole], n[:whole]
+            held = s[whole:], at[whole:], n[whole:]
+    if held:
+        yield held
 
 
 def site_sketches(lines: DataFrame, width: int, flush: int = 1_000_000) -> DataFrame:
-    """``(s, sketch)``: per task and site the counters of its lines' hashes ``h``; a task holds ``flush`` lines at most."""
+    """``(s, places, counts)``: per task and site the counters of its lines' hashes ``h``; a task holds ``flush`` lines at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit() -> pa.RecordBatch:
             s, b = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(s, kind="stable")
-            s, b = s[order], b[order]
-            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            packed = [_packed(np.bincount(part, minlength=width)) for part in np.split(b, starts[1:])]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(s[starts]), pa.array(packed, pa.binary())], names=["s", "sketch"])
+            return _packed(*_summed(s, b, np.ones(len(s), "i8")), width)
 
         n = 0
         for batch in batches:
@@ -103,27 +141,28 @@ def site_sketches(lines: DataFrame, width: int, flush: int = 1_000_000) -> DataF
         if held and n:
             yield emit()
 
-    return lines.select("s", "h").mapInArrow(run, "s long, sketch binary")
+    return lines.select("s", "h").mapInArrow(run, SKETCH)
 
 
-def frequent_buckets(sketches: DataFrame, width: int, least: int, salts: int) -> DataFrame:
-    """``(s, b)``: the counters of each site that reach ``least`` in the sum of its sketches, merged in two steps."""
+def frequent_buckets(sketches: DataFrame, width: int, least: int, salts: int, large: int = 1 << 12) -> DataFrame:
+    """``(s, b)``: the counters of each site that reach ``least`` in the sum of its sketches.
 
-    def merged(rows: pd.DataFrame) -> np.ndarray:
-        counts = np.zeros(width, "i8")
-        for packed in rows["sketch"]:
-            _add(counts, packed)
-        return counts
+    They are merged in two steps, sites one after the other; in the first one
+    the sketches of ``large`` counters or more are dealt out over the salts.
+    """
 
-    def some(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"s": rows["s"].iloc[:1], "sketch": [_packed(merged(rows))]})
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries in _merged(batches, width):
+            yield _packed(*entries, width)
 
-    def last(rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.flatnonzero(merged(rows) >= least)
-        return pd.DataFrame({"s": np.full(len(at), rows["s"].iloc[0]), "b": at.astype("i4")})
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, at, n in _merged(batches, width):
+            keep = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(at[keep].astype("i4"))], names=["s", "b"])
 
-    part = sketches.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts))).groupBy("s", "salt").applyInPandas(some, "s long, sketch binary")
-    return part.groupBy("s").applyInPandas(last, "s long, b int")
+    salt = F.when(F.octet_length("counts") >= large, F.pmod(F.xxhash64("counts"), F.lit(salts))).otherwise(0)
+    part = sketches.withColumn("salt", salt).repartition("s", "salt").sortWithinPartitions("s").select("s", "places", "counts").mapInArrow(some, SKETCH)
+    return part.repartition("s").sortWithinPartitions("s").mapInArrow(last, "s long, b int")
 
 
 def repeated_lines(
@@ -155,21 +194,27 @@ def repeated_lines(
 
     summary = scratch.save(frequent_buckets(site_sketches(lines, width), width, min(min_documents, 255), salts))
     candidates = lines.withColumn("b", F.pmod("h", F.lit(width)).cast("int"))
-    candidates = scratch.save(_held(candidates, summary, ["s", "b"], scratch.bytes(summary) <= broadcast_bytes, salts).drop("b"))
+    candidates = scratch.save(_held(candidates, summary, ["s", "b"], broadcast_bytes, salts).drop("b"))
     scratch.drop(lines, summary)
 
     documents = candidates.select("s", "h", "g", "document_id").distinct()
     confirmed = documents.groupBy("s", "h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
     confirmed = scratch.save(confirmed.select("s", "h", "g"))
-    found = _held(candidates, confirmed, ["s", "h", "g"], scratch.bytes(confirmed) <= broadcast_bytes, salts)
+    found = _held(candidates, confirmed, ["s", "h", "g"], broadcast_bytes, salts)
     return found.select("passage_id", "line_no").distinct()
 
 
-def _held(rows: DataFrame, table: DataFrame, keys: list[str], small: bool, salts: int) -> DataFrame:
-    """The rows whose keys a table of distinct keys has; a key of a third of all rows is spread over the salts."""
-    if small:
+def _held(rows: DataFrame, table: DataFrame, keys: list[str], broadcast_bytes: int, salts: int) -> DataFrame:
+    """The rows whose keys a saved table of distinct keys has; a key of a third of all rows is spread over the salts.
+
+    What counts is the table's size as a hash table in memory, many times that
+    of its files: a row of keys twice, their lengths and links, four slots.
+    """
+    if table.count() * (16 * (1 + len(keys)) + 80) <= broadcast_bytes:
         return rows.join(F.broadcast(table), keys, "left_semi")
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Spark knows the small files only, not the rows that the salts make of them
+    salted = salted.hint("merge")
     return rows.withColumn("salt", F.pmod("passage_id", F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], "left_semi").drop("salt")
 
 

@@ -84,3 +84,34 @@ def test_sketches_merge_by_sums(spark):
         got = frequent_buckets(site_sketches(lines, width, flush=300), width, 7, 4)
         assert {tuple(r) for r in got.collect()} == {k for k, n in want.items() if n >= 7}
     assert frequent_buckets(site_sketches(lines.limit(0), 16), 16, 7, 4).collect() == []
+
+
+def test_broadcast_is_measured_in_memory(spark):
+    words = ["".join(chr(97 + int(c)) for c in str(n)) for n in range(700)]
+    rows = [(d, d, "\n".join(words)) for d in range(1, 7)]
+    p, f, s = tables(spark, rows)
+    # 700 keys are some 20 kB of files, 100 kB in memory; salted, Spark's own threshold of 10 MB doesn't count either
+    for most, joins in ((50_000, False), (8 << 20, True)):
+        found = repeated_lines(p, f, s, broadcast_bytes=most)
+        assert len(found.collect()) == 6 * 700
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) is joins
+
+
+def test_sketches_of_any_number(spark):
+    from attestor.llm.sitelines import _entries, _merged, _packed, _summed, frequent_buckets, site_sketches
+    import numpy as np
+
+    width, rng = 1 << 16, np.random.default_rng(5)
+    s, at = rng.choice([-3, 0, 7, 2**40], 20_000, p=[0.9, 0.05, 0.04, 0.01]), rng.integers(0, width, 20_000) // 9
+    packed = _packed(*_summed(s, at, np.ones(len(s), "i8")), width)
+    for most in (1, 50, 10**6):  # blocks of one site and more, slices of a batch, sites over several batches
+        assert sum(len(x) for x, _, _ in _entries(packed.slice(1), width, most)) == len({x for x in zip(s, at) if x[0] != -3})
+    merged = list(_merged(iter([packed.slice(i, 1) for i in (0, 0, 1, 2, 2, 2, 3)]), width))
+    assert [sorted(set(x.tolist())) for x, _, _ in merged] == [[-3], [0], [7], [2**40]]
+    assert [n.sum() for _, _, n in merged] == [2 * sum(s == -3), sum(s == 0), 3 * sum(s == 7), sum(s == 2**40)]
+    lines = spark.createDataFrame(list(zip(s.tolist(), at.tolist())), "s long, h long").repartition(3)
+    want = {}
+    for x in zip(s.tolist(), at.tolist()):
+        want[x] = want.get(x, 0) + 1
+    got = frequent_buckets(site_sketches(lines, width, flush=2_000), width, 5, 4, large=500)  # the large site is dealt out
+    assert {tuple(r) for r in got.collect()} == {k for k, n in want.items() if n >= 5}
